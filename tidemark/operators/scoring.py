@@ -15,12 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import dominant_class, net_score, softmax
 from ..functions.text import CHUNK_TOKENS, chunks, count_words, words
 
 CLASSES = ("positive", "negative", "neutral")
-SCORE_TYPE = "struct<positive:double,negative:double,neutral:double,error:string>"
+SCORE_TYPE = T.StructType(
+    [*[T.StructField(c, T.DoubleType()) for c in CLASSES], T.StructField("error", T.StringType())]
+)
 
 # A scorer maps a chunk-text column to a struct of SCORE_TYPE.
 Scorer = Callable[[Column], Column]

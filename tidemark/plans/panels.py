@@ -11,6 +11,7 @@ from ..contracts import FUNDAMENTALS_META, LABELLED_BARS, RAW_FACTS, STATEMENT_F
 from ..operators.asof import asof_join
 from ..operators.joins import attach
 from ..operators.reshape import facts_to_wide
+from ..operators.segments import ROWS_PER_SEGMENT
 from ..sources.facts import ALLOWED_FORMS, CONCEPTS
 from .features import MARKET_FEATURES, text_feature_names
 
@@ -56,9 +57,12 @@ def usable_rows(panel: DataFrame) -> DataFrame:
 
 
 def text_panel(
-    panel: DataFrame, text_features: DataFrame, prefix: str = "sec_", rows_per_segment: int | None = None
+    panel: DataFrame, text_features: DataFrame, prefix: str = "sec_", rows_per_segment: int | None = ROWS_PER_SEGMENT
 ) -> DataFrame:
-    """A statement panel with the newest filing-text row; the filing's own columns get ``sent_`` names."""
+    """A statement panel with the newest filing-text row; the filing's own columns get ``sent_`` names.
+
+    Filings per key and day are not bounded, so hot keys are split by default.
+    """
     filing = ["filing_date", "accession_number", "form_type"]
     right = text_features.select(
         "ticker", *[F.col(c).alias(f"sent_{c}") for c in filing], *text_feature_names(prefix)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..contracts import FILING_INDEX, align
 from ..functions.scalars import within
@@ -33,8 +35,8 @@ def decode_lenient(content: Column) -> Column:
     return F.when(good, content.cast("string")).otherwise(_drop_bad_bytes(F.when(~good, content)))
 
 
-@F.pandas_udf("string")
-def _drop_bad_bytes(content):  # type: ignore[no-untyped-def]
+@F.pandas_udf(T.StringType())
+def _drop_bad_bytes(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
