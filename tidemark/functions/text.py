@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import as_col
+from .scalars import as_col, bind
 
 # The characters that count as whitespace (Unicode white space and the four
 # information separators), as the inside of a character class.
@@ -131,8 +131,7 @@ def section(text: Column | str, rule: SectionRule) -> Column:
             F.lit(rule.method).alias("method"),
         )
 
-    # binding the spans once keeps the pattern from being run for each use
-    return F.element_at(F.transform(F.array(spans), choose), 1)
+    return bind(spans, choose)
 
 
 def discussion_section(text: Column | str, form: Column | str, min_chars: int = MIN_SECTION_CHARS) -> Column:
@@ -150,13 +149,15 @@ def words(text: Column | str) -> Column:
 
 def chunks(tokens: Column | str, size: int = CHUNK_TOKENS, max_chunks: int | None = None) -> Column:
     """Array of chunk texts of ``size`` tokens each, the last one shorter; optionally the first few."""
-    t = as_col(tokens)
-    n = F.ceil(F.size(t) / F.lit(float(size))).cast("int")
-    if max_chunks is not None:
-        n = F.least(n, F.lit(max_chunks))
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = F.transform(starts, lambda i: F.array_join(F.slice(t, i * size + 1, size), " "))
-    return F.filter(pieces, lambda p: F.trim(p) != "")
+    def cut(t: Column) -> Column:
+        n = F.ceil(F.size(t) / F.lit(float(size))).cast("int")
+        if max_chunks is not None:
+            n = F.least(n, F.lit(max_chunks))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        pieces = F.transform(starts, lambda i: F.array_join(F.slice(t, i * size + 1, size), " "))
+        return F.filter(pieces, lambda p: F.trim(p) != "")
+
+    return bind(as_col(tokens), cut)
 
 
 def count_words(tokens: Column, vocabulary: Sequence[str]) -> Column:

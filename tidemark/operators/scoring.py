@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import dominant_class, net_score, softmax
+from ..functions.scalars import bind, dominant_class, net_score, softmax
 from ..functions.text import CHUNK_TOKENS, chunks, count_words, words
 
 CLASSES = ("positive", "negative", "neutral")
@@ -49,15 +49,24 @@ DEFAULT_LEXICON = Lexicon(
 
 def lexicon_scores(tokens: Column, lexicon: Lexicon) -> Column:
     """Class probabilities from word shares: a softmax over 100 times the positive and negative share, and 1."""
-    n = F.greatest(F.size(tokens), F.lit(1)).cast("double")
-    p, u, z = softmax(
-        F.lit(100.0) * count_words(tokens, lexicon.positive) / n,
-        F.lit(100.0) * count_words(tokens, lexicon.negative) / n,
-        F.lit(1.0),
-    )
-    return F.struct(
-        p.alias("positive"), u.alias("negative"), z.alias("neutral"), F.lit(None).cast("string").alias("error")
-    )
+
+    def count(t: Column) -> Column:
+        return F.struct(
+            F.greatest(F.size(t), F.lit(1)).cast("double").alias("n"),
+            count_words(t, lexicon.positive).alias("p"),
+            count_words(t, lexicon.negative).alias("u"),
+        )
+
+    def logits(c: Column) -> Column:
+        return F.struct((100.0 * c["p"] / c["n"]).alias("p"), (100.0 * c["u"] / c["n"]).alias("u"))
+
+    def probabilities(x: Column) -> Column:
+        p, u, z = softmax(x["p"], x["u"], F.lit(1.0))
+        return F.struct(
+            p.alias("positive"), u.alias("negative"), z.alias("neutral"), F.lit(None).cast("string").alias("error")
+        )
+
+    return bind(bind(bind(tokens, count), logits), probabilities)
 
 
 def label_positions(id2label: Mapping[int, str]) -> dict[str, int]:
