@@ -19,6 +19,8 @@ from .scalars import as_col, bind
 WS = (
     r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same set as characters, derived from the Unicode white space property of each code point.
+WS_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Typographic characters and their ASCII stand-ins.
 TYPOGRAPHIC = "‘’“” –—"
 ASCII = "''\"\" --"
@@ -28,19 +30,15 @@ CHUNK_TOKENS = 510
 
 
 def normalize_whitespace(text: Column | str) -> Column:
-    """Collapse runs of blanks and line breaks, in the order newline runs, blanks, blank lines, rest."""
-    c = F.translate(as_col(text), "\x00\r", "  ")
-    for pattern, replacement in (
-        (r"\n+", "\n"),
-        (r"[ \t]+", " "),
-        (f"[{WS}]+\\n", "\n"),
-        (f"\\n[{WS}]+", "\n"),
-        (f"[{WS}]{{2,}}", " "),
-        (f"^[{WS}]+", ""),
-        (f"[{WS}]+\\z", ""),
-    ):
-        c = F.regexp_replace(c, pattern, replacement)
-    return c
+    """Collapse whitespace: a run with a line break becomes one line break, any other run one blank,
+    and the ends are stripped. NUL and carriage return count as blanks; a lone unusual blank stays.
+
+    Blanks are collapsed first, so that no pattern can scan a long run of them more than once.
+    """
+    blank = WS.replace(r"\n", "") + r"\x00"
+    c = F.regexp_replace(as_col(text), f"[{blank}]{{2,}}|[\\t\\r\\x00]", " ")
+    c = F.regexp_replace(c, f"[{blank}]?\\n[{WS}]*", "\n")
+    return F.btrim(c, F.lit(WS_CHARACTERS))
 
 
 def plain_typography(text: Column | str) -> Column:

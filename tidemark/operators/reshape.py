@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import keep_last
+
 
 def _latest(columns: Sequence[str]) -> Column:
     """Sort key under which nulls count as greatest, as in an ascending sort with nulls last."""
@@ -26,24 +28,27 @@ def facts_to_wide(
 ) -> DataFrame:
     """One row per key: the newest metadata row and, per concept, the newest value.
 
-    "Newest" is the greatest ``latest + ties`` within the concept, and ``latest``, concept, ``ties``
-    for the metadata. Dedup, metadata choice, pivot and the join between them are one grouped
-    aggregation, so the facts are shuffled once and combined before the shuffle. When ``owner`` is
-    given, a value counts only if its row names the same owner as the metadata row.
+    "Newest" is the greatest ``latest + ties`` within the concept, and ``latest`` then concept for
+    the metadata. Superseded facts are dropped first, largely before the shuffle; the metadata
+    choice, the pivot and the join between them are then one grouped aggregation over what is left.
+    When ``owner`` is given, a value counts only if its row names the same owner as the metadata row.
     """
+    newest = keep_last(facts, [*keys, concept], [*latest, *ties])
     carried = [c for c in metadata if c not in keys]
-    meta = F.max_by(F.struct(*carried), _latest([*latest, concept, *ties])).alias("__meta")
-    held = [F.col(value).alias("v")] + ([F.col(owner).alias("o")] if owner else [])
-    rank = _latest([*latest, *ties])
-    cells = [
-        F.max_by(F.struct(*held), F.when(F.col(concept) == c, rank)).alias(f"__c{i}")
-        for i, c in enumerate(concepts)
-    ]
-    wide = facts.groupBy(*keys).agg(meta, *cells)
+    meta = F.max_by(F.struct(*carried), _latest([*latest, concept])).alias("__meta")
+
+    def of(name: str, held: str) -> Column:
+        return F.max(F.when(F.col(concept) == name, F.col(held)))
+
+    wide = newest.groupBy(*keys).agg(
+        meta,
+        *[of(c, value).alias(f"__v{i}") for i, c in enumerate(concepts)],
+        *([of(c, owner).alias(f"__o{i}") for i, c in enumerate(concepts)] if owner else []),
+    )
 
     def cell(i: int) -> Column:
-        v = F.col(f"__c{i}.v")
-        return F.when(F.col(f"__c{i}.o") == F.col(f"__meta.{owner}"), v) if owner else v
+        v = F.col(f"__v{i}")
+        return F.when(F.col(f"__o{i}") == F.col(f"__meta.{owner}"), v) if owner else v
 
     ordered = [F.col(c) if c in keys else F.col(f"__meta.{c}").alias(c) for c in metadata]
     extra_keys = [F.col(k) for k in keys if k not in metadata]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pad_id
 from ..sources.facts import CONCEPTS
+from ..sources.tables import spread
 from .registry import Tables
 
 # Which tag each (line number, line status) pair of an item line reports; revenue has two.
@@ -41,12 +42,12 @@ def _line_place():
     return (F.col("l_linenumber") - 1) * 2 + (F.col("l_linestatus") == "O").cast("int") + 1
 
 
-def raw_facts(t: Tables) -> DataFrame:
+def raw_facts(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     """Item lines as filed facts: the concept from the line, the period from the ship date's year."""
     period = F.make_date(F.year("l_shipdate"), F.lit(12), F.lit(31))
     names = F.array(*[F.lit(c) for c in LINE_CONCEPTS])
     form = F.element_at(F.create_map(*[F.lit(x) for p in FORM_OF_FLAG.items() for x in p]), F.col("l_returnflag"))
-    return t("lineitem").select(
+    return (lines if lines is not None else t("lineitem")).select(
         F.col("l_suppkey").cast("string").alias("ticker"),
         pad_id("l_suppkey").alias("cik"),
         F.date_add(period, F.col("l_quantity").cast("int")).alias("filing_date"),
@@ -93,11 +94,16 @@ wide AS (SELECT * FROM meta JOIN cells USING (ticker, period_end))"""
 )
 
 
+def documents(t: Tables) -> DataFrame:
+    """The documents in enough partitions to work on their texts in parallel."""
+    return spread(t("documents"), "doc_id")
+
+
 def filings(t: Tables) -> DataFrame:
     """Documents as filings of their source; longer ones are filed later."""
     form = F.when(F.col("lang") == "en", "10-Q").when(F.col("lang").isin("fr", "de"), "10-K").otherwise("10-K/A")
     filed = F.date_add(F.lit("1995-01-01").cast("date"), F.floor(F.sqrt("n_chars") * 6).cast("int"))
-    return t("documents").select(
+    return documents(t).select(
         F.col("source").alias("ticker"),
         F.lit("0000000001").alias("cik"),
         F.col("source").alias("company_name"),

@@ -14,6 +14,7 @@ from ..plans.features import STATEMENT_FEATURES, statement_features
 from ..plans.panels import clean_fundamentals, normalize_facts
 from ..sources.facts import CONCEPTS, build_raw_facts, entity_ids, flatten_facts
 from ..sources.filings import filing_index, filing_key, text_path
+from ..sources.tables import spread
 from . import common as base
 from .registry import Tables, comparable, query
 
@@ -31,7 +32,7 @@ SELECT {_FACT_COLUMNS}, 'USD' AS unit, 'sec_companyfacts' AS source FROM (
 )
 def flatten_company_facts(t: Tables) -> DataFrame:
     """Facts written as nested documents (tag, unit, list of facts), then flattened again."""
-    facts = base.raw_facts(t)
+    facts = base.raw_facts(t, spread(t("lineitem"), "l_orderkey"))
     tag = F.element_at(F.array(*[F.lit(x) for x in base.LINE_TAGS]), F.array_position(
         F.array(*[F.lit(c) for c in base.LINE_CONCEPTS]), F.col("concept_name")).cast("int"))
     fact = F.struct(

@@ -82,8 +82,8 @@ def quantile_bounds(t: Tables) -> DataFrame:
 
 @query(f"WITH {_BOUNDS} SELECT column_name, {base.r6('lower_bound', 'median', 'upper_bound')} FROM bounds")
 def quantile_bounds_narrowing(t: Tables) -> DataFrame:
-    """The same by narrowing spans, forced by a low limit on gathered rows."""
-    found = exact_quantiles(_train(_market(t)), MARKET_FEATURES, [0.01, 0.5, 0.99], gather_rows=2_000)
+    """The same through a second narrowing round, forced by a low limit on gathered rows."""
+    found = exact_quantiles(_train(_market(t)), MARKET_FEATURES, [0.01, 0.5, 0.99], gather_rows=10)
     rows = [(c, *map(float, q)) for c, q in found.items()]
     return comparable(
         t.spark.createDataFrame(rows, "column_name string, lower_bound double, median double, upper_bound double")

@@ -48,7 +48,7 @@ def sql_words(expr: str) -> str:
 
 @query(f"SELECT doc_id, {sql_ws('text')} AS clean FROM documents")
 def normalized_text(t: Tables) -> DataFrame:
-    return comparable(t("documents").select("doc_id", normalize_whitespace("text").alias("clean")))
+    return comparable(base.documents(t).select("doc_id", normalize_whitespace("text").alias("clean")))
 
 
 _DRESS = "replace(replace(replace(text, '.', chr(8217)), ',', chr(8212)), ' the ', chr(160) || 'the' || chr(8220))"
@@ -64,7 +64,7 @@ def plain_text(t: Tables) -> DataFrame:
     dressed = F.col("text")
     for old, new in ((".", "’"), (",", "—"), (" the ", " the“")):
         dressed = F.replace(dressed, F.lit(old), F.lit(new))
-    return comparable(t("documents").select("doc_id", plain_typography(dressed).alias("plain")))
+    return comparable(base.documents(t).select("doc_id", plain_typography(dressed).alias("plain")))
 
 
 @query(
@@ -151,7 +151,7 @@ cut AS (
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, array_to_string(piece, ' ') AS chunk FROM cut")
 def text_chunks(t: Tables) -> DataFrame:
-    pieces = to_chunks(t("documents"), "text", ["doc_id"], CHUNK).where(F.col("chunk").isNotNull())
+    pieces = to_chunks(base.documents(t), "text", ["doc_id"], CHUNK).where(F.col("chunk").isNotNull())
     return comparable(pieces.select("doc_id", "chunk_no", "chunk"))
 
 
@@ -161,7 +161,7 @@ SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, array_to_string(piece, ' ')
 )
 def leading_chunks(t: Tables) -> DataFrame:
     """A cap on chunks per text, as an option of chunking."""
-    cut = t("documents").select("doc_id", F.posexplode(chunks(words("text"), CHUNK, max_chunks=3)).alias("chunk_no", "chunk"))
+    cut = base.documents(t).select("doc_id", F.posexplode(chunks(words("text"), CHUNK, max_chunks=3)).alias("chunk_no", "chunk"))
     return comparable(cut)
 
 
@@ -178,7 +178,7 @@ def sql_scores(piece: str) -> str:
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, round(positive, 6) AS positive, round(negative, 6) AS negative, round(neutral, 6) AS neutral FROM (SELECT doc_id, chunk_no, {sql_scores('piece')} FROM cut)")
 def chunk_scores(t: Tables) -> DataFrame:
-    pieces = to_chunks(t("documents"), "text", ["doc_id"], CHUNK).where(F.col("chunk").isNotNull())
+    pieces = to_chunks(base.documents(t), "text", ["doc_id"], CHUNK).where(F.col("chunk").isNotNull())
     scored = pieces.select("doc_id", "chunk_no", lexicon_scores(words(F.lower("chunk")), LEXICON).alias("s"))
     return comparable(scored.select("doc_id", "chunk_no", "s.positive", "s.negative", "s.neutral"))
 

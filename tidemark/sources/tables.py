@@ -18,6 +18,18 @@ def scan(spark: SparkSession, path: str, contract: Contract | None = None, colum
     return enforce(df, contract) if contract else df
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with at least as many partitions as the session has slots.
+
+    For costly per-row work on few files: a scan that already has enough partitions, the usual case
+    on large data, is returned as it is. Pass a plain scan, since its partitions are counted here.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= slots:
+        return scan
+    return scan.repartition(slots, *keys)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     if partition_by:
