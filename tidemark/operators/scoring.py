@@ -35,6 +35,7 @@ class Lexicon:
 
     positive: tuple[str, ...]
     negative: tuple[str, ...]
+    can_fail = False
 
     def __call__(self, chunk: Column) -> Column:
         return lexicon_scores(words(F.lower(chunk)), self)
@@ -151,11 +152,15 @@ def score_texts(
     scored = to_chunks(df, text, keep, size, max_chunks, tokenize).select(
         *keep, "chunk", F.when(F.col("chunk").isNotNull(), scorer(F.col("chunk"))).alias("s")
     )
+    # a text-valued maximum would force a sort-based aggregation, so only scorers that can fail have it
+    can_fail = getattr(scorer, "can_fail", True)
     means = scored.groupBy(*keep).agg(
         F.count("chunk").alias("chunk_count"),
         *[F.avg(f"s.{c}").alias(f"{c}_prob") for c in CLASSES],
-        F.max("s.error").alias("scoring_error"),
+        *([F.max("s.error").alias("scoring_error")] if can_fail else []),
     )
+    if not can_fail:
+        means = means.withColumn("scoring_error", F.lit(None).cast("string"))
     failed = F.col("scoring_error").isNotNull()
     for c in CLASSES:
         means = means.withColumn(f"{c}_prob", F.when(~failed, F.col(f"{c}_prob")))

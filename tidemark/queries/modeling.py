@@ -42,13 +42,16 @@ FROM edge"""
 )
 def time_split(t: Tables) -> DataFrame:
     market = _market(t)
-    edge = modeling.split_date(market)
-    day = F.col("date")
-    counts = market.agg(
-        F.count_if(day < F.lit(edge)).alias("train_rows"), F.count_if(day >= F.lit(edge)).alias("test_rows")
+    found = modeling.split_report(market).first()
+    day, edge = F.col("date"), F.lit(found["split_date"])
+    return comparable(
+        market.agg(
+            F.lit(found["date_count"]).alias("date_count"),
+            F.lit(found["split_date"]).alias("split_date"),
+            F.count_if(day < edge).alias("train_rows"),
+            F.count_if(day >= edge).alias("test_rows"),
+        )
     )
-    report = modeling.split_report(market)
-    return comparable(report.join(counts.withColumn("split_date", F.lit(edge)), "split_date"))
 
 
 @query(
