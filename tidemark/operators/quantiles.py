@@ -10,7 +10,7 @@ so a value that makes up a third of a column costs nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -42,6 +42,11 @@ class _Span:
             return c
         return F.when((c > self.lo) & (c < self.hi), c)
 
+    def gathered(self, gather_rows: int) -> bool:
+        """Whether the span holds few enough values, by the promise of the sketch if it was sketched."""
+        share = 1.0 if math.isinf(self.lo) and math.isinf(self.hi) else 4 * (self.margin + 1.0 / _ACCURACY)
+        return self.rows * min(share, 1.0) <= gather_rows
+
     def shares(self) -> list[float]:
         first, last = (self.k - self.before) / self.rows, (self.k2 - self.before) / self.rows
         return [min(max(first - self.margin, 0.0), 1.0), min(max(last + self.margin, 0.0), 1.0)]
@@ -60,7 +65,9 @@ def exact_quantiles(
         for p in probs if n else ():
             at = p * (n - 1)
             spans[c, p] = _Span(c, math.floor(at), math.ceil(at), n, n)
-    pending = list(spans.values())
+    small = [s for s in spans.values() if s.total <= gather_rows]
+    _resolve(df, small, gather_rows)
+    pending = [s for s in spans.values() if s.total > gather_rows]
     while pending:
         _narrow(df, pending)
         pending = _resolve(df, pending, gather_rows)
@@ -95,42 +102,74 @@ def _narrow(df: DataFrame, spans: Sequence[_Span]) -> None:
 
 
 def _resolve(df: DataFrame, spans: Sequence[_Span], gather_rows: int) -> list[_Span]:
-    """Counting pass: read off the ranks of spans that hold few values; the others come back."""
-    expected = 4 * (_MARGIN + 1.0 / _ACCURACY)
+    """Counting pass: read off the ranks of spans that hold few values; the others come back.
+
+    The columns are laid out as (column number, value) rows and grouped by column number, so the
+    plan stays small however many columns there are. Only partial counts are shuffled.
+    """
+    if not spans:
+        return []
+    columns = list(dict.fromkeys(s.column for s in spans))
+    per_column = [[s for s in spans if s.column == c] for c in columns]
+    width = max(map(len, per_column))
+
+    def given(j: int, of: Callable[[_Span], float | int | bool]) -> Column:
+        """The parameter of the j-th span of the row's column."""
+        return F.get(F.array(*[F.lit(of(g[min(j, len(g) - 1)])) for g in per_column]), F.col("i"))
+
+    long = df.select(
+        F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    ).where(F.col("v").isNotNull())
+    v = F.col("v")
+    parameters = [
+        x.alias(f"{name}{j}")
+        for j in range(width)
+        for name, x in (
+            ("lo", given(j, lambda s: s.lo)),
+            ("hi", given(j, lambda s: s.hi)),
+            ("few", given(j, lambda s: s.gathered(gather_rows))),
+        )
+    ]
     aggregates: list[Column] = []
-    for i, s in enumerate(spans):
-        c, inside = F.col(s.column), s.inside()
-        before, rows, top = F.count_if(c <= s.lo), F.count(inside), F.count_if(c == s.hi)
+    for j in range(width):
+        lo, hi = F.col(f"lo{j}"), F.col(f"hi{j}")
+        inside = (v > lo) & (v < hi)
         aggregates += [
-            F.count_if(c < s.lo).alias(f"below{i}"), before.alias(f"before{i}"), rows.alias(f"rows{i}"), top.alias(f"top{i}"),
+            F.count_if(v < lo).alias(f"below{j}"),
+            F.count_if(v <= lo).alias(f"before{j}"),
+            F.count_if(inside).alias(f"rows{j}"),
+            F.count_if((v == hi) & (hi > lo)).alias(f"top{j}"),
+            F.sort_array(F.collect_list(F.when(inside & F.col(f"few{j}"), v))).alias(f"held{j}"),
         ]
-        if s.rows * expected * (s.margin / _MARGIN) <= gather_rows:
-            held = F.sort_array(F.collect_list(inside))
-            aggregates += [
-                F.get(held, (F.lit(k) - before).cast("int")).alias(f"{name}{i}") for name, k in (("v", s.k), ("w", s.k2))
-            ]
-    row = df.agg(*aggregates).first()
+    counted = long.select("i", "v", *parameters).groupBy("i").agg(*aggregates)
+    picked = counted.select(
+        "i",
+        *[f"{x}{j}" for j in range(width) for x in ("below", "before", "rows", "top")],
+        *[
+            F.get(f"held{j}", (given(j, rank) - F.col(f"before{j}")).cast("int")).alias(f"{name}{j}")
+            for j in range(width)
+            for name, rank in (("v", lambda s: s.k), ("w", lambda s: s.k2))
+        ],
+    )
+    rows = {r["i"]: r for r in picked.collect()}
     again: list[_Span] = []
-    for i, s in enumerate(spans):
-        below, before, rows, top = (row[f"{x}{i}"] for x in ("below", "before", "rows", "top"))
-        if s.k < below or s.k2 >= before + rows + top:
-            # outside what the sketch promised: start over on the whole column with wider ends
-            s.margin, s.lo, s.hi, s.before, s.rows = 4 * s.margin, -math.inf, math.inf, 0, s.total
-            again.append(s)
-            continue
-        found = [_at(row, i, k, s, before, rows, name) for name, k in (("v", s.k), ("w", s.k2))]
-        if any(f is None for f in found):
-            s.before, s.rows = before, rows
-            again.append(s)
-        else:
-            s.values = (found[0], found[1])
+    for i, group in enumerate(per_column):
+        for j, s in enumerate(group):
+            if not _settle(s, rows[i], j):
+                again.append(s)
     return again
 
 
-def _at(row: Row, i: int, k: int, s: _Span, before: int, rows: int, name: str) -> float | None:
-    """Value at rank ``k``: an end of the span, or a gathered value if there is one."""
-    if k < before:
-        return s.lo
-    if k >= before + rows:
-        return s.hi
-    return row[f"{name}{i}"] if f"{name}{i}" in row else None
+def _settle(s: _Span, row: Row, j: int) -> bool:
+    """Take the values of a span from its counts. False when it needs another round."""
+    below, before, rows, top = (row[f"{x}{j}"] for x in ("below", "before", "rows", "top"))
+    if s.k < below or s.k2 >= before + rows + top:
+        # outside what the sketch promised: start over on the whole column with wider ends
+        s.margin, s.lo, s.hi, s.before, s.rows = 4 * s.margin, -math.inf, math.inf, 0, s.total
+        return False
+    found = [s.lo if k < before else s.hi if k >= before + rows else row[f"{x}{j}"] for x, k in (("v", s.k), ("w", s.k2))]
+    if None in found:
+        s.before, s.rows = before, rows
+        return False
+    s.values = (found[0], found[1])
+    return True
