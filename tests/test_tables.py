@@ -9,7 +9,7 @@ from tidemark.operators import dedup, joins, reshape
 from tidemark.plans.panels import clean_fundamentals, statement_panel, usable_rows
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources import facts as src
-from tidemark.sources import filings, tables
+from tidemark.sources import filings, tables, universe
 
 
 def test_keep_last_and_first(spark):
@@ -135,6 +135,27 @@ def test_filing_rows(spark, tmp_path):
     assert [r.c for r in blank.select(filings.choose_text(F.col("a"), F.col("b")).alias("c")).collect()] == ["md", "", "t"]
 
 
+def test_index_of_pulled_filings(spark):
+    rows = [
+        ("a", "x1", "10-K", day(1), "text", None), ("a", "x1", "10-K", day(2), "again", None), ("a", "x2", "10-K", day(2), " ", "# md"),
+        ("a", "x3", "10-Q", day(3), None, " "), ("a", "x4", "10-Q", None, "text", None), ("a", "unknown_accession", "10-Q", day(5), "text", None),
+    ]
+    found = spark.createDataFrame(rows, "ticker string, accession_number string, form_type string, filing_date date, plain string, markdown string")
+    found = found.withColumns({"cik": F.lit("1"), "company_name": F.lit("A"), "period_end": F.lit(None).cast("date")})
+    first = filings.index_filings(found, "r")
+    got = {r.accession_number: (r.text, r.text_length) for r in first.collect()}
+    assert got == {"x1": ("text", 4), "x2": ("# md", 4), "unknown_accession": ("text", 4)}
+    assert filings.index_filings(found, "r", existing=first).count() == 0
+    assert filings.index_filings(found, "r", existing=first.where("accession_number <> 'unknown_accession'")).count() == 1
+
+
+def test_universe(spark):
+    assert [r.ticker for r in universe.universe(spark, [" ko", None, "", "KO", "pep "]).orderBy("position").collect()] == ["KO", "KO", "PEP"]
+    assert universe.universe(spark).count() == len(universe.TICKERS) == 34
+    present = spark.createDataFrame([(t,) for t in universe.TICKERS[1:]], "ticker string")
+    assert sorted_rows(joins.missing_members(universe.universe(spark), present, ["ticker"])) == [(universe.TICKERS[0],)]
+
+
 def test_panel_keeps_every_bar(spark):
     bars = spark.createDataFrame([("a", day(i), 0.1, 1 if i < 3 else None) for i in range(5)], "ticker string, date date, forward_return_5d double, label int")
     features = spark.createDataFrame([("a", day(1), day(-90), 1.0), ("a", day(1), day(0), 2.0), ("a", None, day(0), 3.0)], "ticker string, filing_date date, period_end date, roa double")

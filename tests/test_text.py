@@ -95,7 +95,7 @@ def filing(n, text, form="10-Q", at=None):
 
 def test_whole_filing_scores(spark):
     df = spark.createDataFrame([filing(1, "good good  fine\nfine"), filing(2, " \n "), filing(3, "bad " * 9)], FILINGS)
-    got = {r.accession_number: r for r in score_filings(df, LEXICON, size=4).collect()}
+    got = {r.accession_number: r for r in score_filings(df, LEXICON, scoring.word_chunks(4)).collect()}
     assert set(got) == {"x1", "x3"}
     assert (got["x1"].chunk_count, got["x1"].clean_text_length, got["x1"].dominant_sentiment) == (1, 19, "positive")
     assert got["x3"].chunk_count == 3 and got["x3"].sentiment_score == pytest.approx(-1.0)
@@ -106,7 +106,7 @@ def test_whole_filing_scores(spark):
 def test_section_scores_keep_unusable_filings(spark):
     body = f"{OPEN} {'good ' * 50}{CLOSE}"
     df = spark.createDataFrame([filing(1, body), filing(2, "none"), filing(3, f"{OPEN} a {CLOSE}")], FILINGS)
-    got = {r.accession_number: r for r in score_sections(df, LEXICON, size=20, min_chars=200).collect()}
+    got = {r.accession_number: r for r in score_sections(df, LEXICON, scoring.word_chunks(20), min_chars=200).collect()}
     assert {k: (r.extraction_status, r.mda_found) for k, r in got.items()} == {
         "x1": ("scored", 1), "x2": ("section_not_found", 0), "x3": ("section_too_short", 0),
     }
@@ -125,7 +125,7 @@ def test_model_scorer_isolates_failures(spark):
 
     scorer = scoring.model_scorer(load, {0: "Neutral", 1: "Positive", 2: "NEGATIVE"}, batch_size=2)
     df = spark.createDataFrame([filing(i, t) for i, t in enumerate(["a b", "c boom", "d e f", "g"])], FILINGS)
-    scored = score_filings(df, scorer, size=2)
+    scored = score_filings(df, scorer, scoring.word_chunks(2))
     good, bad = scoring.split_failures(scored)
     assert sorted(r.accession_number for r in good.collect()) == ["x0", "x2", "x3"]
     assert {r.chunk_count for r in good.collect()} == {1, 2}
@@ -135,6 +135,18 @@ def test_model_scorer_isolates_failures(spark):
     assert [r.accession_number for r in failed] == ["x1"] and "no score" in failed[0].scoring_error and failed[0].positive_prob is None
 
 
+def test_model_tokens(spark):
+    def load():
+        return (lambda text: [ord(c) for c in text]), (lambda ids: "".join(map(chr, ids)))
+
+    df = spark.createDataFrame([(1, "abcdefgh"), (2, ""), (3, None), (4, "ab    ")], "id int, t string")
+    cut = scoring.to_chunks(df, "t", ["id"], scoring.tokenizer_chunks(load, 3)).collect()
+    assert [(r.id, r.chunk_no, r.chunk) for r in cut if r.chunk] == [(1, 0, "abc"), (1, 1, "def"), (1, 2, "gh"), (4, 0, "ab")]
+    assert sorted(r.id for r in cut if r.chunk is None) == [2, 3]
+    first = scoring.to_chunks(df, "t", ["id"], scoring.tokenizer_chunks(load, 3, max_chunks=1))
+    assert first.where("id = 1").count() == 1
+
+
 def test_resume_and_merge(spark):
     df = spark.createDataFrame([filing(i, f"good text {i}") for i in range(3)], FILINGS)
     old = score_filings(df.where("accession_number = 'x0'"), LEXICON)

@@ -126,16 +126,40 @@ def model_scorer(
     return scores
 
 
-def to_chunks(
-    df: DataFrame,
-    text: str,
-    keep: Sequence[str],
+# A chunker maps a text column to an array of chunk texts.
+Chunker = Callable[[Column], Column]
+
+
+def word_chunks(size: int = CHUNK_TOKENS, max_chunks: int | None = None) -> Chunker:
+    """Chunks of whitespace-separated words, inside the JVM."""
+    return lambda text: chunks(words(text), size, max_chunks)
+
+
+def tokenizer_chunks(
+    load: Callable[[], tuple[Callable[[str], Sequence[int]], Callable[[Sequence[int]], str]]],
     size: int = CHUNK_TOKENS,
     max_chunks: int | None = None,
-    tokenize: Callable[[Column], Column] = words,
-) -> DataFrame:
+) -> Chunker:
+    """Chunks by a model's own tokens. ``load`` runs once per Python worker and returns (encode, decode)."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = load()
+
+        def pieces(text: str | None) -> list[str]:
+            ids = encode(text) if text else []
+            starts = range(0, len(ids), size)[:max_chunks]
+            return [p for p in (decode(ids[at : at + size]).strip() for at in starts) if p]
+
+        for texts in batches:
+            yield texts.map(pieces)
+
+    return cut
+
+
+def to_chunks(df: DataFrame, text: str, keep: Sequence[str], chunker: Chunker) -> DataFrame:
     """One row per chunk (``chunk_no`` from 0, ``chunk``) with the kept columns; a text without chunks keeps one null row."""
-    return df.select(*keep, F.posexplode_outer(chunks(tokenize(F.col(text)), size, max_chunks)).alias("chunk_no", "chunk"))
+    return df.select(*keep, F.posexplode_outer(chunker(F.col(text))).alias("chunk_no", "chunk"))
 
 
 def score_texts(
@@ -143,13 +167,11 @@ def score_texts(
     text: str,
     keep: Sequence[str],
     scorer: Scorer = DEFAULT_LEXICON,
-    size: int = CHUNK_TOKENS,
-    max_chunks: int | None = None,
-    tokenize: Callable[[Column], Column] = words,
+    chunker: Chunker = word_chunks(),
 ) -> DataFrame:
     """Kept columns (they must identify a text) plus chunk count, mean class probabilities, net score,
     dominant class and the first scoring error. Texts without chunks have count 0 and null scores."""
-    scored = to_chunks(df, text, keep, size, max_chunks, tokenize).select(
+    scored = to_chunks(df, text, keep, chunker).select(
         *keep, "chunk", F.when(F.col("chunk").isNotNull(), scorer(F.col("chunk"))).alias("s")
     )
     # a text-valued maximum would force a sort-based aggregation, so only scorers that can fail have it

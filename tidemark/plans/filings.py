@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contracts import FILING_SENTIMENT, SECTION_SENTIMENT, align
-from ..functions.text import CHUNK_TOKENS, MIN_SECTION_CHARS, discussion_section, normalize_whitespace
+from ..functions.text import MIN_SECTION_CHARS, discussion_section, normalize_whitespace
 from ..operators.dedup import append_new, new_only
-from ..operators.scoring import DEFAULT_LEXICON, Scorer, score_texts
+from ..operators.scoring import DEFAULT_LEXICON, Chunker, Scorer, score_texts, word_chunks
 
 _INDEX = ["ticker", "cik", "company_name", "form_type", "filing_date", "period_end", "accession_number", "text_file_path"]
 
@@ -16,8 +16,7 @@ _INDEX = ["ticker", "cik", "company_name", "form_type", "filing_date", "period_e
 def score_filings(
     filings: DataFrame,
     scorer: Scorer = DEFAULT_LEXICON,
-    size: int = CHUNK_TOKENS,
-    max_chunks: int | None = None,
+    chunker: Chunker = word_chunks(),
     model_name: str = "lexicon",
     source: str = "full_text",
 ) -> DataFrame:
@@ -28,7 +27,7 @@ def score_filings(
     cleaned = filings.withColumn("__clean", normalize_whitespace("text")).select(
         *_INDEX, "text_length", "__clean", F.length("__clean").cast("bigint").alias("clean_text_length")
     )
-    scored = score_texts(cleaned, "__clean", [*_INDEX, "text_length", "clean_text_length"], scorer, size, max_chunks)
+    scored = score_texts(cleaned, "__clean", [*_INDEX, "text_length", "clean_text_length"], scorer, chunker)
     kept = scored.where(F.col("chunk_count") > 0).withColumns(
         {"model_name": F.lit(model_name), "source": F.lit(source)}
     )
@@ -38,8 +37,7 @@ def score_filings(
 def score_sections(
     filings: DataFrame,
     scorer: Scorer = DEFAULT_LEXICON,
-    size: int = CHUNK_TOKENS,
-    max_chunks: int | None = None,
+    chunker: Chunker = word_chunks(),
     min_chars: int = MIN_SECTION_CHARS,
     model_name: str = "lexicon",
     source: str = "section_text",
@@ -58,7 +56,7 @@ def score_sections(
         F.when(F.col("s.status") == "scored", F.col("s.text")).alias("__section"),
     )
     keep = [*_INDEX, "raw_text_length", "mda_text_length", "__status", "extraction_method"]
-    scored = score_texts(cut, "__section", keep, scorer, size, max_chunks)
+    scored = score_texts(cut, "__section", keep, scorer, chunker)
     done = (F.col("__status") == "scored") & (F.col("chunk_count") > 0)
     status = F.when((F.col("__status") == "scored") & (F.col("chunk_count") == 0), "no_valid_chunks").otherwise(
         F.col("__status")

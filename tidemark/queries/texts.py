@@ -9,14 +9,13 @@ from ..functions.scalars import dominant_class, softmax
 from ..functions.text import (
     WS,
     SectionRule,
-    chunks,
     discussion_section,
     normalize_whitespace,
     plain_typography,
     section,
     words,
 )
-from ..operators.scoring import Lexicon, lexicon_scores, to_chunks
+from ..operators.scoring import Lexicon, lexicon_scores, to_chunks, word_chunks
 from ..plans.features import forward_labels, text_feature_names, text_features
 from ..plans.filings import score_filings, score_sections
 from ..plans.panels import text_panel
@@ -28,6 +27,7 @@ from .registry import Tables, comparable, query
 # Frequent words of the invented corpus stand in for sentiment vocabulary.
 LEXICON = Lexicon(("the", "que", "der", "los", "with", "les"), ("and", "des", "die", "del", "that", "und"))
 CHUNK = 64
+CHUNKER = word_chunks(CHUNK)
 
 
 def sql_ws(expr: str) -> str:
@@ -151,7 +151,7 @@ cut AS (
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, array_to_string(piece, ' ') AS chunk FROM cut")
 def text_chunks(t: Tables) -> DataFrame:
-    pieces = to_chunks(base.documents(t), "text", ["doc_id"], CHUNK).where(F.col("chunk").isNotNull())
+    pieces = to_chunks(base.documents(t), "text", ["doc_id"], CHUNKER).where(F.col("chunk").isNotNull())
     return comparable(pieces.select("doc_id", "chunk_no", "chunk"))
 
 
@@ -161,7 +161,7 @@ SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, array_to_string(piece, ' ')
 )
 def leading_chunks(t: Tables) -> DataFrame:
     """A cap on chunks per text, as an option of chunking."""
-    cut = base.documents(t).select("doc_id", F.posexplode(chunks(words("text"), CHUNK, max_chunks=3)).alias("chunk_no", "chunk"))
+    cut = base.documents(t).select("doc_id", F.posexplode(word_chunks(CHUNK, max_chunks=3)(F.col("text"))).alias("chunk_no", "chunk"))
     return comparable(cut)
 
 
@@ -178,7 +178,7 @@ def sql_scores(piece: str) -> str:
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, round(positive, 6) AS positive, round(negative, 6) AS negative, round(neutral, 6) AS neutral FROM (SELECT doc_id, chunk_no, {sql_scores('piece')} FROM cut)")
 def chunk_scores(t: Tables) -> DataFrame:
-    pieces = to_chunks(base.documents(t), "text", ["doc_id"], CHUNK).where(F.col("chunk").isNotNull())
+    pieces = to_chunks(base.documents(t), "text", ["doc_id"], CHUNKER).where(F.col("chunk").isNotNull())
     scored = pieces.select("doc_id", "chunk_no", lexicon_scores(words(F.lower("chunk")), LEXICON).alias("s"))
     return comparable(scored.select("doc_id", "chunk_no", "s.positive", "s.negative", "s.neutral"))
 
@@ -214,7 +214,7 @@ FROM scored JOIN clean_length USING (accession_number)"""
 )
 def filing_sentiment(t: Tables) -> DataFrame:
     """Whole-filing sentiment: clean, chunk, score, average."""
-    scored = score_filings(base.filings(t), LEXICON, CHUNK)
+    scored = score_filings(base.filings(t), LEXICON, CHUNKER)
     return comparable(
         scored.select("accession_number", "text_length", "clean_text_length", "chunk_count", "positive_prob",
                       "negative_prob", "neutral_prob", "sentiment_score", "dominant_sentiment")
@@ -242,7 +242,7 @@ FROM section_sentiment"""
 )
 def section_sentiment(t: Tables) -> DataFrame:
     """Section sentiment; reports without a usable section stay, with their status."""
-    scored = score_sections(reports(t), LEXICON, CHUNK)
+    scored = score_sections(reports(t), LEXICON, CHUNKER)
     return comparable(
         scored.select("accession_number", "raw_text_length", "mda_text_length", "extraction_status", "extraction_method",
                       "mda_found", "chunk_count", "positive_prob", "negative_prob", "neutral_prob", "sentiment_score",
@@ -256,7 +256,7 @@ SELECT extraction_status, count(*) AS n, round(avg(chunk_count), 6) AS mean_chun
 FROM section_sentiment GROUP BY 1"""
 )
 def section_status_counts(t: Tables) -> DataFrame:
-    scored = score_sections(reports(t), LEXICON, CHUNK)
+    scored = score_sections(reports(t), LEXICON, CHUNKER)
     return comparable(
         scored.groupBy("extraction_status").agg(
             F.count(F.lit(1)).alias("n"), F.avg("chunk_count").alias("mean_chunks"), F.avg("mda_text_length").alias("mean_chars")
@@ -280,11 +280,11 @@ def _text_feature_sql(prefix: str, source: str, section_variant: bool) -> str:
 
 def filing_scores(t: Tables) -> DataFrame:
     """Whole-filing sentiment as a written table: the steps after it read it several times."""
-    return cut_lineage(score_filings(base.filings(t), LEXICON, CHUNK))
+    return cut_lineage(score_filings(base.filings(t), LEXICON, CHUNKER))
 
 
 def section_scores(t: Tables) -> DataFrame:
-    return cut_lineage(score_sections(reports(t), LEXICON, CHUNK))
+    return cut_lineage(score_sections(reports(t), LEXICON, CHUNKER))
 
 
 def _rounded(prefix: str) -> str:

@@ -76,6 +76,31 @@ def filing_index(rows: DataFrame, order: Sequence[str] = ("filing_date", "form_t
     return align(keep_first(rows, ["ticker", "accession_number"], order), FILING_INDEX)
 
 
+def new_filings(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """Filings whose (ticker, key) the existing index does not have."""
+    keyed = found.withColumn("__key", filing_key())
+    known = existing.select("ticker", filing_key().alias("__key")).distinct()
+    return keyed.join(known, ["ticker", "__key"], "left_anti").drop("__key")
+
+
+def index_filings(found: DataFrame, root: str, existing: DataFrame | None = None, source: str = "filings") -> DataFrame:
+    """Index columns plus ``text`` for pulled filings with ``plain`` and ``markdown`` texts.
+
+    Filings without a date or without any text are left out, known ones skipped, and one row per
+    (ticker, accession) is kept. Lengths are characters.
+    """
+    dated = found.dropna(subset=["filing_date"])
+    fresh = dated if existing is None else new_filings(dated, existing)
+    rows = (
+        fresh.withColumn("text", choose_text(F.col("plain"), F.col("markdown")))
+        .where(F.col("text") != "")
+        .withColumns({"text_length": F.length("text").cast("bigint"), "text_file_path": text_path(root), "source": F.lit(source)})
+    )
+    return keep_first(rows, ["ticker", "accession_number"], ["filing_date", "form_type", "text_file_path"]).select(
+        *FILING_INDEX.names, "text"
+    )
+
+
 def original_filings(
     index: DataFrame,
     forms: Sequence[str] = ORIGINAL_FORMS,
