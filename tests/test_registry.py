@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
-from tidemark.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -22,6 +21,10 @@ def database():
     con.close()
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def shaped(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(0.0 if r[i] == 0 and isinstance(r[i], float) else r[i] for i in order) for r in rows]
@@ -31,6 +34,9 @@ def shaped(rows, columns):
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_query_equals_sql(spark, database, name):
     df = registered.queries()[name](spark, FOLDER)
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "EvalPython" not in text and "InPandas" not in text
     result = database.execute(registered.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
@@ -44,10 +50,6 @@ def test_entry(spark):
     assert {"ticker", "date", "label", "roa"} <= set(df.columns) and df.count() > 0
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_flagship_plan(spark):
     text = plan(registered.queries()["modelling_panel"](spark, FOLDER))
     # bars: by day, then by ticker; facts: newest per concept, per period, then by ticker; the as-of join adds none
@@ -56,13 +58,6 @@ def test_flagship_plan(spark):
     assert "SinglePartition" not in text and "Cartesian" not in text and "Python" not in text
 
 
-@pytest.mark.parametrize("name", sorted(set(REGISTRY) - {n for n in REGISTRY if n.startswith(("model_", "compare_", "training"))}))
-def test_plans_stay_in_the_jvm_and_avoid_cross_joins(spark, name):
-    text = plan(registered.queries()[name](spark, FOLDER))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert "EvalPython" not in text and "InPandas" not in text
-
-
 def test_scans_read_only_needed_columns(spark):
     text = plan(registered.queries()["bars"](spark, FOLDER))
     assert re.search(r"ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_extendedprice:double,l_shipdate", text)

@@ -96,7 +96,7 @@ def test_split_windows_equal_plain_windows(spark, rows_per_segment):
 
 def test_segments_are_small_and_ordered(spark):
     df = uneven_series(spark)
-    cut = assign_segments(df, ["k"], time_axis(df, "t"), 40).cache()
+    cut = assign_segments(df, ["k"], [time_axis(df, "t")], 40).cache()
     sizes = {(r.k, r[SEG]): r.n for r in cut.groupBy("k", SEG).agg(F.count("*").alias("n")).collect()}
     assert sizes[("mid", None)] == 30 and sizes[("one", None)] == 1
     assert max(n for (k, _), n in sizes.items() if k == "hot") <= 80
@@ -106,10 +106,26 @@ def test_segments_are_small_and_ordered(spark):
 
 def test_single_instant_is_spread(spark):
     df = spark.range(1000).select(F.lit("k").alias("k"), F.lit(7).alias("t"), "id")
-    cut = assign_segments(df, ["k"], F.col("t").cast("bigint"), 100, spread=F.col("id") + 1)
+    cut = assign_segments(df, ["k"], [F.col("t").cast("bigint")], 100, spread=F.col("id") + 1)
     assert max(r.n for r in cut.groupBy(SEG).agg(F.count("*").alias("n")).collect()) <= 150
 
 
+def test_one_instant_is_cut_along_the_next_order_column(spark):
+    rows = [("k", day(1), f"doc-{random.randrange(10**6):06d}-{i}" if i % 50 else None, float(i)) for i in range(600)]
+    rows += [("k", day(9), "late", -1.0), ("k", day(0), "early", -2.0)]
+    df = spark.createDataFrame(rows, "k string, d date, a string, x double")
+    unique = df.groupBy("k", "d", "a").agg(F.max("x").alias("x"))
+
+    def change(frame, w):
+        return frame.withColumn("y", series.diff("x", w))
+
+    plain = over_series(unique, ["k"], ["d", "a"], change, rows_per_segment=None)
+    split = over_series(unique, ["k"], ["d", "a"], change, back=1, rows_per_segment=30)
+    assert sorted_rows(split) == sorted_rows(plain)
+    cut = assign_segments(unique, ["k"], [time_axis(unique, c) for c in ("d", "a")], 30, levels=3)
+    assert max(r.n for r in cut.groupBy(SEG).agg(F.count("*").alias("n")).collect()) <= 60
+
+
 def test_market_features_do_not_look_ahead(spark):
     random.seed(5)
     rows = [("a", day(i), 50 + random.random(), 1000.0 + random.randrange(100)) for i in range(60)]

@@ -66,7 +66,7 @@ def asof_join(
     parts = list(on)
     if rows_per_segment is not None:
         spread = F.when(F.col(_SIDE) == 0, F.lit(0)).otherwise(F.abs(F.xxhash64(_LEFT) % (1 << 40)) + 1)
-        stacked = assign_segments(stacked, on, time_axis(stacked, _T), rows_per_segment, spread)
+        stacked = assign_segments(stacked, on, [time_axis(stacked, _T)], rows_per_segment, spread)
         # left rows without a key match nothing; scatter them instead of sorting them as one group
         keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
         stacked = stacked.withColumn(SEG, F.when(keyless, F.pmod(F.xxhash64(_LEFT), F.lit(1 << 16))).otherwise(F.col(SEG)))

@@ -25,7 +25,10 @@ _REFINE = 1 << 20  # sub-segments per segment of the level above
 
 
 def time_axis(df: DataFrame, column: str) -> Column:
-    """The order column as a bigint that grows with it."""
+    """An order column as a bigint that never falls as the column grows.
+
+    Dates, timestamps and integers keep their order exactly, text keeps that of its first 7 bytes.
+    """
     dtype = dict(df.dtypes)[column]
     c = F.col(column)
     if dtype == "date":
@@ -34,68 +37,72 @@ def time_axis(df: DataFrame, column: str) -> Column:
         return F.unix_micros(c.cast("timestamp"))
     if dtype in ("tinyint", "smallint", "int", "bigint"):
         return c.cast("bigint")
-    raise TypeError(f"order column {column} has type {dtype}; expected a date, timestamp or integer")
+    if dtype == "string":
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+    raise TypeError(f"order column {column} has type {dtype}; expected a date, timestamp, integer or text")
 
 
 def assign_segments(
     df: DataFrame,
     keys: Sequence[str],
-    axis: Column,
+    axes: Sequence[Column],
     rows_per_segment: int = ROWS_PER_SEGMENT,
     spread: Column | None = None,
-    levels: int = 2,
+    levels: int = 3,
 ) -> DataFrame:
-    """Add ``__seg``: null for keys that are not hot, else a number that never falls as ``axis`` grows.
+    """Add ``__seg``: null for keys that are not hot, else a number that never falls in ``axes`` order.
 
-    The first level cuts a key's time span evenly. Further levels cut segments that are still too
-    heavy, such as bursts. ``spread`` (a bigint >= 0) tells apart rows that share one instant: a
-    heavy segment of a single instant is divided by it, 0 first, and so are rows without a time.
+    The first level cuts a key's time span (the first axis) evenly. Further levels cut segments that
+    are still too heavy, such as bursts; a segment of a single instant is cut along the next axis.
+    ``spread`` (a bigint >= 0) serves where rows of one instant need no order: a heavy segment of a
+    single instant is divided by it, 0 first, and so are rows without a time.
+
+    ``df`` is read once more for the statistics (keys and axes only), and again per level for hot
+    keys. Write an expensive input to a table first.
     """
-    out = df.withColumn("__axis", axis).withColumn(SEG, F.lit(None).cast("bigint"))
+    marks = [f"__axis{i}" for i in range(len(axes))]
+    out = df.withColumns(dict(zip(marks, axes))).withColumn(SEG, F.lit(None).cast("bigint"))
     if spread is not None:
         out = out.withColumn("__spread", spread)
-    narrow = [*keys, "__axis", SEG]
+    narrow = [*keys, *marks, SEG]
     parts: list[str] = list(keys)
+    cuts = F.col("__cuts")
     for level in range(levels):
         limit = rows_per_segment if level == 0 else 2 * rows_per_segment
         base = out if level == 0 else out.where(F.col(SEG).isNotNull())
         heavy = (
             base.select(*narrow)
             .groupBy(*parts)
-            .agg(F.count(F.lit(1)).alias("__n"), F.min("__axis").alias("__lo"), F.max("__axis").alias("__hi"))
-            .where(F.col("__n") > limit)
-            .withColumn(
-                "__cuts", F.least(F.ceil(F.col("__n") / F.lit(rows_per_segment)), F.lit(_REFINE - 2))
+            .agg(
+                F.count(F.lit(1)).alias("__n"),
+                *[f(m).alias(m + end) for m in marks for f, end in ((F.min, "_lo"), (F.max, "_hi"))],
             )
+            .where(F.col("__n") > limit)
+            .withColumn("__cuts", F.least(F.ceil(F.col("__n") / F.lit(rows_per_segment)), F.lit(_REFINE - 2)))
             .drop("__n")
         )
-        even = F.floor(
-            (F.col("__axis") - F.col("__lo")).cast("double")
-            / (F.col("__hi") - F.col("__lo") + 1).cast("double")
-            * F.col("__cuts")
-        ).cast("bigint")
-        cut = even
+        # the axes are tried from the last to the first, so the first one with more than one value decides
+        cut = F.lit(0)
         if spread is not None:
             # slot 0 keeps the rows that must come first, the others share the rest
-            shared = F.when(F.col("__spread") == 0, F.lit(0)).otherwise(
-                F.pmod(F.col("__spread"), F.col("__cuts")) + 1
-            )
-            cut = (
-                F.when(F.col("__axis").isNull(), F.pmod(F.col("__spread"), F.col("__cuts")))
-                .when(F.col("__lo") == F.col("__hi"), shared.cast("bigint"))
-                .otherwise(even)
-            )
+            cut = F.when(F.col("__spread") == 0, F.lit(0)).otherwise(F.pmod(F.col("__spread"), cuts) + 1)
+        for m in reversed(marks):
+            at, lo, hi = F.col(m), F.col(m + "_lo"), F.col(m + "_hi")
+            even = F.floor((at - lo).cast("double") / (hi - lo + 1).cast("double") * cuts)
+            cut = F.when(lo < hi, F.coalesce(even, F.lit(0))).otherwise(cut)
+        if spread is not None:
+            cut = F.when(F.col(marks[0]).isNull(), F.pmod(F.col("__spread"), cuts)).otherwise(cut)
         above = F.lit(0) if level == 0 else F.col(SEG)
-        seg = F.when(F.col("__cuts").isNotNull(), above * _REFINE + cut)
+        seg = F.when(cuts.isNotNull(), above * _REFINE + cut.cast("bigint"))
         if level > 0:
             seg = F.coalesce(seg, F.col(SEG) * _REFINE)
         out = (
             out.join(F.broadcast(heavy), parts, "left")
             .withColumn(SEG, seg)
-            .drop("__lo", "__hi", "__cuts")
+            .drop(*[m + end for m in marks for end in ("_lo", "_hi")], "__cuts")
         )
         parts = [*keys, SEG]
-    return out.drop("__axis", "__spread")
+    return out.drop(*marks, "__spread")
 
 
 def _halo_rows(
@@ -141,13 +148,14 @@ def over_series(
     """Run ``compute(df, window)`` on each key's ordered series.
 
     ``back`` and ``ahead`` are the most rows any expression reaches from the current row, over all
-    chained steps. ``order`` must identify a row within its key; its first column is the time axis.
+    chained steps. ``order`` must identify a row within its key; its first column is the time axis,
+    the others decide within one instant.
     ``rows_per_segment=None`` states that rows per key are bounded, and uses plain windows.
     ``compute`` must keep the key and order columns and must not drop rows.
     """
     if rows_per_segment is None:
         return compute(df, Window.partitionBy(*keys).orderBy(*order))
-    split = assign_segments(df, keys, time_axis(df, order[0]), rows_per_segment)
+    split = assign_segments(df, keys, [time_axis(df, c) for c in order], rows_per_segment)
     hot = split.where(F.col(SEG).isNotNull())
     rows = split.withColumn(_HALO, F.lit(False))
     for reach, is_ahead in ((back, False), (ahead, True)):

@@ -13,7 +13,7 @@ from ..operators.joins import attach
 from ..operators.reshape import facts_to_wide
 from ..operators.segments import ROWS_PER_SEGMENT
 from ..sources.facts import ALLOWED_FORMS, CONCEPTS
-from .features import MARKET_FEATURES, text_feature_names
+from .features import MARKET_FEATURES, forward_labels, market_features, text_feature_names
 
 
 def normalize_facts(raw: DataFrame) -> DataFrame:
@@ -73,6 +73,20 @@ def text_panel(
     )
 
 
+def bars_to_panel(
+    bars: DataFrame, statements: DataFrame, horizon: tuple[str, str] | None = None, rows_per_segment: int | None = None
+) -> DataFrame:
+    """Labels, market features and newest statement of every bar, from one sort of the bars.
+
+    Equal to :func:`statement_panel` followed by :func:`market_panel` where both tables come from the
+    same bars, without the join: the features ride along as columns of the bars. As in the separate
+    tables, labels see the bars beyond the horizon and trailing features start inside it.
+    """
+    labelled = forward_labels(bars, horizon=horizon, rows_per_segment=rows_per_segment)
+    wide = market_features(labelled, keep=labelled.columns, rows_per_segment=rows_per_segment)
+    return statement_panel(wide, statements, rows_per_segment)
+
+
 def market_panel(panel: DataFrame, market: DataFrame) -> DataFrame:
     """A statement panel with the market features of the same key and day."""
     return attach(panel, market, ["ticker", "date"], MARKET_FEATURES)

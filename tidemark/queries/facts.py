@@ -208,10 +208,10 @@ def source_fallback(t: Tables) -> DataFrame:
     return comparable(prefer_source(first, orders.where(F.col("o_orderstatus") == "O"), ["o_custkey"]))
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40")
 def coverage_gap(t: Tables) -> DataFrame:
-    """Parts that were never returned."""
-    returned = t("lineitem").where(F.col("l_returnflag") == "R").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that were never returned in bulk."""
+    returned = t("lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 40)).select(F.col("l_partkey").alias("p_partkey"))
     return comparable(missing_members(t("part"), returned, ["p_partkey"]))
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import metrics, modeling
 from ..operators.quantiles import exact_quantiles
 from ..plans.comparison import Comparison, Setup, compare
-from ..plans.features import MARKET_CORE, MARKET_FEATURES, STATEMENT_FEATURES, forward_labels, market_features, text_feature_names, text_features
-from ..plans.panels import market_panel, text_panel, usable_rows
+from ..plans.features import MARKET_CORE, MARKET_FEATURES, STATEMENT_FEATURES, market_features, text_feature_names, text_features
+from ..plans.panels import bars_to_panel, text_panel, usable_rows
 from ..session import cut_lineage
 from . import common as base
 from .market import FEATURES
-from .panels import _panel
+from .panels import _statements
 from .registry import Tables, comparable, query
 from .texts import filing_scores, section_scores, text_bars
 
@@ -229,8 +229,8 @@ SIZES = modeling.ModelSizes(logistic_iterations=100, forest_trees=20, forest_dep
 
 
 def _market_setups(t: Tables) -> dict[str, Setup]:
-    columns = ["ticker", "date", "forward_return_5d", "label", *STATEMENT_FEATURES]
-    panel = market_panel(usable_rows(_panel(t)).select(*columns), market_features(base.bars(t)))
+    columns = ["ticker", "date", "forward_return_5d", "label", *STATEMENT_FEATURES, *MARKET_FEATURES]
+    panel = cut_lineage(usable_rows(bars_to_panel(base.bars(t), _statements(t))).select(*columns))
     return {
         "layer1_only": Setup(panel, STATEMENT_FEATURES),
         "layer1_plus_layer2_core": Setup(panel, STATEMENT_FEATURES + MARKET_CORE),

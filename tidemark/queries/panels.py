@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.asof import asof_join
 from ..operators.joins import attach
 from ..plans.features import MARKET_CORE, MARKET_FEATURES, STATEMENT_FEATURES, forward_labels, market_features, statement_features
-from ..plans.panels import clean_fundamentals, market_panel, statement_panel, usable_rows
+from ..plans.panels import bars_to_panel, clean_fundamentals, market_panel, statement_panel, usable_rows
 from . import common as base
 from .facts import STATEMENTS
 from .market import FEATURES, LABELS
-from .registry import Tables, comparable, query
+from .registry import REGISTRY, Tables, comparable, query
 
 _EVENT_PAIR_SQL = """
 WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'),
@@ -115,7 +115,14 @@ FROM panel p LEFT JOIN market m ON p.ticker = m.ticker AND p.date = m.date
 WHERE p.filing_date IS NOT NULL AND p.label IS NOT NULL"""
 )
 def statement_market_panel(t: Tables) -> DataFrame:
-    """Usable panel rows joined to the market features of the day."""
+    """Usable panel rows with the market features of the day, from one pass over the bars."""
+    panel = usable_rows(bars_to_panel(base.bars(t), _statements(t)))
+    return comparable(panel.select("ticker", "date", "label", "net_margin", *MARKET_FEATURES))
+
+
+@query(REGISTRY["statement_market_panel"].sql)
+def statement_market_join(t: Tables) -> DataFrame:
+    """The same from two tables joined on key and day."""
     panel = usable_rows(_panel(t)).select("ticker", "date", "label", "net_margin")
     return comparable(market_panel(panel, market_features(base.bars(t))))
 

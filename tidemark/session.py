@@ -13,6 +13,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture for every Column call doubles the time to build a wide plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
