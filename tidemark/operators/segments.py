@@ -48,7 +48,7 @@ def assign_segments(
     axes: Sequence[Column],
     rows_per_segment: int = ROWS_PER_SEGMENT,
     spread: Column | None = None,
-    levels: int = 3,
+    levels: int = 2,
 ) -> DataFrame:
     """Add ``__seg``: null for keys that are not hot, else a number that never falls in ``axes`` order.
 
