@@ -3,6 +3,8 @@
 Each function takes the window to work over, so the same formula serves a plain per-key window and
 the split windows of :mod:`tidemark.operators.segments`. A trailing frame of ``n`` rows yields a
 value only when it holds ``n`` non-null inputs.
+
+Spark evaluates a window function once per mention, so formulas that use one several times bind it.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from .scalars import as_col, safe_divide
+from .scalars import as_col, bind, safe_divide
 
 
 def shift(value: Column | str, rows: int, w: WindowSpec) -> Column:
@@ -27,22 +29,28 @@ def diff(value: Column | str, w: WindowSpec) -> Column:
 
 def pct_return(value: Column | str, rows: int, w: WindowSpec) -> Column:
     """Relative change against the value ``rows`` earlier."""
-    return safe_divide(as_col(value), shift(value, rows, w)) - 1.0
+    c = as_col(value)
+    return bind(shift(value, rows, w), lambda prior: safe_divide(c, prior)) - 1.0
 
 
 def forward_return(value: Column | str, rows: int, w: WindowSpec) -> Column:
     """Return to the value ``rows`` ahead. A zero base gives a signed infinity, as plain doubles do."""
-    c, ahead = as_col(value), shift(value, -rows, w)
-    return (
-        F.when(c != 0, F.try_divide(ahead, c) - 1.0)
+    c = as_col(value)
+    return bind(
+        shift(value, -rows, w),
+        lambda ahead: F.when(c != 0, F.try_divide(ahead, c) - 1.0)
         .when(ahead > 0, F.lit(float("inf")))
-        .when(ahead < 0, F.lit(float("-inf")))
+        .when(ahead < 0, F.lit(float("-inf"))),
     )
 
 
 def growth(value: Column | str, rows: int, w: WindowSpec) -> Column:
-    prior = shift(value, rows, w)
-    return safe_divide(as_col(value) - prior, prior)
+    c = as_col(value)
+    return bind(shift(value, rows, w), lambda prior: growth_from(c, prior))
+
+
+def growth_from(value: Column | str, prior: Column | str) -> Column:
+    return safe_divide(as_col(value) - as_col(prior), prior)
 
 
 def average_balance(value: Column | str, w: WindowSpec) -> Column:
@@ -64,11 +72,14 @@ def trailing_std(value: Column | str, rows: int, w: WindowSpec) -> Column:
 
 
 def ratio_to_trailing_mean(value: Column | str, rows: int, w: WindowSpec) -> Column:
-    return safe_divide(as_col(value), trailing_mean(value, rows, w))
+    c = as_col(value)
+    return bind(trailing_mean(value, rows, w), lambda mean: safe_divide(c, mean))
 
 
 def trailing_zscore(value: Column | str, rows: int, w: WindowSpec) -> Column:
-    return safe_divide(as_col(value) - trailing_mean(value, rows, w), trailing_std(value, rows, w))
+    c = as_col(value)
+    moments = F.struct(trailing_mean(value, rows, w).alias("mean"), trailing_std(value, rows, w).alias("std"))
+    return bind(moments, lambda m: safe_divide(c - m["mean"], m["std"]))
 
 
 def gain(change: Column | str) -> Column:
@@ -85,7 +96,11 @@ def loss(change: Column | str) -> Column:
 
 def rsi(change: Column | str, rows: int, w: WindowSpec) -> Column:
     """Relative strength index with simple means; null while there has been no loss in the frame."""
-    strength = safe_divide(
-        trailing_mean(gain(change), rows, w), trailing_mean(loss(change), rows, w)
+    means = F.struct(
+        trailing_mean(gain(change), rows, w).alias("up"), trailing_mean(loss(change), rows, w).alias("down")
     )
-    return F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength)
+    return bind(means, lambda m: rsi_from(m["up"], m["down"]))
+
+
+def rsi_from(mean_gain: Column | str, mean_loss: Column | str) -> Column:
+    return F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + safe_divide(mean_gain, mean_loss))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..contracts import BARS, FUNDAMENTALS_META, coerce, enforce, require
 from ..functions import series
 from ..functions.scalars import binary_label, indicator, safe_divide
-from ..functions.series import average_balance, growth
+from ..functions.series import average_balance
 from ..operators.dedup import keep_first
 from ..operators.segments import ROWS_PER_SEGMENT, over_series
 from ..sources.facts import CONCEPTS
@@ -57,18 +57,21 @@ def statement_features(
     )
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        averages = df.select(
+        grown = [
+            (c, k, f"{name}_growth_{span}")
+            for c, name in (("revenue", "revenue"), ("net_income", "earnings"))
+            for k, span in ((1, "qoq"), (4, "yoy"))
+        ]
+        # window results become columns before they are used, so each is computed once
+        lagged = df.select(
             "*",
             *[
                 average_balance(c, w).alias(f"__avg_{c}")
                 for c in ("total_assets", "shareholders_equity", "inventory", "accounts_receivable")
             ],
-            *[
-                growth(c, k, w).alias(f"{name}_growth_{span}")
-                for c, name in (("revenue", "revenue"), ("net_income", "earnings"))
-                for k, span in ((1, "qoq"), (4, "yoy"))
-            ],
+            *[series.shift(c, k, w).alias(f"__{c}_{k}") for c, k, _ in grown],
         )
+        averages = lagged.select("*", *[series.growth_from(c, f"__{c}_{k}").alias(name) for c, k, name in grown])
         c = F.col
         ratios = {
             "current_ratio": (c("current_assets"), c("current_liabilities")),
@@ -135,20 +138,30 @@ def market_features(
     kept = list(keep) if keep is not None else [key, date]
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        first = df.select(
+        # window results become columns before they are used, so each is computed once
+        lagged = df.select("*", *[series.shift(price, k, w).alias(f"__lag{k}") for k in (1, 5, 10, 21)])
+        returns = lagged.select(
             "*",
-            *[series.pct_return(price, k, w).alias(f"return_{k}d") for k in (1, 5, 10, 21)],
-            series.diff(price, w).alias("__move"),
+            *[(safe_divide(price, f"__lag{k}") - 1.0).alias(f"return_{k}d") for k in (1, 5, 10, 21)],
+            (F.col(price) - F.col("__lag1")).alias("__move"),
         )
-        second = first.select(
+        sides = returns.select("*", series.gain("__move").alias("__up"), series.loss("__move").alias("__down"))
+        rolled = sides.select(
             "*",
             series.trailing_std("return_1d", 5, w).alias("volatility_5d"),
             series.trailing_std("return_1d", 21, w).alias("volatility_21d"),
-            series.ratio_to_trailing_mean(volume, 20, w).alias("volume_ratio_20d"),
-            series.trailing_zscore(volume, 20, w).alias("volume_zscore_20d"),
-            series.rsi("__move", 14, w).alias("rsi_14"),
+            series.trailing_mean(volume, 20, w).alias("__volume_mean"),
+            series.trailing_std(volume, 20, w).alias("__volume_std"),
+            series.trailing_mean("__up", 14, w).alias("__mean_up"),
+            series.trailing_mean("__down", 14, w).alias("__mean_down"),
+        )
+        return rolled.select(
+            "*",
+            safe_divide("volatility_5d", "volatility_21d").alias("volatility_ratio_5d_21d"),
+            safe_divide(volume, "__volume_mean").alias("volume_ratio_20d"),
+            safe_divide(F.col(volume) - F.col("__volume_mean"), "__volume_std").alias("volume_zscore_20d"),
+            series.rsi_from("__mean_up", "__mean_down").alias("rsi_14"),
         )
-        return second.withColumn("volatility_ratio_5d_21d", safe_divide("volatility_5d", "volatility_21d"))
 
     base = bars.select(*dict.fromkeys([*kept, key, date, price, volume]))
     done = over_series(base, [key], [date], compute, back=21, rows_per_segment=rows_per_segment)

@@ -115,7 +115,11 @@ def flatten_facts(
             F.col("fact.val").alias("value"),
             "unit",
             F.lit(source).alias("source"),
-            F.struct("role.priority", "unit_no", "fact_no").alias("fact_order"),
+            (
+                F.shiftleft(F.col("role.priority").cast("bigint"), 48)
+                + F.shiftleft(F.col("unit_no").cast("bigint"), 32)
+                + F.col("fact_no")
+            ).alias("fact_order"),
         )
         .where(within("filing_date", start, end, null_ok=True) & within("period_end", start, end, null_ok=True))
     )
