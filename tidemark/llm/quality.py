@@ -149,10 +149,11 @@ def cutoffs(good: DataFrame, stratum: str, risk: float = 0.02, error: float = 0.
             for rule, (_, _, cuts) in RULES.items()
         ],
     )
+    counts = counts.withColumn("n_strata", F.count("*").over(Window.partitionBy(F.lit(0))))  # one row per stratum
     tried = counts.select(
         stratum,
         "n_good",
-        F.count("*").over(Window.partitionBy(F.lit(0))).alias("n_strata"),  # one row per stratum
+        "n_strata",
         F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.arrays_zip(F.array(*map(F.lit, cuts)).alias("cut"), F.col(rule).alias("x")).alias("tries")) for rule, (_, _, cuts) in RULES.items()])).alias("r"),
     ).select(stratum, "n_good", "n_strata", F.col("r.rule").alias("rule"), F.posexplode("r.tries").alias("step", "try"))
     proven = binomial_tail(F.col("try.x"), F.col("n_good"), risk / len(RULES)) <= F.lit(error) / (F.col("n_strata") * len(RULES))
