@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, secrets
+from . import fingerprints, language, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_report(documents(spark, folder))
+
+
 @query
 def op3_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.spans(documents(spark, folder)))
