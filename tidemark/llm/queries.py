@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, packing, quality, secrets
+from . import fingerprints, language, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,11 @@ def op6_language_bitmasks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_karmarkar_karp_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer_path(), capacity=1024, end_id=0)
+
+
+@query
+def op10_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    field = toxicity.fit(docs, labels(spark, folder), training=~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs, field)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
