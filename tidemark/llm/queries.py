@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, packing, quality, secrets, toxicity
+from . import fingerprints, language, mixing, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op3_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.spans(documents(spark, folder)))
 
 
+@query
+def op4_subset_sum_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder), weights=(3, 1, 2), share=1.5, limit=2)
+
+
 @query
 def op5_risk_controlled_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(documents(spark, folder), labels(spark, folder), risk=0.02, error=0.05)
