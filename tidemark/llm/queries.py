@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, mixing, packing, quality, secrets, toxicity
+from . import fingerprints, forest, language, mixing, packing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +104,11 @@ def op6_language_bitmasks(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_lsh_forest_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(documents(spark, folder))
+
+
 @query
 def op8_karmarkar_karp_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer_path(), capacity=1024, end_id=0)
