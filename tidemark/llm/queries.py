@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, language, mixing, packing, quality, secrets, toxicity
+from . import fingerprints, forest, language, mixing, packing, quality, secrets, suffixes, superkmers, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edit_report(documents(spark, folder))
 
 
+@query
+def op2_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, folder), width=100)
+
+
 @query
 def op3_linked_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.spans(documents(spark, folder)))
@@ -114,6 +119,11 @@ def op8_karmarkar_karp_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder), tokenizer_path(), capacity=1024, end_id=0)
 
 
+@query
+def op9_super_kmer_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return superkmers.remove_repeats(documents(spark, folder), width=35)
+
+
 @query
 def op10_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
