@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 #: words left to the dynamic program, and documents of one size ranked together
-CAPACITY, RANKED = 40_000, 20_000
+CAPACITY, RANKED = 40_000, 1_000
 
 
 def word_count(text: Column) -> Column:

@@ -130,3 +130,10 @@ def op10_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
     field = toxicity.fit(docs, labels(spark, folder), training=~toxicity.held_out(F.col("doc_id")))
     scored = toxicity.score(docs, field)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

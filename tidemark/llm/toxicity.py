@@ -29,7 +29,7 @@ from .textbytes import BYTE_VALUES, IS_SPACE, LOWER, mix, prefix_hashes, shingle
 SLICE = 1 << 19
 #: steps of a lane in the forward and backward recursions
 LANE = 256
-FIT_TASKS = 16
+FIT_TASKS = 6
 KEPT = IS_SPACE | (np.arange(256) >= 0x80) | ((np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z")))
 
 
@@ -331,8 +331,10 @@ def fit(
     return replace(unscored, curve=fit_curve(x, np.array([r["toxic"] for r in judged], float)))
 
 
-def score(documents: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, score, expected, greatest, spans, and the columns of ``keep``.
+def score(
+    documents: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None, threshold: float = 0.5, prefix: str = ""
+) -> DataFrame:
+    """One row per document: doc_id, score, expected, greatest, spans (named with ``prefix``), and the columns of ``keep``.
 
     Only the text decides. ``spans`` lists start:end (code points, end exclusive) of the runs of words whose
     marginal reaches ``threshold``. A null text counts as empty; it has the score of a text without toxic
@@ -342,8 +344,8 @@ def score(documents: DataFrame, field: Field, id_column: str = "doc_id", text_co
     source = documents.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("judged"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
     )
-    doubles = [T.StructField(c, T.DoubleType()) for c in ("score", "expected", "greatest")]
-    schema = T.StructType([source.schema["doc_id"], *doubles, T.StructField("spans", T.StringType()), *[replace_name(source.schema[f"kept_{k}"], c) for k, c in enumerate(keep)]])
+    doubles = [T.StructField(prefix + c, T.DoubleType()) for c in ("score", "expected", "greatest")]
+    schema = T.StructType([replace_name(source.schema["doc_id"], prefix + "doc_id"), *doubles, T.StructField(prefix + "spans", T.StringType()), *[replace_name(source.schema[f"kept_{k}"], c) for k, c in enumerate(keep)]])
     arrow = to_arrow_schema(schema)
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
@@ -360,6 +362,12 @@ def score(documents: DataFrame, field: Field, id_column: str = "doc_id", text_co
     return source.mapInArrow(run, schema)
 
 
+def without_toxic(documents: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text", limit: float = 0.7) -> DataFrame:
+    """The documents whose score is below ``limit``; columns as before, which must have distinct names."""
+    judged = score(documents, field, id_column, text_column, keep=documents.columns, prefix="_judged_")
+    return judged.where(F.col("_judged_score") < limit).select(*documents.columns)
+
+
 def replace_name(field: T.StructField, name: str) -> T.StructField:
     return T.StructField(name, field.dataType, field.nullable)
 
