@@ -153,7 +153,7 @@ def redact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     found = spans(documents, id_column, text_column, reach).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"])
     merged = F.aggregate(
-        F.col("found"),
+        F.col("_found"),
         F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).cast("long").alias("done")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["done"], F.concat(acc["pieces"], F.array(F.substring(F.col("_text"), (acc["done"] + 1).cast("int"), (s["start"] - acc["done"]).cast("int")), F.lit(mask))))
@@ -165,10 +165,10 @@ def redact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
     keyed = documents.withColumn("_text", F.col(text_column)).withColumn("_key", F.xxhash64(F.col(text_column)))
     joined = keyed.join(
-        found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_found_key"), "found"),
+        found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_found_key"), F.col("found").alias("_found")).hint("merge"),
         keyed[id_column].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_found_key")),
         "left",
     )
-    new = F.when(F.col("found").isNotNull(), merged).otherwise(F.col("_text"))
+    new = F.when(F.col("_found").isNotNull(), merged).otherwise(F.col("_text"))
     columns = [new.alias(c) if c == text_column else F.length(new).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return joined.select(*columns)
