@@ -30,6 +30,8 @@ SLICE = 1 << 19
 #: steps of a lane in the forward and backward recursions
 LANE = 256
 FIT_TASKS = 6
+#: marginals below this say nothing
+DOUBTFUL = 0.25
 KEPT = IS_SPACE | (np.arange(256) >= 0x80) | ((np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z")))
 
 
@@ -165,11 +167,14 @@ def gradient(words: Words, toxic: np.ndarray, field: Field) -> tuple[np.ndarray,
 
 
 def summaries(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows x (log of one plus the expected number of toxic words, greatest marginal)."""
+    """Rows x (log of one plus the expected number of toxic words, greatest marginal).
+
+    Words below ``DOUBTFUL`` do not count, or a long clean text would add up to a toxic one.
+    """
     out = np.zeros((len(bounds) - 1, 2))
     filled = np.flatnonzero(np.diff(bounds))
     if len(filled):
-        out[filled, 0] = np.log1p(np.add.reduceat(p, bounds[:-1][filled]))
+        out[filled, 0] = np.log1p(np.add.reduceat(np.where(p >= DOUBTFUL, p, 0.0), bounds[:-1][filled]))
         out[filled, 1] = np.maximum.reduceat(p, bounds[:-1][filled])
     return out
 
