@@ -61,3 +61,10 @@ def test_random_against_search(spark, rows_per_segment):
         expected.append((i, k, t, *((rows[at - 1]) if at else (None, None, None))))
     assert len(got.columns) == 6
     assert sorted_rows(got) == sorted(expected, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_one_hot_instant_is_split_and_keeps_its_winner(spark):
+    left = spark.range(400).select(F.col("id"), F.lit("a").alias("k"), F.lit(7).alias("t"))
+    right = spark.range(300).select(F.lit("a").alias("k"), F.lit(7).alias("u"), F.col("id").alias("v"))
+    got = asof_join(left, right, ["k"], "t", "u", ties=["v"], rows_per_segment=20)
+    assert {r.v for r in got.collect()} == {299} and got.count() == 400

@@ -49,6 +49,18 @@ def test_auc_against_pairs(spark, rows_per_bucket):
     assert got == pytest.approx(wins / len(pos) / len(neg))
 
 
+@pytest.mark.parametrize("rows_per_bucket", [1, 10_000])
+def test_auc_ignores_rows_without_a_score(spark, rows_per_bucket):
+    rows = [(1, 1, 0.9), (0, 0, 0.1), (1, 0, float("nan")), (0, 1, None), (1, 1, 0.5)]
+    assert metrics.auc(predictions(spark, rows), ["model_name"], rows_per_bucket=rows_per_bucket).first().auc_roc == 1.0
+
+
+def test_quantiles_ignore_nan(spark):
+    df = spark.range(100).select(F.when(F.col("id") < 90, F.col("id") + 10.0).otherwise(float("nan")).alias("x"))
+    for gather in (10, 100_000):
+        assert exact_quantiles(df, ["x"], [0.5, 0.99], gather) == {"x": [54.5, pytest.approx(98.11)]}
+
+
 def test_metrics_without_positive_predictions(spark):
     row = metrics.classification_metrics(predictions(spark, [(1, 0, 0.4), (0, 0, 0.0)]), ["model_name"]).first()
     assert (row.precision, row.recall, row.f1, row.accuracy, row.auc_roc) == (0.0, 0.0, 0.0, 0.5, 1.0)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.operators.segments import SEG, assign_segments, over_series, time_axis
+from tidemark.operators.segments import SEG, assign_segments, over_series
 from tidemark.plans.features import MARKET_FEATURES, forward_labels, market_features, statement_features
 
 
@@ -94,9 +94,13 @@ def test_split_windows_equal_plain_windows(spark, rows_per_segment):
     assert sorted_rows(split) == sorted_rows(plain)
 
 
+def largest(cut):
+    return max(r.n for r in cut.groupBy("k", SEG).agg(F.count("*").alias("n")).collect())
+
+
 def test_segments_are_small_and_ordered(spark):
     df = uneven_series(spark)
-    cut = assign_segments(df, ["k"], [time_axis(df, "t")], 40).cache()
+    cut = assign_segments(df, ["k"], [F.col("t")], 40).cache()
     sizes = {(r.k, r[SEG]): r.n for r in cut.groupBy("k", SEG).agg(F.count("*").alias("n")).collect()}
     assert sizes[("mid", None)] == 30 and sizes[("one", None)] == 1
     assert max(n for (k, _), n in sizes.items() if k == "hot") <= 80
@@ -104,10 +108,22 @@ def test_segments_are_small_and_ordered(spark):
     assert order == sorted(order)
 
 
-def test_single_instant_is_spread(spark):
-    df = spark.range(1000).select(F.lit("k").alias("k"), F.lit(7).alias("t"), "id")
-    cut = assign_segments(df, ["k"], [F.col("t").cast("bigint")], 100, spread=F.col("id") + 1)
-    assert max(r.n for r in cut.groupBy(SEG).agg(F.count("*").alias("n")).collect()) <= 150
+def test_common_prefixes_outliers_and_hashed_ties(spark):
+    """Cuts follow the rows, not the span of the first order column or the first bytes of a text."""
+    prefix = spark.range(200).select(F.lit("k").alias("k"), F.lit(7).alias("t"), F.format_string("0000320193-%05d", "id").alias("a"))
+    assert largest(assign_segments(prefix, ["k"], [F.col("t"), F.col("a")], 10)) <= 30
+    outliers = spark.range(4000).select(F.lit("k").alias("k"), F.when(F.col("id") < 2, F.col("id") - 10**12).otherwise(F.col("id")).alias("t"))
+    assert largest(assign_segments(outliers, ["k"], [F.col("t")], 100)) <= 300
+    hashed = spark.range(1000).select(F.lit("k").alias("k"), F.lit(7).alias("t"), F.xxhash64("id").alias("h"))
+    assert largest(assign_segments(hashed, ["k"], [F.col("t"), F.col("h")], 100)) <= 300
+
+
+def test_rows_without_a_key_are_cut_too(spark):
+    df = spark.range(200).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("t"), F.col("id").cast("double").alias("x"))
+    assert largest(assign_segments(df, ["k"], [F.col("t")], 10)) <= 30
+    plain = over_series(df, ["k"], ["t"], windows, rows_per_segment=None)
+    split = over_series(df, ["k"], ["t"], windows, back=8, ahead=5, rows_per_segment=10)
+    assert sorted_rows(split) == sorted_rows(plain)
 
 
 def test_one_instant_is_cut_along_the_next_order_column(spark):
@@ -122,8 +138,7 @@ def test_one_instant_is_cut_along_the_next_order_column(spark):
     plain = over_series(unique, ["k"], ["d", "a"], change, rows_per_segment=None)
     split = over_series(unique, ["k"], ["d", "a"], change, back=1, rows_per_segment=30)
     assert sorted_rows(split) == sorted_rows(plain)
-    cut = assign_segments(unique, ["k"], [time_axis(unique, c) for c in ("d", "a")], 30, levels=3)
-    assert max(r.n for r in cut.groupBy(SEG).agg(F.count("*").alias("n")).collect()) <= 60
+    assert largest(assign_segments(unique, ["k"], [F.col("d"), F.col("a")], 30)) <= 90
 
 
 def test_market_features_do_not_look_ahead(spark):

@@ -1,4 +1,7 @@
-"""Null-aware scalar expressions. Every function maps Columns to a Column and stays in codegen."""
+"""Null-aware scalar expressions. Every function maps Columns to a Column and stays in the JVM.
+
+All but :func:`bind`, whose lambda is evaluated by the interpreter, stay in generated code.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _INF = float("inf")
+# Unicode white space and the four information separators, as characters.
+WS_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def as_col(value: Column | str) -> Column:
@@ -82,14 +87,14 @@ def dominant_class(positive: Column | str, negative: Column | str, neutral: Colu
 
 
 def pad_id(value: Column | str, width: int = 10) -> Column:
-    """Left-pad an identifier with zeros; longer identifiers are kept whole."""
-    c = F.trim(as_col(value).cast("string"))
+    """Left-pad an identifier, without white space around it, with zeros; longer ones are kept whole."""
+    c = F.btrim(as_col(value).cast("string"), F.lit(WS_CHARACTERS))
     return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
 
 
 def normalize_symbol(value: Column | str) -> Column:
-    """Upper-case, trimmed symbol; blank becomes null."""
-    c = F.upper(F.trim(as_col(value).cast("string")))
+    """Upper-case symbol without white space around it; blank becomes null."""
+    c = F.upper(F.btrim(as_col(value).cast("string"), F.lit(WS_CHARACTERS)))
     return F.when(c != "", c)
 
 

@@ -12,15 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import as_col, bind
+from .scalars import WS_CHARACTERS, as_col, bind
 
 # The characters that count as whitespace (Unicode white space and the four
 # information separators), as the inside of a character class.
 WS = (
     r"\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-# The same set as characters, derived from the Unicode white space property of each code point.
-WS_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Typographic characters and their ASCII stand-ins.
 TYPOGRAPHIC = "‘’“” –—"
 ASCII = "''\"\" --"
@@ -66,10 +64,6 @@ class SectionRule:
     def end_pattern(self) -> str:
         return f"(?isu)(?:{self._any(self.ends)})"
 
-    @property
-    def span_pattern(self) -> str:
-        return f"(?isu)((?:{self._any(self.starts)}).+?)(?:{self._any(self.ends)})"
-
 
 # Headings around the discussion section of annual and quarterly reports.
 ANNUAL_DISCUSSION = SectionRule(
@@ -96,18 +90,47 @@ QUARTERLY_DISCUSSION = SectionRule(
 )
 
 
+def heading_spans(text: Column, pattern: str) -> Column:
+    """Start and end of every match, in order: array of struct (s, e), counted in characters.
+
+    A match starts after all the text between the matches before it and those matches themselves.
+    """
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.length)
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), lengths.alias("length")), lambda m: m["length"].isNotNull())
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def add(found: Column, m: Column) -> Column:
+        start = found["at"] + m["gap"]
+        end = start + m["length"]
+        return F.struct(end.alias("at"), F.concat(found["spans"], F.array(F.struct(start.alias("s"), end.alias("e")))).alias("spans"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda found: found["spans"])
+
+
 def section(text: Column | str, rule: SectionRule) -> Column:
     """Struct (text, status, method) of the section a rule marks.
 
-    Spans run from a start heading up to the next end heading. The first cleaned span of at least
+    Each start heading opens a span that runs up to the first end heading after it; an end heading that
+    begins where the start heading ends does not close it. The first cleaned span of at least
     ``min_chars`` wins with status ``scored``; else the longest (first on a tie) with
     ``section_too_short``. Without one the status says which heading was missing.
     """
     c = plain_typography(text)
-    spans = F.filter(
-        F.transform(F.regexp_extract_all(c, F.lit(rule.span_pattern), 1), normalize_whitespace),
-        lambda s: F.length(s) > 0,
+
+    def cut(marks: Column) -> Column:
+        def body(start: Column) -> Column:
+            end = F.array_min(F.transform(F.filter(marks["ends"], lambda e: e["s"] > start["e"]), lambda e: e["s"]))
+            return F.when(end.isNotNull(), marks["text"].substr(start["s"] + 1, end - start["s"]))
+
+        return F.transform(marks["starts"], body)
+
+    marks = F.struct(
+        c.alias("text"),
+        heading_spans(c, rule.start_pattern).alias("starts"),
+        heading_spans(c, rule.end_pattern).alias("ends"),
     )
+    spans = F.filter(F.transform(bind(marks, cut), normalize_whitespace), lambda s: F.length(s) > 0)
 
     def choose(found: Column) -> Column:
         enough = F.filter(found, lambda s: F.length(s) >= rule.min_chars)

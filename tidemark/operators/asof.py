@@ -2,19 +2,20 @@
 
 Both sides are stacked and sorted once per key; a running ``last`` carries the newest right row
 forward. One exchange, linear work, and no right row is ever repeated. Histories of hot keys are cut
-along time (:func:`tidemark.operators.segments.assign_segments`); the newest right row of each
-segment is then handed on to later segments through a table with one row per segment.
+into segments (:func:`tidemark.operators.segments.assign_segments`); the newest right row of each
+segment is then handed on to later segments through a table with one row per segment. Of the right rows
+of one key and time only the winner takes part, and left rows of one time are told apart by a hash, so
+a segment stays small however many rows share an instant.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import ROWS_PER_SEGMENT, SEG, assign_segments, time_axis
+from .segments import ROWS_PER_SEGMENT, SEG, assign_segments
 
 _T, _SIDE, _LEFT, _RIGHT, _HIT = "__t", "__side", "__left", "__right", "__hit"
 
@@ -29,6 +30,7 @@ def asof_join(
     right_columns: Sequence[str] | None = None,
     prefix: str = "",
     rows_per_segment: int | None = ROWS_PER_SEGMENT,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left-outer backward as-of join, equal times included.
 
@@ -65,11 +67,12 @@ def asof_join(
     ]
     parts = list(on)
     if rows_per_segment is not None:
-        spread = F.when(F.col(_SIDE) == 0, F.lit(0)).otherwise(F.abs(F.xxhash64(_LEFT) % (1 << 40)) + 1)
-        stacked = assign_segments(stacked, on, [time_axis(stacked, _T)], rows_per_segment, spread)
-        # left rows without a key match nothing; scatter them instead of sorting them as one group
-        keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-        stacked = stacked.withColumn(SEG, F.when(keyless, F.pmod(F.xxhash64(_LEFT), F.lit(1 << 16))).otherwise(F.col(SEG)))
+        # one winner per key and time: a group limit below the exchange
+        latest = [F.col(n).desc_nulls_first() for n in tie_names]
+        winner = Window.partitionBy(*on, _T).orderBy(*latest, F.xxhash64(_RIGHT))
+        known = known.withColumn("__nth", F.row_number().over(winner)).where(F.col("__nth") == 1).drop("__nth")
+        stacked = known.unionByName(rows, allowMissingColumns=True)
+        stacked = assign_segments(stacked, on, [*arrival, F.xxhash64(_LEFT)], rows_per_segment, hot_rows)
         parts = [*on, SEG]
 
     running = Window.partitionBy(*parts).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0)

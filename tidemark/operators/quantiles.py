@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions.scalars import nan_to_null
+
 GATHER_ROWS = 100_000
 _ACCURACY = 10_000
 _MARGIN = 2.0 / _ACCURACY
@@ -55,9 +57,10 @@ class _Span:
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], gather_rows: int = GATHER_ROWS
 ) -> Mapping[str, list[float | None]]:
-    """Column name to its quantiles, nulls ignored; all None for a column without values."""
+    """Column name to its quantiles, nulls and NaN ignored; all None for a column without values."""
     if not columns:
         return {}
+    df = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
     spans: dict[tuple[str, float], _Span] = {}

@@ -1,108 +1,56 @@
 """Windows over time-ordered series in which one key may hold a large share of all rows.
 
 A plain ``Window.partitionBy(key)`` sorts a key's whole history in one task. Where rows per key are
-bounded (one row per key and calendar day) that is the cheapest plan. Where they are not, the
-history of every *hot* key is cut along its time axis into segments of roughly ``rows_per_segment``
-rows, windows run per (key, segment), and each segment receives the few neighbouring rows its
-frames reach into (a halo). Results equal those of the plain window.
-
-Only statistics of hot keys are broadcast. A key is hot when it has more than ``rows_per_segment``
-rows, so there are fewer than ``total_rows / rows_per_segment`` of them: 10^12 rows at the default
-give at most 250,000 entries of a few dozen bytes.
+bounded (one row per key and calendar day) that is the cheapest plan. Where they are not, the rows of
+*hot* keys are dealt by ranges of key and order, so that a long history is cut into segments of roughly
+``rows_per_segment`` rows wherever its rows lie. Windows run per (key, segment), and each segment
+receives the few neighbouring rows its frames reach into (a halo). Results equal those of the plain
+window.
+
+The ranges come from Spark's own sample of the complete order, all its columns included: bursts, outliers
+and long common prefixes of texts do not matter. A null key is a key like any other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_SEGMENT = 4_000_000
 SEG = "__seg"
 _HALO = "__halo"
-_REFINE = 1 << 20  # sub-segments per segment of the level above
-
-
-def time_axis(df: DataFrame, column: str) -> Column:
-    """An order column as a bigint that never falls as the column grows.
-
-    Dates, timestamps and integers keep their order exactly, text keeps that of its first 7 bytes.
-    """
-    dtype = dict(df.dtypes)[column]
-    c = F.col(column)
-    if dtype == "date":
-        return F.unix_date(c).cast("bigint")
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp"))
-    if dtype in ("tinyint", "smallint", "int", "bigint"):
-        return c.cast("bigint")
-    if dtype == "string":
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    raise TypeError(f"order column {column} has type {dtype}; expected a date, timestamp, integer or text")
 
 
 def assign_segments(
-    df: DataFrame,
-    keys: Sequence[str],
-    axes: Sequence[Column],
-    rows_per_segment: int = ROWS_PER_SEGMENT,
-    spread: Column | None = None,
-    levels: int = 2,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_segment: int = ROWS_PER_SEGMENT, hot_rows: int | None = None
 ) -> DataFrame:
-    """Add ``__seg``: null for keys that are not hot, else a number that never falls in ``axes`` order.
+    """Add ``__seg``: null for keys that are not hot, else a number that never falls in ``order``.
 
-    The first level cuts a key's time span (the first axis) evenly. Further levels cut segments that
-    are still too heavy, such as bursts; a segment of a single instant is cut along the next axis.
-    ``spread`` (a bigint >= 0) serves where rows of one instant need no order: a heavy segment of a
-    single instant is divided by it, 0 first, and so are rows without a time.
+    A key is hot with more than ``hot_rows`` rows (default: ``rows_per_segment``). Rows that agree in the
+    whole order stay together, so ``order`` should tell rows apart.
 
-    ``df`` is read once more for the statistics (keys and axes only), and again per level for hot
-    keys. Write an expensive input to a table first.
+    ``df`` is read once for the counts and once more if there are hot keys, whose rows are written to the
+    checkpoint folder with their segments. Write an expensive input to a table first.
     """
-    marks = [f"__axis{i}" for i in range(len(axes))]
-    out = df.withColumns(dict(zip(marks, axes))).withColumn(SEG, F.lit(None).cast("bigint"))
-    if spread is not None:
-        out = out.withColumn("__spread", spread)
-    narrow = [*keys, *marks, SEG]
-    parts: list[str] = list(keys)
-    cuts = F.col("__cuts")
-    for level in range(levels):
-        limit = rows_per_segment if level == 0 else 2 * rows_per_segment
-        base = out if level == 0 else out.where(F.col(SEG).isNotNull())
-        heavy = (
-            base.select(*narrow)
-            .groupBy(*parts)
-            .agg(
-                F.count(F.lit(1)).alias("__n"),
-                *[f(m).alias(m + end) for m in marks for f, end in ((F.min, "_lo"), (F.max, "_hi"))],
-            )
-            .where(F.col("__n") > limit)
-            .withColumn("__cuts", F.least(F.ceil(F.col("__n") / F.lit(rows_per_segment)), F.lit(_REFINE - 2)))
-            .drop("__n")
-        )
-        # the axes are tried from the last to the first, so the first one with more than one value decides
-        cut = F.lit(0)
-        if spread is not None:
-            # slot 0 keeps the rows that must come first, the others share the rest
-            cut = F.when(F.col("__spread") == 0, F.lit(0)).otherwise(F.pmod(F.col("__spread"), cuts) + 1)
-        for m in reversed(marks):
-            at, lo, hi = F.col(m), F.col(m + "_lo"), F.col(m + "_hi")
-            even = F.floor((at - lo).cast("double") / (hi - lo + 1).cast("double") * cuts)
-            cut = F.when(lo < hi, F.coalesce(even, F.lit(0))).otherwise(cut)
-        if spread is not None:
-            cut = F.when(F.col(marks[0]).isNull(), F.pmod(F.col("__spread"), cuts)).otherwise(cut)
-        above = F.lit(0) if level == 0 else F.col(SEG)
-        seg = F.when(cuts.isNotNull(), above * _REFINE + cut.cast("bigint"))
-        if level > 0:
-            seg = F.coalesce(seg, F.col(SEG) * _REFINE)
-        out = (
-            out.join(F.broadcast(heavy), parts, "left")
-            .withColumn(SEG, seg)
-            .drop(*[m + end for m in marks for end in ("_lo", "_hi")], "__cuts")
-        )
-        parts = [*keys, SEG]
-    return out.drop(*marks, "__spread")
+    limit = rows_per_segment if hot_rows is None else hot_rows
+    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    total = heavy.agg(F.sum("__n")).first()[0]
+    if not total:
+        return df.withColumn(SEG, F.lit(None).cast("bigint"))
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    known = heavy.select(*[F.col(k).alias(n) for k, n in names.items()], F.lit(True).alias("__hot"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    flagged = df.join(known, same, "left").drop(*names.values())
+    cold = flagged.where(F.col("__hot").isNull()).withColumn(SEG, F.lit(None).cast("bigint"))
+    dealt = flagged.where(F.col("__hot")).repartitionByRange(math.ceil(total / rows_per_segment), *keys, *order)
+    hot = cut_lineage(dealt.withColumn(SEG, F.spark_partition_id().cast("bigint")))
+    return cold.unionByName(hot).drop("__hot")
 
 
 def _halo_rows(
@@ -144,6 +92,7 @@ def over_series(
     back: int = 0,
     ahead: int = 0,
     rows_per_segment: int | None = ROWS_PER_SEGMENT,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Run ``compute(df, window)`` on each key's ordered series.
 
@@ -155,7 +104,7 @@ def over_series(
     """
     if rows_per_segment is None:
         return compute(df, Window.partitionBy(*keys).orderBy(*order))
-    split = assign_segments(df, keys, [time_axis(df, c) for c in order], rows_per_segment)
+    split = assign_segments(df, keys, [F.col(c) for c in order], rows_per_segment, hot_rows)
     hot = split.where(F.col(SEG).isNotNull())
     rows = split.withColumn(_HALO, F.lit(False))
     for reach, is_ahead in ((back, False), (ahead, True)):

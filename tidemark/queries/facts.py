@@ -65,8 +65,9 @@ SELECT upper(trim(s_name)) AS ticker, lpad(CAST(s_suppkey AS VARCHAR), 10, '0')
 QUALIFY row_number() OVER (PARTITION BY upper(trim(s_name)) ORDER BY s_suppkey DESC) = 1"""
 )
 def entity_id_map(t: Tables) -> DataFrame:
-    record = F.struct(F.concat(F.lit("  "), F.lower("s_name"), F.lit(" ")).alias("ticker"), F.col("s_suppkey").alias("cik_str"))
-    blank = F.struct(F.lit(" ").alias("ticker"), F.col("s_suppkey").alias("cik_str"))
+    number = F.concat(F.lit("\t"), F.col("s_suppkey").cast("string"), F.lit("\n"))
+    record = F.struct(F.concat(F.lit(" \t"), F.lower("s_name"), F.lit("\u00a0\n")).alias("ticker"), number.alias("cik_str"))
+    blank = F.struct(F.lit(" \u2003\n").alias("ticker"), number.alias("cik_str"))
     documents = t("supplier").select(
         "s_suppkey", F.to_json(F.create_map(F.lit("0"), record, F.lit("1"), blank)).alias("json")
     )
@@ -359,15 +360,13 @@ def coerced_columns(t: Tables) -> DataFrame:
 @query(
     """
 SELECT DISTINCT upper(trim(c_mktsegment)) AS symbol, c_custkey FROM customer
-WHERE trim(c_mktsegment) <> '' AND c_nationkey IN (1, 2, 3)"""
+WHERE upper(trim(c_mktsegment)) IN ('BUILDING', 'MACHINERY')"""
 )
 def symbol_filter(t: Tables) -> DataFrame:
-    rows = t("customer").where(F.col("c_nationkey").isin(1, 2, 3))
-    return comparable(
-        rows.select(normalize_symbol(F.concat(F.lit(" "), F.lower("c_mktsegment"))).alias("symbol"), "c_custkey")
-        .dropna(subset=["symbol"])
-        .distinct()
-    )
+    """All customers' symbols cleaned of white space of any kind; those of a symbol list stay."""
+    dressed = F.concat(F.lit(" \t"), F.lower("c_mktsegment"), F.lit("\u00a0\r\n"))
+    symbols = t("customer").select(normalize_symbol(dressed).alias("symbol"), "c_custkey").dropna(subset=["symbol"])
+    return comparable(symbols.where(F.col("symbol").isin("BUILDING", "MACHINERY")).distinct())
 
 
 @query(

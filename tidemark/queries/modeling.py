@@ -201,8 +201,9 @@ def ranking_auc(t: Tables) -> DataFrame:
 
 @query(f"WITH {_AUC} SELECT model_name, round(auc_roc, 6) AS auc_roc FROM auc")
 def ranking_auc_buckets(t: Tables) -> DataFrame:
-    """The same through many score buckets."""
-    return comparable(metrics.auc(_predictions(t), ["model_name"], rows_per_bucket=40))
+    """The same through some fifty ranges of the score."""
+    predictions = _predictions(t)
+    return comparable(metrics.auc(predictions, ["model_name"], rows_per_bucket=max(40, predictions.count() // 50)))
 
 
 @query(f"WITH {_AUC} SELECT 'scores' AS feature_setup, max_by(model_name, auc_roc) AS best_model, round(max(auc_roc), 6) AS best_auc_roc FROM auc")

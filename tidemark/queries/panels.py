@@ -39,8 +39,8 @@ def asof_events(t: Tables) -> DataFrame:
 
 @query(_EVENT_PAIR_SQL)
 def asof_events_split(t: Tables) -> DataFrame:
-    """The same with every user split into short segments."""
-    return _event_pairs(t, rows_per_segment=10)
+    """The same with every user taken for hot, and the histories cut at some hundred places."""
+    return _event_pairs(t, rows_per_segment=max(10, t("events").count() // 100), hot_rows=0)
 
 
 @query(

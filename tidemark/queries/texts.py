@@ -81,7 +81,8 @@ def page_navigation(t: Tables) -> DataFrame:
 
 
 # Reports made of a document between discussion headings. French ones have a table of contents
-# entry first, German ones lack the closing heading, Spanish ones have no headings.
+# entry first and a start heading that ends where an end heading begins, German ones lack the closing
+# heading, Spanish ones have no headings.
 _OPEN_10Q = "Item 2. Management’s Discussion and Analysis of Financial Condition and Results of Operations"
 _CLOSE_10Q = "ITEM 4. Controls and Procedures"
 _OPEN_10K = "ITEM 7. Management discussion and discussion and analysis"
@@ -92,7 +93,7 @@ def reports(t: Tables) -> DataFrame:
     body = F.col("text")
     text = (
         F.when(F.col("lang") == "en", F.concat_ws(" ", F.lit("Part I"), F.lit(_OPEN_10Q), body, F.lit(_CLOSE_10Q), body))
-        .when(F.col("lang") == "fr", F.concat_ws(" ", F.lit(_OPEN_10K), F.lit("page 12"), F.lit(_CLOSE_10K), F.lit(_OPEN_10K), body, F.lit(_CLOSE_10K)))
+        .when(F.col("lang") == "fr", F.concat_ws(" ", F.lit(_OPEN_10K), F.lit("page 12"), F.lit(_OPEN_10K + _CLOSE_10K), F.lit(_OPEN_10K), body, F.lit(_CLOSE_10K)))
         .when(F.col("lang") == "de", F.concat_ws(" ", F.lit(_OPEN_10K), body))
         .otherwise(body)
     )
@@ -103,7 +104,7 @@ REPORTS = f"""{base.FILINGS},
 reports AS (
   SELECT * REPLACE (CASE lang
     WHEN 'en' THEN concat_ws(' ', 'Part I', '{_OPEN_10Q}', text, '{_CLOSE_10Q}', text)
-    WHEN 'fr' THEN concat_ws(' ', '{_OPEN_10K}', 'page 12', '{_CLOSE_10K}', '{_OPEN_10K}', text, '{_CLOSE_10K}')
+    WHEN 'fr' THEN concat_ws(' ', '{_OPEN_10K}', 'page 12', '{_OPEN_10K}{_CLOSE_10K}', '{_OPEN_10K}', text, '{_CLOSE_10K}')
     WHEN 'de' THEN concat_ws(' ', '{_OPEN_10K}', text)
     ELSE text END AS text) FROM filings)"""
 
@@ -113,15 +114,24 @@ _END_K = rf"ITEM{_S}*7A\.?{_S}+QUANTITATIVE{_S}+AND{_S}+QUALITATIVE{_S}+DISCLOSU
 _START_Q = rf"ITEM{_S}*2\.?{_S}+MANAGEMENT.{{0,40}}DISCUSSION{_S}+AND{_S}+ANALYSIS"
 _END_Q = rf"ITEM{_S}*4\.?{_S}+CONTROLS{_S}+AND{_S}+PROCEDURES"
 
+def sql_marks(pattern: str) -> str:
+    """Start and end of every match of a pattern in ``text``."""
+    gaps, hits = f"string_split_regex(text, '(?is){pattern}')", f"regexp_extract_all(text, '(?is){pattern}', 0)"
+    long = "lambda x: length(x)"
+    end = f"list_sum(list_transform({gaps}[1:i], {long})) + list_sum(list_transform({hits}[1:i], {long}))"
+    return f"list_transform(range(1, len({hits}) + 1), lambda i: {{'s': {end} - length({hits}[i]), 'e': {end}}})"
+
+
 SECTIONS = f"""{REPORTS},
 plain AS (SELECT * REPLACE (replace(replace(text, chr(8217), ''''), chr(160), ' ') AS text) FROM reports),
+marked AS (
+  SELECT *, CASE WHEN form_type = '10-K' THEN {sql_marks(_START_K)} ELSE {sql_marks(_START_Q)} END AS starts,
+    CASE WHEN form_type = '10-K' THEN {sql_marks(_END_K)} ELSE {sql_marks(_END_Q)} END AS ends FROM plain),
 found AS (
-  SELECT *, list_filter(list_transform(
-      CASE WHEN form_type = '10-K' THEN regexp_extract_all(text, '(?is)({_START_K}.+?){_END_K}', 1)
-           ELSE regexp_extract_all(text, '(?is)({_START_Q}.+?){_END_Q}', 1) END,
-      lambda s: {sql_ws('s')}), lambda s: length(s) > 0) AS spans,
-    regexp_matches(text, '(?is)' || CASE WHEN form_type = '10-K' THEN '{_START_K}' ELSE '{_START_Q}' END) AS opened
-  FROM plain),
+  SELECT * EXCLUDE (starts, ends), list_filter(list_transform(list_transform(starts, lambda x: substr(text, CAST(x.s AS BIGINT) + 1,
+      CAST(list_min(list_transform(list_filter(ends, lambda y: y.s > x.e), lambda y: y.s)) - x.s AS BIGINT))),
+      lambda s: {sql_ws('s')}), lambda s: length(s) > 0) AS spans, len(starts) > 0 AS opened
+  FROM marked),
 ranked AS (
   SELECT *, list_filter(spans, lambda s: length(s) >= 500) AS enough,
     list_filter(spans, lambda s: length(s) = list_max(list_transform(spans, lambda x: length(x))))[1] AS longest FROM found),
