@@ -13,7 +13,7 @@ from ..plans.panels import bars_to_panel, text_panel, usable_rows
 from ..session import cut_lineage
 from . import common as base
 from .market import FEATURES
-from .panels import _statements
+from .panels import PANEL, _statements
 from .registry import Tables, comparable, query
 from .texts import filing_scores, section_scores, text_bars
 
@@ -41,7 +41,7 @@ SELECT date_count, CAST(split_date AS VARCHAR) AS split_date, (SELECT count(*) F
 FROM edge"""
 )
 def time_split(t: Tables) -> DataFrame:
-    market = _market(t)
+    market = base.bars(t)
     found = modeling.split_report(market).first()
     day, edge = F.col("date"), F.lit(found["split_date"])
     return comparable(
@@ -283,7 +283,21 @@ def compare_text_layers(t: Tables) -> DataFrame:
     return comparable(compare(_text_setups(t), SIZES, ["logistic_regression"]).best_predictions())
 
 
-@query()
+_SUMMARY = f"""WITH {PANEL},
+usable AS (SELECT * FROM panel WHERE filing_date IS NOT NULL AND label IS NOT NULL),
+days AS (SELECT list(DISTINCT date ORDER BY date) AS d FROM usable),
+edge AS (SELECT d[greatest(least(CAST(floor(len(d) * 0.8) AS BIGINT), len(d) - 1), 1) + 1] AS split_date FROM days),
+parts AS (SELECT *, CASE WHEN date < (SELECT split_date FROM edge) THEN 'train' ELSE 'test' END AS part FROM usable),
+columns AS (SELECT {" + ".join(f"CAST(count({c}) > 0 AND 100.0 * (count(*) - count({c})) / count(*) <= 20.0 AS BIGINT)" for c in STATEMENT_FEATURES)} AS n
+            FROM parts WHERE part = 'train')
+SELECT 'layer1_only' AS feature_setup, part, CAST((SELECT split_date FROM edge) AS VARCHAR) AS split_date, count(*) AS row_count,
+       round(100.0 * count(*) FILTER (WHERE label = 0) / count(*), 6) AS class_0_pct,
+       round(100.0 * count(*) FILTER (WHERE label = 1) / count(*), 6) AS class_1_pct,
+       CAST((SELECT n FROM columns) AS BIGINT) AS usable_features, CAST({len(STATEMENT_FEATURES)} - (SELECT n FROM columns) AS BIGINT) AS dropped_features
+FROM parts GROUP BY part"""
+
+
+@query(_SUMMARY)
 def training_summary(t: Tables) -> DataFrame:
     setups = _market_setups(t)
     one = compare({"layer1_only": setups["layer1_only"]}, SIZES, ["logistic_regression"])
