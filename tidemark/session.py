@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and tasks
-    share one file system, may fall back to a temporary folder.
+    share one file system, may fall back to a temporary folder, which goes when the process ends.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -49,6 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     context.setCheckpointDir(configured)
     return configured
 
