@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .textbytes import BYTE_VALUES, mix, prefix_hashes, ragged, span_hashes, utf8, word_bounds, word_hashes
+from .textbytes import BYTE_VALUES, mix, prefix_hashes, ragged, span_hashes, utf8, word_hashes
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: elements handled at a time, and occurrences from which a minimiser is dealt by window content
-BLOCK, CROWDED = 1 << 19, 4096
+BLOCK, CROWDED = 1 << 17, 4096
 _PLACE = np.uint64((1 << 20) - 1)
 
 STRINGS = T.StructType(
@@ -55,17 +55,19 @@ class Bucket:
     def __init__(self, table: pa.Table, scheme: Scheme):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.scheme, self.ids = scheme, table.column("doc_id").combine_chunks()
-        text = table.column("text").combine_chunks()
-        data, offsets = utf8(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+        data, offsets = utf8(pa.concat_arrays(table.column("text").chunks) if len(table) else pa.array([], pa.string()))
         self.content, self.bounds = data, offsets
-        if scheme.words:
-            starts, ends, self.bounds = word_bounds(data, offsets)
-            self.hashes = word_hashes(data, starts, ends) if len(data) else np.zeros(0, np.uint64)
-            lengths = ends - starts + 1  # one blank after each word
-            self.ends = np.cumsum(lengths) - 1
-            self.starts = self.ends - (ends - starts)
-            self.content = np.full(int(lengths.sum()), 0x20, np.uint8)
-            self.content[ragged(self.starts, ends - starts)] = data[ragged(starts, ends - starts)]
+        if scheme.words:  # bytes.split() cuts at the same white space
+            words = [data[a:b].tobytes().split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            self.bounds = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+            self.content = np.frombuffer(b"".join(b" ".join(w) + b" " for w in words if w), np.uint8)
+            self.ends = np.flatnonzero(self.content == 0x20)
+            self.starts = np.append(0, self.ends[:-1] + 1)[: len(self.ends)]
+            self.hashes = np.zeros(len(self.ends), np.uint64)
+            for a in range(0, len(self.ends), BLOCK // 8):
+                own = slice(a, a + BLOCK // 8)
+                low, high = int(self.starts[own][0]), int(self.ends[own][-1])
+                self.hashes[own] = word_hashes(self.content[low:high], self.starts[own] - low, self.ends[own] - low)
         self.n = int(self.bounds[-1])
 
     def values(self, a: int, b: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def minimisers(table: pa.Table, scheme: Scheme) -> pa.Table:
 def strings(table: pa.Table, repeated: pa.Table, scheme: Scheme) -> pa.Table:
     """The strings of the repeated minimisers of a bucket, and the verdicts on repeats inside the bucket.
 
-    A verdict row has part -1 and covers the windows of a later one of equal strings.
+    A verdict row has part -1 and covers windows of later ones of equal strings.
     """
     schema = to_arrow_schema(STRINGS)
     if not len(table) or not len(repeated):
@@ -156,19 +158,33 @@ def strings(table: pa.Table, repeated: pa.Table, scheme: Scheme) -> pa.Table:
             continue
         first, count, place, name, one, two = (np.concatenate(x) for x in zip(*parts))
         chosen, copies, others = first_of_equal(name, one, two)
-        for index, n, part in ((chosen, copies, one[chosen].view(np.int64) if split else np.zeros(len(chosen), np.int64)), (others, None, np.full(len(others), -1))):
-            row = bucket.row_of(first[index])
-            ordered = ids.take(pa.array(row)).cast(pa.int64()).fill_null(last).to_numpy()
-            ends = first[index] + count[index] - 1 + scheme.width
-            content = [None] * len(index) if n is None else [bucket.string(a, b) for a, b in zip(first[index].tolist(), ends.tolist())]
-            if split and n is not None:
-                part = np.where(part == -1, 0, part)
-            start = first[index] - bucket.bounds[row]
-            columns = [name[index], part, ordered, np.full(len(index), number), row, start, place[index] - first[index], count[index] if n is None else n]
-            out.append(pa.Table.from_arrays([*(pa.array(np.asarray(c, np.int64)) for c in columns), pa.array(content, pa.binary())], schema=schema))
+        row = bucket.row_of(first[chosen])
+        ordered = ids.take(pa.array(row)).cast(pa.int64()).fill_null(last).to_numpy()
+        ends = first[chosen] + count[chosen] - 1 + scheme.width
+        content = [bucket.string(x, y) for x, y in zip(first[chosen].tolist(), ends.tolist())]
+        part = one[chosen].view(np.int64) if split else np.zeros(len(chosen), np.int64)
+        start = first[chosen] - bucket.bounds[row]
+        columns = [name[chosen], np.where(part == -1, 0, part), ordered, np.full(len(row), number), row, start, place[chosen] - first[chosen], copies]
+        out.append(pa.Table.from_arrays([*(pa.array(np.asarray(c, np.int64)) for c in columns), pa.array(content, pa.binary())], schema=schema))
+        # verdicts: neighbouring runs of a document in one row, spread by a hash of their own
+        begin, length = joined_runs(first[others], count[others])
+        row = bucket.row_of(begin)
+        spread = mix(begin.astype(np.uint64) + np.uint64(number << 32)).view(np.int64)
+        zeros = np.zeros(len(begin), np.int64)
+        columns = [spread, zeros - 1, zeros, zeros + number, row, begin - bucket.bounds[row], zeros, length]
+        out.append(pa.Table.from_arrays([*(pa.array(np.asarray(c, np.int64)) for c in columns), pa.nulls(len(begin), pa.binary())], schema=schema))
     return pa.concat_tables(out) if out else schema.empty_table()
 
 
+def joined_runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows with those that follow one another without a gap joined; a document's end is a gap."""
+    order = np.argsort(first, kind="stable")
+    first, count = first[order], count[order]
+    opens = np.ones(len(first), bool)
+    opens[1:] = first[1:] != first[:-1] + count[:-1]
+    return first[opens], np.add.reduceat(count, np.flatnonzero(opens)) if len(first) else count
+
+
 def single_windows(bucket: Bucket, first: np.ndarray, count: np.ndarray, place: np.ndarray, name: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     """Runs taken apart into windows, with the two hashes of each window's content."""
     width = bucket.scheme.width
