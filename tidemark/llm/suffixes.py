@@ -130,10 +130,23 @@ def solver(width: int):
             if len(ready):
                 yield ready
             number = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[open_rows]
-            several = np.bincount(number, minlength=len(bounds))[number] > 1  # a string alone has no equal window
-            rows, number = open_rows[several], number[several]
             column, place = table.column("string"), table.column("place").to_numpy()
-            lengths = np.array([len(column[i].as_py()) for i in rows.tolist()], np.int64)
+            # of equal strings the first goes on, the later ones are repeats as a whole
+            strings = column.take(pa.array(open_rows)).to_pylist()
+            seen: dict[tuple[int, bytes], int] = {}
+            for i, key in enumerate(zip(number.tolist(), strings)):
+                seen.setdefault(key, i)
+            first = np.fromiter(seen.values(), np.int64, len(seen))
+            later = np.ones(len(open_rows), bool)
+            later[first] = False
+            if later.any():
+                again = np.flatnonzero(later)
+                whole = np.array([len(strings[i]) for i in again.tolist()], np.int64) - width + 1
+                yield verdict_batch(table, open_rows[again], np.zeros(len(again), np.int64), whole)
+            several = np.bincount(number[first], minlength=len(bounds))[number[first]] > 1  # a string alone has no equal window
+            kept = first[several]
+            rows, number, strings = open_rows[kept], number[kept], [strings[i] for i in kept.tolist()]
+            lengths = np.array([len(x) for x in strings], np.int64)
             windows = lengths - width + 1
             done = np.cumsum(windows)
             cuts = [0]
@@ -144,7 +157,7 @@ def solver(width: int):
                     at += 1
                 cuts.append(at)
             for a, b in zip(cuts[:-1], cuts[1:]):
-                text = np.frombuffer(b"".join(column[i].as_py() for i in rows[a:b].tolist()), np.uint8)
+                text = np.frombuffer(b"".join(strings[a:b]), np.uint8)
                 of = np.repeat(np.arange(a, b), windows[a:b])
                 begin = np.cumsum(lengths[a:b]) - lengths[a:b]
                 start = ragged(begin, windows[a:b])

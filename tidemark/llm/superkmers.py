@@ -25,8 +25,13 @@ WIDTH, KMER = 35, 6
 
 def repeated_windows(packed: list[bytes], counts: np.ndarray, width: int) -> tuple[list[int], list[int]]:
     """(string, window) of every window that the strings, each occurring ``counts`` times, hold more than once."""
-    windows = []
+    members: dict[bytes, list[int]] = {}
     for i, string in enumerate(packed):
+        members.setdefault(string, []).append(i)
+    own = list(members.values())
+    counts = [sum(int(counts[i]) for i in m) for m in own]
+    windows = []
+    for i, string in enumerate(members):
         words = string.split(b" ")
         for j in range(len(words) - width + 1):
             windows.append((b" ".join(words[j : j + width]), i, j))
@@ -39,8 +44,8 @@ def repeated_windows(packed: list[bytes], counts: np.ndarray, width: int) -> tup
             end += 1
         if end - start > 1 or counts[windows[start][1]] > 1:
             for _, i, j in windows[start:end]:
-                strings.append(i)
-                places.append(j)
+                strings += own[i]
+                places += [j] * len(own[i])
         start = end
     return strings, places
 
