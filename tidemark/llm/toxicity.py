@@ -29,7 +29,7 @@ from .textbytes import BYTE_VALUES, IS_SPACE, LOWER, mix, prefix_hashes, shingle
 SLICE = 1 << 19
 #: steps of a lane in the forward and backward recursions
 LANE = 256
-FIT_TASKS = 6
+FIT_TASKS = 4
 #: marginals below this say nothing
 DOUBTFUL = 0.25
 KEPT = IS_SPACE | (np.arange(256) >= 0x80) | ((np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z")))
@@ -223,7 +223,7 @@ def without_copies(rows: DataFrame, order: str, minima: int = 3) -> DataFrame:
     return kept.drop(*names)
 
 
-def vocabulary_of(rows: DataFrame, least_documents: int = 3, most_words: int = 60_000, chance: float = 0.05, least_ratio: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+def vocabulary_of(rows: DataFrame, least_documents: int = 3, most_words: int = 30_000, chance: float = 0.05, least_ratio: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words of at least ``least_documents`` sampled documents, and which are toxic.
 
     A word is toxic if toxic documents have it at ``least_ratio`` times the rate of clean ones at least (one
@@ -275,9 +275,10 @@ def fit_field(rows: DataFrame, vocabulary: np.ndarray, toxic: np.ndarray, steps:
     """
     context = rows.sparkSession.sparkContext
     shape = (3, len(vocabulary) + 2)
-    weights, transitions = np.zeros(shape), np.array([[0.0, -3.0], [0.0, -3.0]])
+    weights, transitions = np.zeros(shape, np.float32), np.array([[0.0, -3.0], [0.0, -3.0]])
     words_known = context.broadcast((vocabulary, vocabulary[toxic]))
-    for _ in range(steps):
+    counts, penalty = np.zeros(weights.size, np.float32), np.array(ridge, np.float32)[:, None]
+    for step in range(steps):
         current = context.broadcast((weights, transitions))
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,17 +291,19 @@ def fit_field(rows: DataFrame, vocabulary: np.ndarray, toxic: np.ndarray, steps:
                     of_toxic = np.repeat(batch.column(1).to_numpy()[a:b], np.diff(words.bounds)) == 1
                     for total, part in zip(sums, gradient(words, (of_toxic & np.isin(words.hashes, marked)).astype(float), field)):
                         total += part
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], ["slope", "moves", "counts"])
-
-        slope, moves, counts = np.zeros(weights.size), np.zeros((2, 2)), np.zeros(weights.size)
-        for r in rows.select("text", "toxic").mapInArrow(one, "slope binary, moves binary, counts binary").collect():
-            slope += np.frombuffer(r["slope"])
-            moves += np.frombuffer(r["moves"]).reshape(2, 2)
-            counts += np.frombuffer(r["counts"])
-        penalty = np.array(ridge)[:, None]
+            sums = [x.astype(np.float32) for x in sums[: 3 if step == 0 else 2]]  # the counts stay the same
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], ["slope", "moves", "counts"][: len(sums)])
+
+        names = ["slope", "moves"] + ["counts"] * (step == 0)
+        slope, moves = np.zeros(weights.size, np.float32), np.zeros((2, 2))
+        for r in rows.select("text", "toxic").mapInArrow(one, ", ".join(f"{c} binary" for c in names)).collect():
+            slope += np.frombuffer(r["slope"], np.float32)
+            moves += np.frombuffer(r["moves"], np.float32).reshape(2, 2)
+            counts += np.frombuffer(r["counts"], np.float32) if step == 0 else 0
         weights = weights + (slope.reshape(shape) - penalty * weights) / (0.75 * counts.reshape(shape) + penalty)
         transitions = transitions + (moves - transitions) / (0.25 * counts[: shape[1]].sum() + 1)
-        current.unpersist()
+        current.destroy()
+    words_known.destroy()
     return weights, transitions
 
 
