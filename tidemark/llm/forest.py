@@ -231,7 +231,8 @@ def links_of_clusters(texts: DataFrame, clusters: DataFrame, degrees: DataFrame)
     totals = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
     blocks = F.ceil(F.col("total") / CLUSTER_SHINGLES).cast("long")
     placed = clusters.join(totals, "cluster").withColumn("blocks", blocks)
-    with_text = cut_lineage(placed.join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
+    # texts are far larger than the clusters' table at any size: sorted and merged, never decided by a size
+    with_text = cut_lineage(placed.hint("merge").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
     small = confirm(with_text.where("blocks = 1"), ["cluster"])
     edges = small.select(F.col("node").alias("a"), F.col("label").alias("b"))
     large = with_text.where("blocks > 1")
@@ -297,5 +298,5 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 def without_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that are kept, columns as before."""
     found = near_duplicates(documents, id_column, text_column)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     return documents.join(gone, documents[id_column] == F.col("_gone"), "left_anti")
