@@ -218,13 +218,19 @@ def fit_and_predict(
     features: Sequence[str],
     keep: Sequence[str],
     models: Mapping[str, ModelSpec],
+    fit_rows: int | None = None,
 ) -> DataFrame:
     """Test predictions of every model: kept columns, label, model, predicted label and P(1).
 
-    Keys travel with each prediction. Inputs must already be winsorised and imputed.
+    Keys travel with each prediction. Inputs must already be winsorised and imputed. With ``fit_rows``
+    the models are fitted on about that many training rows, chosen by a hash of their keys; class weights
+    and scales still cover all training rows, and all test rows are scored.
     """
     weights = class_weights(train)
     scales = scaling(train, features)
+    if fit_rows is not None and (n := train.count()) > fit_rows:
+        place = F.pmod(F.xxhash64(F.lit("fit"), *keep), F.lit(1_000_000))
+        train = train.where(place < int(1_000_000 * fit_rows / n))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     out: DataFrame | None = None
     for name, spec in models.items():

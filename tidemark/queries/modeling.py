@@ -225,8 +225,9 @@ def best_model_predictions(t: Tables) -> DataFrame:
     return comparable(predictions.join(best.select(F.col("best_model").alias("model_name")), "model_name"))
 
 
-# Smaller ensembles than the library defaults keep the registered runs short; every row is used.
-SIZES = modeling.ModelSizes(logistic_iterations=100, forest_trees=20, forest_depth=6, boosting_rounds=10, boosting_depth=4)
+# Models have the sizes of the study. They are fitted on about this many training rows, chosen by a hash
+# of their keys; everything else covers all rows, and all test rows are scored.
+FIT_ROWS = 5_000
 
 
 def _market_setups(t: Tables) -> dict[str, Setup]:
@@ -253,7 +254,7 @@ def _text_setups(t: Tables) -> dict[str, Setup]:
 
 def _one_model(t: Tables, name: str) -> Comparison:
     setups = _market_setups(t)
-    return compare({"layer1_plus_layer2_full": setups["layer1_plus_layer2_full"]}, SIZES, [name])
+    return compare({"layer1_plus_layer2_full": setups["layer1_plus_layer2_full"]}, models=[name], fit_rows=FIT_ROWS)
 
 
 @query()
@@ -273,14 +274,14 @@ def model_gradient_boosting(t: Tables) -> DataFrame:
 
 @query()
 def compare_market_layers(t: Tables) -> DataFrame:
-    """Metrics of two models over three feature sets that share a panel and a split."""
-    return comparable(compare(_market_setups(t), SIZES, ["logistic_regression", "random_forest"]).metrics)
+    """Metrics of the three models over three feature sets that share a panel and a split."""
+    return comparable(compare(_market_setups(t), fit_rows=FIT_ROWS).metrics)
 
 
 @query()
 def compare_text_layers(t: Tables) -> DataFrame:
     """Best-model predictions over three panels that share the first one's split date."""
-    return comparable(compare(_text_setups(t), SIZES, ["logistic_regression"]).best_predictions())
+    return comparable(compare(_text_setups(t), fit_rows=FIT_ROWS).best_predictions())
 
 
 _SUMMARY = f"""WITH {PANEL},
@@ -300,5 +301,5 @@ FROM parts GROUP BY part"""
 @query(_SUMMARY)
 def training_summary(t: Tables) -> DataFrame:
     setups = _market_setups(t)
-    one = compare({"layer1_only": setups["layer1_only"]}, SIZES, ["logistic_regression"])
+    one = compare({"layer1_only": setups["layer1_only"]}, models=["logistic_regression"], fit_rows=FIT_ROWS)
     return comparable(one.summary)
