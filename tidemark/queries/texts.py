@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dominant_class, softmax
@@ -15,7 +15,7 @@ from ..functions.text import (
     section,
     words,
 )
-from ..operators.scoring import Lexicon, lexicon_scores, to_chunks, word_chunks
+from ..operators.scoring import CLASSES, Lexicon, lexicon_scores, score_texts, split_failures, to_chunks, word_chunks
 from ..plans.features import forward_labels, text_feature_names, text_features
 from ..plans.filings import score_filings, score_sections
 from ..plans.panels import text_panel
@@ -165,6 +165,25 @@ def text_chunks(t: Tables) -> DataFrame:
     return comparable(pieces.select("doc_id", "chunk_no", "chunk"))
 
 
+@query(
+    f"""WITH {_CHUNKS},
+marked AS (SELECT doc_id, count(*) AS n, bool_or(contains(array_to_string(piece, ' '), '|')) AS bad FROM cut GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS chunk_count, CASE WHEN bad THEN 'unreadable mark' END AS scoring_error,
+       CAST(coalesce(n, 0) = 0 OR coalesce(bad, false) AS BIGINT) AS unscored
+FROM documents LEFT JOIN marked USING (doc_id)"""
+)
+def failed_scores(t: Tables) -> DataFrame:
+    """A scorer that fails on some chunks: their texts carry the reason, all others are scored."""
+
+    def scorer(chunk: Column) -> Column:
+        failure = F.struct(*[F.lit(None).cast("double").alias(c) for c in CLASSES], F.lit("unreadable mark").alias("error"))
+        return F.when(chunk.contains("|"), failure).otherwise(LEXICON(chunk))
+
+    scored, failed = split_failures(score_texts(base.documents(t), "text", ["doc_id"], scorer, CHUNKER))
+    both = scored.withColumn("scoring_error", F.lit(None).cast("string")).unionByName(failed)
+    return comparable(both.select("doc_id", "chunk_count", "scoring_error", F.col("positive_prob").isNull().alias("unscored")))
+
+
 @query(
     f"""WITH {_CHUNKS}
 SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, array_to_string(piece, ' ') AS chunk FROM cut WHERE chunk_no < 3"""
