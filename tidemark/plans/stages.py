@@ -175,6 +175,7 @@ def _baseline(s: Study) -> None:
     save_comparison(compare({"layer1_only": Setup(panel, STATEMENT_FEATURES)}, s.sizes, min_dates=MIN_DATES), s.path("results/baseline"))
 
 
+# Fixed values in the next two stages: the names of the feature setups.
 def _compare_market(s: Study) -> None:
     panel = market_panel(s.read("statement_panel"), s.read("market_features"))
     setups = {

@@ -230,6 +230,7 @@ def best_model_predictions(t: Tables) -> DataFrame:
 FIT_ROWS = 5_000
 
 
+# Fixed values in the next two functions: the names of the feature setups.
 def _market_setups(t: Tables) -> dict[str, Setup]:
     columns = ["ticker", "date", "forward_return_5d", "label", *STATEMENT_FEATURES, *MARKET_FEATURES]
     panel = cut_lineage(usable_rows(bars_to_panel(base.bars(t), _statements(t))).select(*columns))
