@@ -91,3 +91,8 @@ def test_aliases(spark):
     aliases = {"filing_date": ["filing_date", "filed"], "value": ["value", "val"], "unit": ["unit"]}
     assert resolve_aliases(df, aliases, ["filing_date", "value"]).first().asDict() == {"filing_date": "2020-01-01", "value": 5, "unit": None}
     assert resolve_aliases(df, aliases, ["unit"]) is None
+
+
+def test_all_white_space_around_symbols_and_identifiers_goes(spark):
+    df = spark.createDataFrame([("\tkr\n\u00a0", "320193\n")], "t string, x string")
+    assert values(df, s.normalize_symbol("t"), s.pad_id("x")) == [("KR", "0000320193")]

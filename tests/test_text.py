@@ -173,3 +173,10 @@ def test_text_features_and_panel(spark):
     bars = spark.createDataFrame([("a", day(i), 0.0, 1) for i in (0, 1, 5, 20)], "ticker string, date date, forward_return_5d double, label int")
     panel = text_panel(bars, made, "sec_").orderBy("date").collect()
     assert [r.sent_accession_number for r in panel] == [None, "x2", "x2", "x9"]
+
+
+@pytest.mark.parametrize("least, found", [(3, ("AA x AA", "scored")), (10, ("AABB yyy", "section_too_short"))])
+def test_a_start_heading_that_abuts_an_end_heading_goes_on_to_the_next(spark, least, found):
+    rule = tx.SectionRule("marks", ("AA",), ("BB",), least)
+    got = spark.createDataFrame([("AA x AABB yyy BB",)], "t string").select(tx.section("t", rule).alias("s")).first().s
+    assert (got.text, got.status) == found
