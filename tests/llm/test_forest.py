@@ -101,3 +101,28 @@ def test_components(spark, seed):
         parent[b] = a
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+@pytest.mark.parametrize("task", [8, 50, 1000])
+def test_crowded_regions_leave_no_pair_out(spark, monkeypatch, task):
+    monkeypatch.setattr(forest, "REGION", 6)
+    monkeypatch.setattr(forest, "REGION_TASK", task)
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(3):  # chains that are likely links for two steps; half of each signature is a template's
+        row = np.concatenate([np.arange(64), rng.integers(0, 60_000, 64)]).astype(np.uint16)
+        for k in range(40):
+            row = row.copy()
+            row[64 + rng.permutation(64)[:32]] = rng.integers(0, 60_000, 32)
+            rows.append(row)
+    classes = spark.createDataFrame([(i, bytearray(r.astype(">u2").tobytes())) for i, r in enumerate(rows)], "node long, signature binary")
+    edges = [(i, j) for j in range(len(rows)) for i in range(j) if (rows[i] == rows[j]).mean() >= forest.LIKELY]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for i, j in edges:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    found = {r["node"]: r["component"] for r in components(forest.likely_links(classes)).collect()}
+    assert {i: found.get(i, i) for i in range(len(rows))} == {i: root(i) for i in range(len(rows))}

@@ -3,7 +3,8 @@
 Documents with equal shingle sets form a class, and one representative of each class goes on. A tree of
 the forest orders signatures from a component of its own; representatives with a common prefix in a tree
 are a region. Regions up to ``REGION`` members compare all their signatures and keep a spanning forest of
-the likely links; larger ones go deeper, by longer prefixes, and link longest-common-prefix neighbours.
+the likely links; larger ones are cut into blocks that share pivots, and what their block does not connect
+with the best pivot is compared with every block.
 The likely links split representatives into clusters. Links are confirmed inside the clusters on the full
 sets: a search from member to member visits each once and compares it with those not yet reached, so a
 dense cluster costs few comparisons and no pair of different clusters any.
@@ -29,8 +30,8 @@ from .grouped import components, whole_groups
 from .textbytes import distinct_per_row, mix, prefix_hashes, slices, span_hashes, utf8
 
 TREES, DEPTH, PERMUTATIONS = 32, 4, 128
-#: members of a region that are compared with one another, and of a large region's part in one task
-REGION, REGION_TASK = 256, 16_384
+#: members of a region whose best links are kept; members of a block of a larger one, and how many all its blocks hold
+REGION, REGION_TASK, PIVOTS = 256, 2_048, 4
 #: links are confirmed at this similarity; likely links reach LIKELY by signature, 4.5 deviations less
 SIMILARITY, LIKELY = (75, 100), 0.58
 #: shingles of a cluster, or of a block of one, in one task
@@ -59,38 +60,144 @@ def signed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """Members of the regions with more than one: region, part, node, signature in the tree's order."""
+def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The regions of every representative (region, node), and the sizes of those with more than one (region, n)."""
     digits = 2 * DEPTH
-    trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.substring("signature", t * digits + 1, digits)).alias("region")) for t in range(TREES)]))
-    rows = classes.select("node", trees.alias("t")).select("node", "t.*")
-    crowded = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    members = rows.join(crowded, "region").join(classes.select("node", "signature"), "node")
-    own = F.concat(F.expr(f"substring(signature, tree * {digits} + 1)"), F.expr(f"substring(signature, 1, tree * {digits})"))
-    # a crowded region goes deeper: by the next components, and by the id where one prefix still holds too many
-    deeper = F.xxhash64(F.substring("order", digits + 1, digits), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION_TASK)))
-    return members.withColumn("order", own).select("region", F.when(F.col("n") > REGION, deeper).otherwise(F.lit(0)).cast("long").alias("part"), "node", "order")
+    trees = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * digits + 1, digits)) for t in range(TREES)]))
+    rows = classes.select("node", trees.alias("region"))
+    return rows, rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def likely_links(members: DataFrame) -> DataFrame:
+def likely_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect whatever shares a region and agrees in a share of LIKELY at least."""
+    rows, found = regions(classes)
+    sizes = cut_lineage(found)
+    prints = classes.select("node", "signature")
+    links = small_regions(rows.join(sizes.where(F.col("n") <= REGION), "region").join(prints, "node"))
+    crowded = sizes.where(F.col("n") > REGION)
+    if not crowded.isEmpty():
+        links = links.union(crowded_regions(rows, crowded, prints))
+    return links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.uint16).reshape(len(column), -1)
+
+
+def link_schema(node: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("a", node), T.StructField("b", node)])
+
+
+def small_regions(members: DataFrame) -> DataFrame:
     """Spanning forests of the likely links of each region: a, b."""
-    node = members.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, [0, 1]):
-            nodes = table.column(2).to_numpy()
-            prints = np.frombuffer(b"".join(table.column(3).to_pylist()), ">u2").astype(np.uint16).reshape(len(table), -1)
+        for table, bounds in whole_groups(batches, [0]):
+            nodes, prints = table.column(1).to_numpy(), signatures_of(table.column(2))
             pairs = []
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                for a in range(start, end - 1, REGION - 1):  # parts of the order, each beginning with the last one of the part before
-                    pairs += [(a + i, a + j) for i, j in spanning_forest(prints[a : min(end, a + REGION)])]
+                pairs += [(start + i, start + j) for i, j in spanning_forest(prints[start:end])]
             if pairs:
                 i, j = np.array(pairs).T
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
 
-    dealt = members.repartition("region", "part").sortWithinPartitions("region", "part", "order")
-    return dealt.select("region", "part", "node", "order").mapInArrow(run, schema).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    dealt = members.repartition("region").sortWithinPartitions("region")
+    return dealt.select("region", "node", "signature").mapInArrow(run, link_schema(members.schema["node"].dataType))
+
+
+def crowded_regions(rows: DataFrame, crowded: DataFrame, prints: DataFrame) -> DataFrame:
+    """Likely links that connect all likely pairs of each crowded region: a, b.
+
+    A region is cut into blocks that all hold its pivots, a few members chosen by hash. Blocks are searched
+    from member to member. What a block connects with the best pivot is connected across blocks; the
+    others, the strays, are compared with every block, in tasks of bounded size. No pair is left out.
+    """
+    inside = rows.join(crowded, "region").withColumn("blocks", F.ceil(F.col("n") / REGION_TASK).cast("long"))
+    first = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("at"), "node"))["node"] for k in range(PIVOTS)]
+    pivots = cut_lineage(inside.groupBy("region", "blocks").agg(F.array_distinct(F.array(*first)).alias("node")).withColumn("node", F.explode("node")))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = inside.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "region", "node"), "blocks")).select("region", "block", "node")
+    placed = own.union(pivots.withColumn("block", numbers("blocks")).select("region", "block", "node")).distinct()
+    labels = cut_lineage(searched(placed.join(prints, "node")))
+    links = labels.select(F.col("parent").alias("a"), F.col("node").alias("b"))
+    # the pivot that the most members are connected with
+    counts = labels.groupBy("region", "block", "label").agg(F.count("*").alias("members"))
+    reach = labels.join(pivots.select("region", "node"), ["region", "node"]).select("region", "block", "label", "node").distinct().join(counts, ["region", "block", "label"])
+    best = reach.groupBy("region", "node").agg(F.sum("members").alias("members")).groupBy("region").agg(F.max(F.struct("members", "node"))["node"].alias("node"))
+    home = cut_lineage(labels.join(best, ["region", "node"]).select("region", "block", F.col("label").alias("home")).distinct())
+    at_home = labels.join(home, (labels["region"] == home["region"]) & (labels["block"] == home["block"]) & (labels["label"] == home["home"]), "left_anti")
+    blocks = pivots.select("region", "blocks").distinct().where("blocks > 1")
+    strays = cut_lineage(at_home.join(blocks, "region", "left_semi").select("region", "node").distinct())
+    if strays.isEmpty():
+        return links
+    parts = strays.groupBy("region").agg(F.ceil(F.count("*") / REGION_TASK).cast("long").alias("parts")).join(blocks, "region")
+    one = strays.join(parts, "region").withColumn("part", F.pmod(F.xxhash64(F.lit("stray"), "region", "node"), "parts")).withColumn("block", numbers("blocks"))
+    other = labels.join(parts, "region").withColumn("part", numbers("parts"))
+    shape = ["region", "part", "block", "is_stray", "label", "node"]
+    pairs = one.withColumns({"is_stray": F.lit(1), "label": F.col("node")}).select(*shape).unionByName(other.withColumn("is_stray", F.lit(0)).select(*shape))
+    return links.union(stray_links(pairs.join(prints, "node")))
+
+
+def searched(placed: DataFrame) -> DataFrame:
+    """Per member of a block the member it was reached from, and the first one of all that are connected: parent, label."""
+    longs = ["region", "block", "node", "parent", "label"]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in longs])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, [0, 1]):
+            nodes, prints = table.column(2).to_numpy(), signatures_of(table.column(3))
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = nodes[start:end]
+                parent, label = search(prints[start:end])
+                part = table.slice(start, end - start)
+                columns = [part.column(0).combine_chunks(), part.column(1).combine_chunks(), own, own[parent], own[label]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
+
+    dealt = placed.repartition("region", "block").sortWithinPartitions("region", "block", "node")
+    return dealt.select("region", "block", "node", "signature").mapInArrow(run, schema)
+
+
+def search(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and first members by breadth-first search over the pairs that agree in a share of LIKELY at least."""
+    n = len(prints)
+    parent, label = np.arange(n), np.full(n, -1)
+    rest = np.arange(n)
+    for start in range(n):
+        if label[start] >= 0:
+            continue
+        label[start], queue = start, [start]
+        rest = rest[rest != start]
+        while queue and len(rest):
+            at = queue.pop()
+            near = (prints[rest] == prints[at]).mean(axis=1) >= LIKELY
+            found = rest[near]
+            parent[found], label[found] = at, start
+            rest = rest[~near]
+            queue += found.tolist()
+    return parent, label
+
+
+def stray_links(pairs: DataFrame) -> DataFrame:
+    """Of each stray and each connected part of a block one likely link, if there is any: a, b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, [0, 1, 2]):
+            stray, labels, nodes = (table.column(k).to_numpy() for k in (3, 4, 5))
+            prints, links = signatures_of(table.column(6)), []
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = np.arange(start, end)
+                members = own[stray[start:end] == 0]
+                for s in own[stray[start:end] == 1].tolist():
+                    found = members[(prints[members] == prints[s]).mean(axis=1) >= LIKELY]
+                    links += [(s, m) for m in found[np.unique(labels[found], return_index=True)[1]].tolist()]
+            if links:
+                i, j = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
+
+    keys = ["region", "part", "block"]
+    dealt = pairs.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "is_stray", "label", "node", "signature").mapInArrow(run, link_schema(pairs.schema["node"].dataType))
 
 
 def spanning_forest(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -277,7 +384,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     classes = cut_lineage(
         filled.groupBy("set_a", "set_b").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     )
-    links = cut_lineage(likely_links(regions(classes)))
+    links = cut_lineage(likely_links(classes))
     clusters = components(links)
     sized = classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
     clustered = cut_lineage(clusters.join(sized, "node").select("node", F.col("component").alias("cluster"), "n_shingles"))
