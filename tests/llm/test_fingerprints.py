@@ -55,3 +55,15 @@ def test_near_pairs_find_all_links(spark, documents, texts):
     for a, b in itertools.combinations(sorted(sets), 2):
         near = jaccard(sets[a], sets[b]) >= 0.75
         assert near == (of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in linked), (a, b)
+
+
+def test_query_links_near_documents(spark, folder, texts):
+    sets, label = {d: shingles(t) for d, t in texts}, {d: d for d, _ in texts}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {d: low if x == high else x for d, x in label.items()}
+    found = {r["doc_id"]: (r["class_id"], r["n_linked"]) for r in QUERIES["op1_minhash_fingerprints"](spark, folder).collect()}
+    members = list(label.values())
+    assert found == {d: (x, members.count(x) - 1) for d, x in label.items()}
+    assert any(n for _, n in found.values())

@@ -104,7 +104,9 @@ def near_pairs(documents: DataFrame, id_column: str = "doc_id", text_column: str
     second has a_id < b_id and jaccard, at least ``similarity``, of class representatives. Signature bands
     are joined on (band, value); classes keep copies out of the join, and the similarity is computed on
     the full shingle sets of the pairs that share a band. Documents without words are in no pair. Ids are
-    taken to be unique; rows with a null id are in no class.
+    taken to be unique; rows with a null id are in no class. All pairs of a group of near copies are in the
+    result, which grows with the square of the group; ``forest.near_classes`` joins the same bands over a
+    whole table without that.
     """
     prints = cut_lineage(fingerprints(documents, id_column, text_column).where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)))
     members = prints.groupBy("fingerprint", "n_shingles").agg(F.min("doc_id").alias("class_id"))

@@ -407,3 +407,14 @@ def without_duplicates(documents: DataFrame, id_column: str = "doc_id", text_col
     found = near_duplicates(documents, id_column, text_column)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
     return documents.join(gone, documents[id_column] == F.col("_gone"), "left_anti")
+
+
+def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per id: doc_id, class_id, the smallest id that links reach, and n_linked, how many other ids they reach.
+
+    The links are those of ``near_duplicates``. Rows with a null id are left out.
+    """
+    found = near_duplicates(documents, id_column, text_column).where(F.col("doc_id").isNotNull())
+    of_doc = cut_lineage(found.groupBy("doc_id").agg(F.min("component_id").alias("class_id")))
+    several = of_doc.groupBy("class_id").agg((F.count("*") - 1).alias("n_linked")).where("n_linked > 0")
+    return of_doc.join(several, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"))

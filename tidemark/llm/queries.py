@@ -35,7 +35,8 @@ def tokenizer_path() -> str:
 
 @query
 def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return fingerprints.edit_report(documents(spark, folder))
+    docs = documents(spark, folder)
+    return fingerprints.edit_report(docs).join(forest.near_classes(docs).hint("merge"), "doc_id", "left")
 
 
 @query
