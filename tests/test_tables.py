@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.contracts import FILING_INDEX, RAW_FACTS
 from tidemark.operators import dedup, joins, reshape
 from tidemark.plans.panels import clean_fundamentals, statement_panel, usable_rows
+from tidemark.queries import roundtrips
+from tidemark.queries.registry import Tables
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources import facts as src
 from tidemark.sources import filings, tables, universe
@@ -182,3 +184,13 @@ def test_files(spark, tmp_path):
     assert tables.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 4
     wide = spark.range(0, 10, numPartitions=9)
     assert tables.spread(wide, "id") is wide
+
+
+def test_texts_of_one_source_are_in_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(roundtrips, "FILE_ROWS", 5, raising=False)
+    monkeypatch.setattr(roundtrips, "_folder", lambda t: str(tmp_path / "texts"))
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    roundtrips.corpus_round_trip(tables)
+    rows = {r["source"]: r["count"] for r in tables("documents").groupBy("source").count().collect()}
+    files = {s: len(list((tmp_path / "texts" / f"source={s}").glob("part-*"))) for s in rows}
+    assert all(5 * files[s] >= rows[s] for s in rows), (files, rows)

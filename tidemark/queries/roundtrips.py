@@ -18,6 +18,10 @@ from .modeling import _CONFUSION, _PREDICTIONS, _predictions
 from .registry import Tables, comparable, query
 
 
+#: texts in one file at most; a file is read back as one value
+FILE_ROWS = 100
+
+
 def _folder(t: Tables) -> str:
     return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/trip-{uuid.uuid4().hex}"
 
@@ -54,9 +58,9 @@ def metrics_round_trip(t: Tables) -> DataFrame:
 
 @query("SELECT source, CAST(sum(length(text)) + count(*) AS BIGINT) AS n_chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents GROUP BY source")
 def corpus_round_trip(t: Tables) -> DataFrame:
-    """Texts written as one file per source and read file by file."""
+    """Texts written as files of bounded size in a folder per source and read file by file."""
     path = _folder(t)
-    base.documents(t).select("source", "text").repartition("source").write.partitionBy("source").text(path)
+    base.documents(t).select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", FILE_ROWS).text(path)
     files = read_texts(t.spark, f"{path}/*/part-*").select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), "text")
     per_file = files.select("source", F.length("text").alias("n"), (F.length("text") - F.length(F.translate("text", "\n", ""))).alias("lines"))
     return per_file.groupBy("source").agg(F.sum("n").alias("n_chars"), F.sum("lines").alias("n_lines"))
