@@ -43,6 +43,14 @@ def table_round_trip(t: Tables) -> DataFrame:
     return comparable(scan(t.spark, path, columns=["n_nationkey", "n_name", "n_regionkey", "r_name"]).select("n_nationkey", "n_name", "n_regionkey", "r_name"))
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders")
+def orders_round_trip(t: Tables) -> DataFrame:
+    """A table that grows, written in folders by a column of few values, and read with the columns it must have."""
+    path, names = _folder(t), ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+    write_table(t("orders").select(*names), path, ["o_orderstatus"])
+    return comparable(scan(t.spark, path, columns=names).select(*names), exact=("o_totalprice",))
+
+
 @query(
     f"""WITH {_CONFUSION}
 SELECT model_name, metric, value FROM (SELECT model_name, CAST(tn AS DOUBLE) AS tn, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tp AS DOUBLE) AS tp FROM counts)
