@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics, modeling, quality
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.plans import comparison
 from tidemark.plans.comparison import Setup, compare
 
 
@@ -171,3 +172,11 @@ def test_comparison(spark):
     assert result.tidy().count() == 6 * 10
     assert result.column_report().where("not used").count() == 1
     assert {r.part: r.row_count for r in result.summary.where("feature_setup = 'small'").collect()} == {"train": 192, "test": 48}
+
+
+def test_models_are_built_for_the_rows_that_are_fitted(spark, monkeypatch):
+    counts, fitted = [], []
+    monkeypatch.setattr(comparison, "build_models", lambda n, sizes: counts.append(n) or modeling.build_models(n, sizes))
+    monkeypatch.setattr(modeling, "fitting_rows", lambda *a, f=modeling.fitting_rows: fitted.append(f(*a).count()) or f(*a))
+    compare({"small": Setup(panel(spark), ("u",))}, modeling.ModelSizes(50, 5, 3, 3, 2), models=["logistic_regression"], min_dates=10, fit_rows=100)
+    assert counts == fitted and 50 < counts[0] < 150

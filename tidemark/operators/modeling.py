@@ -212,6 +212,14 @@ def build_models(train_rows: int, sizes: ModelSizes = ModelSizes(), early_stoppi
     }
 
 
+def fitting_rows(train: DataFrame, keys: Sequence[str], fit_rows: int | None) -> DataFrame:
+    """All training rows, or about ``fit_rows`` of them, chosen by a hash of their keys."""
+    if fit_rows is None or (n := train.count()) <= fit_rows:
+        return train
+    place = F.pmod(F.xxhash64(F.lit("fit"), *keys), F.lit(1_000_000))
+    return train.where(place < int(1_000_000 * fit_rows / n))
+
+
 def fit_and_predict(
     train: DataFrame,
     test: DataFrame,
@@ -228,9 +236,7 @@ def fit_and_predict(
     """
     weights = class_weights(train)
     scales = scaling(train, features)
-    if fit_rows is not None and (n := train.count()) > fit_rows:
-        place = F.pmod(F.xxhash64(F.lit("fit"), *keep), F.lit(1_000_000))
-        train = train.where(place < int(1_000_000 * fit_rows / n))
+    train = fitting_rows(train, keep, fit_rows)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
     out: DataFrame | None = None
     for name, spec in models.items():
