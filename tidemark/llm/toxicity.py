@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -223,11 +224,12 @@ def without_copies(rows: DataFrame, order: str, minima: int = 3) -> DataFrame:
     return kept.drop(*names)
 
 
-def vocabulary_of(rows: DataFrame, least_documents: int = 3, most_words: int = 30_000, chance: float = 0.05, least_ratio: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+def vocabulary_of(rows: DataFrame, least_documents: int = 3, most_words: int = 60_000, chance: float = 0.05, least_ratio: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the words of at least ``least_documents`` sampled documents, and which are toxic.
 
     A word is toxic if toxic documents have it at ``least_ratio`` times the rate of clean ones at least (one
-    half added to both counts), and more often by a likelihood-ratio statistic that a word out of all these reaches with probability ``chance`` by luck.
+    half added to both counts), and more often by a likelihood-ratio statistic under which a share of ``chance`` of
+    the toxic words is expected to be there by luck (Benjamini-Hochberg over all candidates).
     Toxic words come first if there are more than ``most_words``.
     """
 
@@ -258,13 +260,21 @@ def vocabulary_of(rows: DataFrame, least_documents: int = 3, most_words: int = 3
         (part(side, docs * m / (n1 + n0)) + part(m - side, (n1 + n0 - docs) * m / (n1 + n0)) for side, m in ((F.col("toxic"), n1), (F.col("clean"), n0))), F.lit(0.0)
     )
     candidates = cut_lineage(per_word.where(docs >= least_documents))
-    least_evidence = 2 * np.log(max(candidates.count(), 1) / chance)  # exp(-x / 2) bounds the tail of chi-square with one degree
-    is_toxic = (evidence >= float(least_evidence)) & ((F.col("toxic") + 0.5) / n1 >= least_ratio * (F.col("clean") + 0.5) / n0)
+    frequent = (F.col("toxic") + 0.5) / n1 >= least_ratio * (F.col("clean") + 0.5) / n0
+    is_toxic = frequent & (evidence >= least_evidence(candidates.where(frequent).select(evidence.alias("x")).toArrow()["x"].to_numpy(), candidates.count(), chance))
     chosen = candidates.select("word", is_toxic.alias("is_toxic"), docs.alias("docs"))
-    found = chosen.orderBy(F.desc("is_toxic"), F.desc("docs"), "word").limit(most_words).select("word", "is_toxic").collect()
-    words = np.array([r["word"] for r in found], np.int64).view(np.uint64)
+    found = chosen.orderBy(F.desc("is_toxic"), F.desc("docs"), "word").limit(most_words).select("word", "is_toxic").toArrow()
+    words = found["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], np.array([r["is_toxic"] for r in found], bool)[order]
+    return words[order], found["is_toxic"].to_numpy().astype(bool)[order]
+
+
+def least_evidence(evidence: np.ndarray, tested: int, chance: float) -> float:
+    """The least statistic (chi-square with one degree, upper side) that Benjamini-Hochberg accepts out of ``tested`` ones."""
+    ordered = np.sort(evidence)[::-1]
+    tail = np.array([erfc(sqrt(max(x, 0.0) / 2)) / 2 for x in ordered.tolist()])
+    accepted = np.flatnonzero(tail <= chance * np.arange(1, len(ordered) + 1) / max(tested, 1))
+    return float(ordered[accepted[-1]]) if len(accepted) else float("inf")
 
 
 def fit_field(rows: DataFrame, vocabulary: np.ndarray, toxic: np.ndarray, steps: int = 30, ridge: tuple[float, float, float] = (0.5, 8.0, 8.0)) -> tuple[np.ndarray, np.ndarray]:
