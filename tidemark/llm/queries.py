@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, forest, language, mixing, packing, quality, secrets, suffixes, superkmers, toxicity
+from . import dialogue, fingerprints, forest, importance, language, mixing, packing, quality, secrets, statements, suffixes, superkmers, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,6 +133,32 @@ def op10_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return importance.resample(documents(spark, folder), benchmark, percent=10, least_words=20, longest=1, buckets=10_000, seed=2024)
+
+
+ORACLES["op11_importance_resampling"] = statements.RESAMPLED
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = dialogue.damaged(spark.read.parquet(f"{folder}/conversations.parquet"))
+    return dialogue.repair(rows, gone=F.col("gone"))
+
+
+ORACLES["op12_conversation_repair"] = statements.REPAIRED
+
+
+@query
+def op13_spherical_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), cosine=0.98)
+
+
+ORACLES["op13_spherical_cells"] = statements.LINKED
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
