@@ -174,7 +174,8 @@ def compared(dealt: DataFrame, cosine: float) -> DataFrame:
         nobody = np.iinfo(np.int64).max
         least = columns["least"].fill_null(nobody).to_numpy()
         rows, copies, side = columns["row"].to_numpy(), columns["copies"].to_numpy(), columns["side"].to_numpy()
-        links, edges = np.zeros(len(rows), np.int64), []
+        # copies link with each other; they count once, where the row's ids are
+        links, edges = np.where(np.asarray(columns["ids"].is_valid()), copies - 1, 0), []
         keys = columns["key"].combine_chunks().dictionary_encode()
         for code in range(len(keys.dictionary)):  # keys whose hashes are equal are told apart
             own = np.flatnonzero(keys.indices.fill_null(-1).to_numpy() == code)
@@ -184,7 +185,6 @@ def compared(dealt: DataFrame, cosine: float) -> DataFrame:
             inner = not len(right) and table.column("first")[0].as_py() == table.column("second")[0].as_py()
             if inner:
                 right = left
-                links[own] += copies[own] - 1
             for i, j in blocked(points, before, left, right, cosine):
                 np.add.at(links, own[i], copies[own[j]])
                 if not inner:
