@@ -24,6 +24,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return _keep(df, keys, [F.col(c).asc_nulls_last() for c in order])
 
 
+def keep_earliest(df: DataFrame, keys: Sequence[str], order: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """Row with the least ``order`` per key, nulls last; of equal ones the one with the greatest ``ties``."""
+    return _keep(df, keys, [*[F.col(c).asc_nulls_last() for c in order], *[F.col(c).desc_nulls_first() for c in ties]])
+
+
 def drop_exact_duplicates(df: DataFrame, lineage: str | None = None) -> DataFrame:
     """One of each distinct row. ``lineage`` is left out of the comparison and keeps its least value."""
     if lineage is None:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import keep_last
+from .dedup import keep_earliest, keep_last
 
 
 def _latest(columns: Sequence[str]) -> Column:
@@ -25,6 +25,7 @@ def facts_to_wide(
     latest: Sequence[str],
     ties: Sequence[str] = (),
     owner: str | None = None,
+    keep: str = "last",
 ) -> DataFrame:
     """One row per key: the newest metadata row and, per concept, the newest value.
 
@@ -32,10 +33,19 @@ def facts_to_wide(
     the metadata. Superseded facts are dropped first, largely before the shuffle; the metadata
     choice, the pivot and the join between them are then one grouped aggregation over what is left.
     When ``owner`` is given, a value counts only if its row names the same owner as the metadata row.
+
+    With ``keep="first"`` everything is as first reported: the value of the least ``latest``, the greatest
+    ``ties`` deciding, and the metadata row of the least ``latest``, then concept.
     """
-    newest = keep_last(facts, [*keys, concept], [*latest, *ties])
+    if keep not in ("first", "last"):
+        raise ValueError(f"keep is first or last, not {keep}")
     carried = [c for c in metadata if c not in keys]
-    meta = F.max_by(F.struct(*carried), _latest([*latest, concept])).alias("__meta")
+    if keep == "last":
+        newest = keep_last(facts, [*keys, concept], [*latest, *ties])
+        meta = F.max_by(F.struct(*carried), _latest([*latest, concept])).alias("__meta")
+    else:
+        newest = keep_earliest(facts, [*keys, concept], latest, ties)
+        meta = F.min_by(F.struct(*carried), _latest([*latest, concept])).alias("__meta")
 
     def of(name: str, held: str) -> Column:
         return F.max(F.when(F.col(concept) == name, F.col(held)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import FUNDAMENTALS_META, LABELLED_BARS, RAW_FACTS, STATEMENT_FEATURES, enforce
 from ..operators.asof import asof_join
+from ..operators.bitemporal import as_known_join, versions
 from ..operators.joins import attach
 from ..operators.reshape import facts_to_wide
 from ..operators.segments import ROWS_PER_SEGMENT
@@ -22,17 +23,48 @@ def normalize_facts(raw: DataFrame) -> DataFrame:
     return facts.dropna(subset=["ticker", "cik", "filing_date", "period_end", "concept_name"])
 
 
-def clean_fundamentals(raw: DataFrame, concepts: Sequence[str] = CONCEPTS, ties: Sequence[str] | None = None) -> DataFrame:
+def _ties(facts: DataFrame, ties: Sequence[str] | None) -> list[str]:
+    if ties is not None:
+        return list(ties)
+    return ["fact_order"] if "fact_order" in facts.columns else ["value"]
+
+
+def clean_fundamentals(
+    raw: DataFrame, concepts: Sequence[str] = CONCEPTS, ties: Sequence[str] | None = None, keep: str = "last"
+) -> DataFrame:
     """One wide row per ticker and period end, every value from its latest filing.
 
     ``ties`` orders facts of one filing date; by default the recorded position of the fact, else its value.
+    ``keep="first"`` takes every value as first reported.
     """
     facts = normalize_facts(raw)
-    if ties is None:
-        ties = ["fact_order"] if "fact_order" in facts.columns else ["value"]
     return facts_to_wide(
         facts, ["ticker", "period_end"], FUNDAMENTALS_META.names, "concept_name", "value",
-        concepts, latest=["filing_date"], ties=ties, owner="cik",
+        concepts, latest=["filing_date"], ties=_ties(facts, ties), owner="cik", keep=keep,
+    )
+
+
+def fundamental_versions(raw: DataFrame, concepts: Sequence[str] = CONCEPTS, ties: Sequence[str] | None = None) -> DataFrame:
+    """One wide row per ticker, period end and filing day: all that was known of the period by that day."""
+    facts = normalize_facts(raw)
+    return versions(
+        facts, ["ticker", "period_end"], "filing_date", FUNDAMENTALS_META.names, "concept_name", "value",
+        concepts, ties=_ties(facts, ties),
+    )
+
+
+def panel_as_known(
+    labelled_bars: DataFrame, known: DataFrame, rows_per_segment: int | None = None, hot_rows: int | None = None
+) -> DataFrame:
+    """Every bar with the newest period filed by its day, as it was known on that day.
+
+    Unlike :func:`statement_panel` a later correction changes no earlier bar, and a correction of an old
+    period does not stand in for a newer one. ``known`` comes from :func:`fundamental_versions`.
+    """
+    bars = enforce(labelled_bars, LABELLED_BARS)
+    return as_known_join(
+        bars, known, ["ticker"], "date", "filing_date", ["period_end"],
+        rows_per_segment=rows_per_segment, hot_rows=hot_rows,
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import FILING_INDEX, RAW_FACTS, align, coerce, resolve_aliases, typed_empty
 from ..functions.scalars import normalize_symbol, safe_divide, within
+from ..operators import durations
 from ..operators.dedup import append_new, drop_exact_duplicates, duplicate_counts, keep_first, keep_last, new_only
 from ..operators.joins import lookup, missing_concepts, missing_members, prefer_source
 from ..operators.reshape import pivot_concepts
@@ -393,3 +394,71 @@ def align_columns(t: Tables) -> DataFrame:
         "ticker", "cik", "company_name", "form_type", "filing_date", "period_end", "accession_number"
     )
     return comparable(typed_empty(t.spark, FILING_INDEX).unionByName(align(older, FILING_INDEX)))
+
+
+# Item lines as amounts of a quarter, of the year so far or of a whole year, by line number.
+_SPANS = """spans AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS ticker, l_linestatus AS concept_name, l_extendedprice AS value,
+         CAST(CASE WHEN l_linenumber IN (1, 4) THEN date_trunc('quarter', l_shipdate) ELSE date_trunc('year', l_shipdate) END AS DATE) AS period_start,
+         CASE WHEN l_linenumber IN (3, 7) THEN make_date(year(l_shipdate), 12, 31)
+              ELSE CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) END AS period_end,
+         CAST(l_shipdate AS DATE) + 100 AS filing_date
+  FROM lineitem),
+latest AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY ticker, concept_name, period_start, period_end ORDER BY filing_date DESC, value DESC) = 1),
+reported AS (SELECT *, 'reported' AS origin FROM latest WHERE period_end - period_start + 1 BETWEEN 80 AND 100),
+steps AS (SELECT *, lag(period_end) OVER w AS e, lag(value) OVER w AS v, lag(filing_date) OVER w AS f FROM latest WINDOW w AS (PARTITION BY ticker, concept_name, period_start ORDER BY period_end)),
+differences AS (
+  SELECT ticker, concept_name, value - v AS value, e + 1 AS period_start, period_end, greatest(filing_date, f) AS filing_date, 'difference' AS origin
+  FROM steps WHERE period_end - e BETWEEN 80 AND 100),
+known AS (
+  SELECT * FROM (SELECT *, 1 AS o FROM reported UNION ALL SELECT *, 2 FROM differences) QUALIFY row_number() OVER (PARTITION BY ticker, concept_name, period_start, period_end ORDER BY o) = 1),
+years AS (SELECT * FROM latest WHERE period_end - period_start + 1 BETWEEN 350 AND 380),
+summed AS (
+  SELECT y.ticker, y.concept_name, y.period_start, y.period_end, y.value, y.filing_date, count(*) AS n, sum(k.value) AS total, min(k.period_start) AS first, max(k.period_end) + 1 AS rest,
+         sum(k.period_end - k.period_start + 1) AS covered, max(k.filing_date) AS f
+  FROM years y JOIN known k ON y.ticker = k.ticker AND y.concept_name = k.concept_name AND k.period_start >= y.period_start AND k.period_end < y.period_end
+  GROUP BY ALL),
+remainders AS (
+  SELECT ticker, concept_name, value - total AS value, rest AS period_start, period_end, greatest(filing_date, f) AS filing_date, 'remainder' AS origin
+  FROM summed WHERE n = 3 AND first = period_start AND covered = rest - period_start AND period_end - rest + 1 BETWEEN 80 AND 100),
+quarters AS (
+  SELECT * FROM (SELECT * FROM known UNION ALL SELECT *, 3 FROM remainders) QUALIFY row_number() OVER (PARTITION BY ticker, concept_name, period_start, period_end ORDER BY o) = 1)"""
+
+
+def _spans(t: Tables) -> DataFrame:
+    day = F.to_date("l_shipdate")
+    quarter = F.trunc(day, "quarter")
+    return t("lineitem").select(
+        F.col("l_suppkey").cast("string").alias("ticker"),
+        F.col("l_linestatus").alias("concept_name"),
+        F.col("l_extendedprice").alias("value"),
+        F.when(F.col("l_linenumber").isin(1, 4), quarter).otherwise(F.trunc(day, "year")).alias("period_start"),
+        F.when(F.col("l_linenumber").isin(3, 7), F.make_date(F.year(day), F.lit(12), F.lit(31))).otherwise(F.date_add(F.add_months(quarter, 3), -1)).alias("period_end"),
+        F.date_add(day, 100).alias("filing_date"),
+    )
+
+
+@query(f"WITH {_SPANS} SELECT ticker, concept_name, {base.iso('period_start', 'period_end', 'filing_date')}, round(value, 6) AS value, origin FROM quarters")
+def facts_by_quarter(t: Tables) -> DataFrame:
+    """Single quarters: reported ones, differences of amounts of the year so far, and what three quarters leave of a year."""
+    return comparable(durations.quarterly(_spans(t), ties=["value"]))
+
+
+@query(
+    f"""WITH {_SPANS}, counted AS (SELECT *, period_end - period_start + 1 AS days FROM spans)
+SELECT ticker, concept_name, {base.iso('period_start', 'period_end', 'filing_date')}, round(value, 6) AS value FROM counted WHERE days BETWEEN 80 AND 380
+QUALIFY row_number() OVER (PARTITION BY ticker, concept_name, period_end ORDER BY days DESC, filing_date DESC, value DESC) = 1"""
+)
+def facts_year_to_date(t: Tables) -> DataFrame:
+    """The longest amount of each period end."""
+    return comparable(durations.year_to_date(_spans(t), ties=["value"]))
+
+
+@query(
+    f"""WITH {_SPANS}, named AS (SELECT concept_name, CASE WHEN d BETWEEN 80 AND 100 THEN 'quarter' WHEN d BETWEEN 170 AND 195 THEN 'half_year' WHEN d BETWEEN 260 AND 285 THEN 'nine_months'
+  WHEN d BETWEEN 350 AND 380 THEN 'year' ELSE 'other' END AS duration FROM (SELECT *, period_end - period_start + 1 AS d FROM spans))
+SELECT concept_name, duration, count(*) AS n FROM named GROUP BY ALL"""
+)
+def facts_by_duration(t: Tables) -> DataFrame:
+    """How many facts cover a quarter, half a year, nine months, a year or another length."""
+    return comparable(durations.with_duration(_spans(t)).groupBy("concept_name", "duration").agg(F.count(F.lit(1)).alias("n")))

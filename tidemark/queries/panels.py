@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.asof import asof_join
 from ..operators.joins import attach
 from ..plans.features import MARKET_CORE, MARKET_FEATURES, STATEMENT_FEATURES, forward_labels, market_features, statement_features
-from ..plans.panels import bars_to_panel, clean_fundamentals, market_panel, statement_panel, usable_rows
+from ..plans.panels import bars_to_panel, clean_fundamentals, fundamental_versions, market_panel, panel_as_known, statement_panel, usable_rows
+from ..sources.facts import CONCEPTS
 from . import common as base
 from .facts import STATEMENTS
 from .market import FEATURES, LABELS
@@ -141,3 +142,59 @@ def attach_market_features(t: Tables) -> DataFrame:
     )
     ready = market_features(base.bars(t)).where(F.col("volatility_21d").isNotNull())
     return comparable(attach(lines, ready, ["ticker", "date"], MARKET_CORE))
+
+
+_FIRST = f"""{base.FACTS},
+earliest AS (
+  SELECT * FROM facts
+  QUALIFY row_number() OVER (PARTITION BY ticker, period_end, concept_name ORDER BY filing_date, value DESC, form_type DESC) = 1),
+meta AS (
+  SELECT ticker, cik, filing_date, period_end, fiscal_period, fiscal_year, form_type FROM earliest
+  QUALIFY row_number() OVER (PARTITION BY ticker, period_end ORDER BY filing_date, concept_name) = 1),
+cells AS (SELECT ticker, period_end, {", ".join(f"max(CASE WHEN concept_name = '{c}' THEN value END) AS {c}" for c in CONCEPTS)} FROM earliest GROUP BY 1, 2)
+SELECT m.ticker, cik, CAST(filing_date AS VARCHAR) AS filing_date, CAST(m.period_end AS VARCHAR) AS period_end, fiscal_period, fiscal_year, form_type, {base.r6(*CONCEPTS)}
+FROM meta m JOIN cells c ON m.ticker = c.ticker AND m.period_end = c.period_end"""
+
+
+@query(f"WITH {_FIRST}")
+def fundamentals_first_reported(t: Tables) -> DataFrame:
+    """Every value as first reported."""
+    return comparable(clean_fundamentals(base.raw_facts(t), ties=base.TIES, keep="first"))
+
+
+_VERSIONS = f"""{base.FACTS}, {LABELS},
+daily AS (
+  SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY ticker, period_end, filing_date, concept_name ORDER BY value DESC, form_type DESC) = 1),
+filed AS (
+  SELECT ticker, period_end, filing_date, max_by(form_type, concept_name) AS form_type, {", ".join(f"max(CASE WHEN concept_name = '{c}' THEN value END) AS {c}" for c in CONCEPTS)}
+  FROM daily GROUP BY 1, 2, 3),
+versions AS (
+  SELECT ticker, period_end, filing_date, form_type, {", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in CONCEPTS)}
+  FROM filed WINDOW w AS (PARTITION BY ticker, period_end ORDER BY filing_date ROWS UNBOUNDED PRECEDING))"""
+
+_AS_KNOWN = f"""WITH {_VERSIONS},
+best AS (
+  SELECT ticker, filing_date AS known_from, max({{'period_end': period_end, 'filing_date': filing_date}}) OVER (PARTITION BY ticker ORDER BY filing_date RANGE UNBOUNDED PRECEDING) AS b
+  FROM versions),
+steps AS (SELECT DISTINCT ticker, known_from, b.period_end AS period_end, b.filing_date AS filing_date FROM best),
+known AS (SELECT s.known_from, v.* FROM steps s JOIN versions v ON s.ticker = v.ticker AND s.period_end = v.period_end AND s.filing_date = v.filing_date)
+SELECT b.ticker, CAST(b.date AS VARCHAR) AS date, CAST(b.label AS BIGINT) AS label, {base.iso('k.period_end', 'k.filing_date').replace('AS k.', 'AS ')}, k.form_type, {base.r6(*CONCEPTS)}
+FROM labelled b ASOF LEFT JOIN known k ON b.ticker = k.ticker AND b.date >= k.known_from"""
+
+
+def _as_known(t: Tables, **how) -> DataFrame:
+    known = fundamental_versions(base.raw_facts(t), ties=base.TIES)
+    panel = panel_as_known(forward_labels(base.bars(t)), known, **how)
+    return comparable(panel.select("ticker", "date", "label", "period_end", "filing_date", "form_type", *CONCEPTS))
+
+
+@query(_AS_KNOWN)
+def panel_known_by_day(t: Tables) -> DataFrame:
+    """Every bar with the newest period filed by its day, in the version of that day."""
+    return _as_known(t)
+
+
+@query(_AS_KNOWN)
+def panel_known_by_day_split(t: Tables) -> DataFrame:
+    """The same with every key taken for hot, and the histories cut at some hundred places."""
+    return _as_known(t, rows_per_segment=max(10, t("lineitem").count() // 100), hot_rows=0)

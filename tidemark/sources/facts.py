@@ -49,7 +49,7 @@ CONCEPT_TAGS = {
 }
 CONCEPTS = tuple(CONCEPT_TAGS)
 
-FACT = "struct<form:string,filed:string,end:string,fp:string,fy:string,val:string>"
+FACT = "struct<form:string,filed:string,start:string,end:string,fp:string,fy:string,val:string>"
 FACTS_DOCUMENT = f"struct<facts:struct<`us-gaap`:map<string,struct<units:map<string,array<{FACT}>>>>>>"
 ID_MAP_DOCUMENT = "map<string,struct<ticker:string,cik_str:string>>"
 
@@ -74,12 +74,14 @@ def flatten_facts(
     forms: Sequence[str] = ALLOWED_FORMS,
     horizon: tuple[str, str] = HORIZON,
     source: str = "sec_companyfacts",
+    spans: bool = False,
 ) -> DataFrame:
     """Long facts from documents with ``ticker``, ``cik`` and a JSON column.
 
     Every accepted tag of a concept contributes rows. Facts of other forms, or with a known date
     outside the horizon, are left out. ``fact_order`` records where a fact stood (tag priority,
-    unit, position) for use as the last tie-break.
+    unit, position) for use as the last tie-break. With ``spans`` the first day of what a fact covers comes
+    along as ``period_start`` (null for instants); see :mod:`tidemark.operators.durations`.
     """
     wanted = F.create_map(
         *[
@@ -108,6 +110,7 @@ def flatten_facts(
             "cik",
             filed.alias("filing_date"),
             closed.alias("period_end"),
+            *([to_date(F.col("fact.start")).alias("period_start")] if spans else []),
             F.col("fact.fp").alias("fiscal_period"),
             F.col("fact.fy").alias("fiscal_year"),
             F.col("fact.form").alias("form_type"),
