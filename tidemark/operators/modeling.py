@@ -7,8 +7,11 @@ numbers per column; those come to the driver, data never does.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import coerce, require
 from ..functions.scalars import clip
+from ..session import cut_lineage
 from .quantiles import exact_quantiles
 
 # Share of dates held out, sparsity limit in percent, winsorising quantiles, fewest dates.
@@ -29,6 +33,8 @@ MIN_DATES = 10
 SEED = 42
 # the studied estimator stops early beyond this many rows
 EARLY_STOPPING_ROWS = 10_000
+#: rows of one partition of a bounded fitting sample: an iterative fit runs one task per partition and step
+FIT_PARTITION_ROWS = 20_000
 
 Bounds = Mapping[str, tuple[float | None, float | None]]
 
@@ -195,7 +201,7 @@ def build_models(train_rows: int, sizes: ModelSizes = ModelSizes(), early_stoppi
         "random_forest": ModelSpec(
             RandomForestClassifier(
                 **common, weightCol="weight", numTrees=sizes.forest_trees, maxDepth=sizes.forest_depth,
-                minInstancesPerNode=20, featureSubsetStrategy="sqrt", seed=SEED,
+                minInstancesPerNode=20, featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=512,
             ),
             scaled=False,
             weighted=True,
@@ -203,7 +209,7 @@ def build_models(train_rows: int, sizes: ModelSizes = ModelSizes(), early_stoppi
         "gradient_boosting": ModelSpec(
             GBTClassifier(
                 **common, maxDepth=sizes.boosting_depth, stepSize=0.05, maxIter=sizes.boosting_rounds,
-                minInstancesPerNode=50, maxBins=255, seed=SEED, **held_out,
+                minInstancesPerNode=50, maxBins=255, seed=SEED, cacheNodeIds=True, maxMemoryInMB=512, **held_out,
             ),
             scaled=False,
             weighted=False,
@@ -216,8 +222,23 @@ def fitting_rows(train: DataFrame, keys: Sequence[str], fit_rows: int | None) ->
     """All training rows, or about ``fit_rows`` of them, chosen by a hash of their keys."""
     if fit_rows is None or (n := train.count()) <= fit_rows:
         return train
-    place = F.pmod(F.xxhash64(F.lit("fit"), *keys), F.lit(1_000_000))
-    return train.where(place < int(1_000_000 * fit_rows / n))
+    # the hash as a place between 0 and 1, so that any share can be taken however many rows there are
+    place = F.xxhash64(F.lit("fit"), *keys) / F.lit(2.0**64) + 0.5
+    return train.where(place < F.lit(fit_rows / n))
+
+
+S, R = TypeVar("S"), TypeVar("R")
+
+
+def side_by_side(work: Callable[[S], R], items: Sequence[S]) -> list[R]:
+    """Results of ``work`` in order, its Spark jobs submitted from one thread per item.
+
+    Iterative fits are long rows of short jobs; run one after the other they leave most of a cluster idle.
+    """
+    if len(items) < 2:
+        return [work(x) for x in items]
+    with ThreadPoolExecutor(len(items)) as pool:
+        return list(pool.map(work, items))
 
 
 def fit_and_predict(
@@ -231,23 +252,26 @@ def fit_and_predict(
     """Test predictions of every model: kept columns, label, model, predicted label and P(1).
 
     Keys travel with each prediction. Inputs must already be winsorised and imputed. With ``fit_rows``
-    the models are fitted on about that many training rows, chosen by a hash of their keys; class weights
-    and scales still cover all training rows, and all test rows are scored.
+    the models are fitted on about that many training rows, chosen by a hash of their keys and written once in
+    few partitions; class weights and scales still cover all training rows, and all test rows are scored.
     """
+    if not models:
+        raise ValueError("no models given")
     weights = class_weights(train)
     scales = scaling(train, features)
-    train = fitting_rows(train, keep, fit_rows)
+    fit_on = fitting_rows(train, keep, fit_rows).withColumns(
+        {"weight": weight_column(weights), "held_out": F.pmod(F.xxhash64(*keep), F.lit(10)) == 0}
+    ).select("label", "weight", "held_out", *features)
+    if fit_rows is not None:  # bounded, so few tasks do
+        fit_on = cut_lineage(fit_on.coalesce(max(1, math.ceil(fit_rows / FIT_PARTITION_ROWS))))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    out: DataFrame | None = None
-    for name, spec in models.items():
-        fit_on, score_on = (standardize(d, scales) if spec.scaled else d for d in (train, test))
-        if spec.weighted:
-            fit_on = fit_on.withColumn("weight", weight_column(weights))
-        if spec.early_stopping:
-            fit_on = fit_on.withColumn("held_out", F.pmod(F.xxhash64(*keep), F.lit(10)) == 0)
+
+    def fit(name: str) -> DataFrame:
+        spec = models[name]
+        learn_from, score_on = (standardize(d, scales) if spec.scaled else d for d in (fit_on, test))
         columns = ["label", "features", *["weight"] * spec.weighted, *["held_out"] * spec.early_stopping]
-        model = spec.estimator.fit(assembler.transform(fit_on).select(*columns))
-        predicted = (
+        model = spec.estimator.fit(assembler.transform(learn_from).select(*columns))
+        return (
             model.transform(assembler.transform(score_on))
             .withColumn("predicted_probability", vector_to_array("probability")[1])
             .select(
@@ -258,7 +282,9 @@ def fit_and_predict(
                 "predicted_probability",
             )
         )
-        out = predicted if out is None else out.unionByName(predicted)
-    if out is None:
-        raise ValueError("no models given")
+
+    predicted = side_by_side(fit, list(models))
+    out = predicted[0]
+    for more in predicted[1:]:
+        out = out.unionByName(more)
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, modeling
 from ..operators.quantiles import exact_quantiles
-from ..plans.comparison import Comparison, Setup, compare
+from ..plans.comparison import Comparison, Setup, compare, summarize
 from ..plans.features import MARKET_CORE, MARKET_FEATURES, STATEMENT_FEATURES, market_features, text_feature_names, text_features
 from ..plans.panels import bars_to_panel, text_panel, usable_rows
 from ..session import cut_lineage
@@ -302,5 +302,4 @@ FROM parts GROUP BY part"""
 @query(_SUMMARY)
 def training_summary(t: Tables) -> DataFrame:
     setups = _market_setups(t)
-    one = compare({"layer1_only": setups["layer1_only"]}, models=["logistic_regression"], fit_rows=FIT_ROWS)
-    return comparable(one.summary)
+    return comparable(summarize({"layer1_only": setups["layer1_only"]}))
