@@ -47,16 +47,6 @@ def test_small_tables(frame, rows):
     assert sorted(r["n_chars"] for r in found) == sorted(len(t) for _, t in rows)
 
 
-def test_near_pairs_find_all_links(spark, documents, texts):
-    classes, pairs = fingerprints.near_pairs(documents)
-    of = {r["doc_id"]: r["class_id"] for r in classes.collect()}
-    linked = {(r["a_id"], r["b_id"]) for r in pairs.collect()}
-    sets = {d: shingles(t) for d, t in texts if shingles(t)}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        near = jaccard(sets[a], sets[b]) >= 0.75
-        assert near == (of[a] == of[b] or (min(of[a], of[b]), max(of[a], of[b])) in linked), (a, b)
-
-
 def test_query_links_near_documents(spark, folder, texts):
     sets, label = {d: shingles(t) for d, t in texts}, {d: d for d, _ in texts}
     for a, b in itertools.combinations(sorted(sets), 2):
@@ -67,3 +57,16 @@ def test_query_links_near_documents(spark, folder, texts):
     members = list(label.values())
     assert found == {d: (x, members.count(x) - 1) for d, x in label.items()}
     assert any(n for _, n in found.values())
+
+
+def test_whole_query_on_odd_rows(spark, frame, tmp_path):
+    """Nulls, repeated ids and rows, an empty text and columns in the way; every row comes back once."""
+    text = "one two three four five six seven eight nine ten " * 3
+    rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (None, text), (None, None), (5, "a b"), (5, "c d"), (6, text + "eleven twelve")]
+    frame(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op1_minhash_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in found) == sorted((str(d), len(t or "")) for d, t in rows)
+    classes = {r["doc_id"]: (r["class_id"], r["n_linked"]) for r in found}
+    assert classes == {1: (1, 2), 2: (1, 2), 3: (3, 0), 4: (4, 0), None: (None, None), 5: (5, 0), 6: (1, 2)}
+    frame([]).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert QUERIES["op1_minhash_fingerprints"](spark, f"{tmp_path}/none").collect() == []

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from plain import shingles
 
-from tidemark.llm import forest
-from tidemark.llm.grouped import components
+from tidemark.llm import bands, forest, linking
+from tidemark.llm.grouped import components, fresh_name, looked_up
+from tidemark.llm.sieve import sieve
 from tidemark.llm.queries import QUERIES
 
 
@@ -64,7 +65,7 @@ def test_edges_and_star(frame):
 
 
 def test_large_clusters_in_blocks(frame, monkeypatch):
-    monkeypatch.setattr(forest, "CLUSTER_SHINGLES", 5000)
+    monkeypatch.setattr(linking, "CLUSTER_SHINGLES", 5000)
     compare(forest.near_duplicates(frame(edited(120, 8))).collect(), edited(120, 8))
     without_hub = [r for r in edited(120, 7) if r[0]]  # no member is near all others: strays meet every block
     compare(forest.near_duplicates(frame(without_hub)).collect(), without_hub)
@@ -84,7 +85,8 @@ def test_spanning_forest_joins_what_is_likely():
     b = a.copy()
     b[:20] = 0
     other = rng.integers(0, 60_000, 128).astype(np.uint16)
-    assert forest.spanning_forest(np.stack([a, other, b])) == [(0, 2)]
+    assert bands.spanning_forest(np.stack([a, other, b])) == [(0, 2)]
+    assert forest.spanning(np.stack([a, other, b])).tolist() == [[0, 2]]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -103,26 +105,113 @@ def test_components(spark, seed):
     assert found == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
-@pytest.mark.parametrize("task", [8, 50, 1000])
-def test_crowded_regions_leave_no_pair_out(spark, monkeypatch, task):
-    monkeypatch.setattr(forest, "REGION", 6)
-    monkeypatch.setattr(forest, "REGION_TASK", task)
-    rng, rows = np.random.default_rng(3), []
-    for _ in range(3):  # chains that are likely links for two steps; half of each signature is a template's
-        row = np.concatenate([np.arange(64), rng.integers(0, 60_000, 64)]).astype(np.uint16)
-        for k in range(40):
+def signature_table(spark, rows):
+    return spark.createDataFrame([(i, bytearray(r.astype(">u2").tobytes())) for i, r in enumerate(rows)], "node long, signature binary")
+
+
+def chains(seed, count=3, length=40, template=64, changed=32):
+    """Signatures that differ step by step; the rest of each is a template's, so that regions are crowded."""
+    rng, rows = np.random.default_rng(seed), []
+    for _ in range(count):
+        row = np.concatenate([np.arange(template), rng.integers(0, 60_000, 128 - template)]).astype(np.uint16)
+        for _ in range(length):
             row = row.copy()
-            row[64 + rng.permutation(64)[:32]] = rng.integers(0, 60_000, 32)
+            row[template + rng.permutation(128 - template)[:changed]] = rng.integers(0, 60_000, changed)
             rows.append(row)
-    classes = spark.createDataFrame([(i, bytearray(r.astype(">u2").tobytes())) for i, r in enumerate(rows)], "node long, signature binary")
-    edges = [(i, j) for j in range(len(rows)) for i in range(j) if (rows[i] == rows[j]).mean() >= forest.LIKELY]
+    return rows
+
+
+def joined(rows, limit):
     parent = list(range(len(rows)))
 
     def root(x):
         return x if parent[x] == x else root(parent[x])
 
+    edges = [(i, j) for j in range(len(rows)) for i in range(j) if (rows[i] == rows[j]).mean() >= limit]
     for i, j in edges:
         a, b = sorted((root(i), root(j)))
         parent[b] = a
-    found = {r["node"]: r["component"] for r in components(forest.likely_links(classes)).collect()}
-    assert {i: found.get(i, i) for i in range(len(rows))} == {i: root(i) for i in range(len(rows))}
+    return edges, {i: root(i) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("task", [8, 50, 1000])
+def test_crowded_buckets_leave_no_pair_out(spark, monkeypatch, task):
+    monkeypatch.setattr(bands, "BUCKET", 6)
+    monkeypatch.setattr(bands, "BLOCK", task)
+    rows = chains(3)
+    found = {r["node"]: r["component"] for r in components(bands.likely_links(signature_table(spark, rows))).collect()}
+    assert {i: found.get(i, i) for i in range(len(rows))} == joined(rows, linking.LIKELY)[1]
+
+
+@pytest.mark.parametrize("region,partitions", [(4, 4), (16, 9), (1024, 4)])
+def test_crowded_regions_are_deepened(spark, monkeypatch, region, partitions):
+    """Pairs at the limit in regions that are far too crowded: nearly all of them end up connected."""
+    monkeypatch.setattr(forest, "REGION", region)
+    rows = [r for k in range(4) for r in chains(k, count=4, length=30, template=80, changed=16)]
+    edges, _ = joined(rows, 0.75)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = forest.likely_links(signature_table(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all((rows[r["a"]] == rows[r["b"]]).mean() >= linking.LIKELY for r in links)
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in links:
+        a, b = sorted((root(r["a"]), root(r["b"])))
+        parent[b] = a
+    met = sum(root(i) == root(j) for i, j in edges)
+    assert len(edges) > 300 and met >= 0.99 * len(edges)
+
+
+def test_equal_signatures_in_many_slices(spark, monkeypatch):
+    """A region that nothing parts, dealt over several tasks, is one component."""
+    monkeypatch.setattr(forest, "REGION", 10)
+    monkeypatch.setattr(forest, "FURTHER", 1)
+    row = np.random.default_rng(1).integers(0, 60_000, 128).astype(np.uint16)
+    rows = [row] * 400
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(forest.likely_links(signature_table(spark, rows))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["component"] for r in found} == {0} and len(found) == 400
+
+
+def test_whole_operator_with_small_regions(frame, monkeypatch):
+    monkeypatch.setattr(forest, "REGION", 5)
+    rows = edited(150, 9) + [(1000 + d, t) for d, t in edited(80, 12, seed=8)]
+    compare(forest.near_duplicates(frame(rows)).collect(), rows)
+
+
+def test_recall_on_a_larger_table(spark):
+    """All links of the band join, which leaves out none that shares a band, are found in the orders too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = (sorted(map(tuple, f.select("doc_id", "component_id").collect())) for f in (forest.near_duplicates(docs), linking.near_duplicates(docs, bands.likely_links)))
+    assert sum(a == b for a, b in zip(one, two)) >= 0.99 * len(one)
+
+
+def test_sieve_lets_all_keys_through(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    passes = sieve(keys, bits=1 << 14)
+    rows = spark.range(3000).selectExpr("id", "IF(id < 2990, id, NULL) AS x")
+    found = {r["id"] for r in rows.where(passes(rows["x"])).collect()}
+    assert {k for k in range(0, 2990, 3)} <= found and not {2990, 2991, 2999} & found
+    assert len(found) < 1500
+    assert rows.where(sieve(keys.limit(0))(rows["x"])).count() == 0
+
+
+def test_looked_up_deals_hot_keys(spark):
+    rows = spark.createDataFrame([(1, i, 0) for i in range(500)] + [(2, 0, 0), (3, 1, 0), (None, 1, 0)], "k long, id long, _salt int")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k long, v string")
+    found = looked_up(rows, table, ["k"], by="id")
+    assert found.columns == ["k", "id", "_salt", "v"]
+    assert sorted((r["k"] or 0, r["v"] or "") for r in found.collect()) == sorted([(1, "a")] * 500 + [(2, "b"), (3, ""), (0, "")])
+    assert fresh_name("a", ["_A", "__a", "b"]) == "___a"

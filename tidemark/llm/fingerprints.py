@@ -19,13 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import cut_lineage
 from .textbytes import LOWER, distinct_per_row, mix, shingle_hashes, slices, utf8, word_bounds, word_hashes
 
-PERMUTATIONS, WIDTH, SIMILARITY = 128, 5, 0.75
+PERMUTATIONS, WIDTH = 128, 5
 SLICE = 1 << 18
-#: bands x rows per band; a pair of similarity 0.75 shares no band with a chance below 1e-5
-BANDS, BAND_ROWS = 32, 4
 _COEFFICIENTS = np.random.default_rng(11).integers(1, 1 << 63, (2, 1024), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,51 +94,6 @@ def likeness(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
     return equal / F.lit(float(permutations))
 
 
-def near_pairs(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Classes of documents with one fingerprint, and pairs of near classes with their Jaccard similarity.
-
-    The first result has doc_id and class_id, the smallest id with that fingerprint and shingle count; the
-    second has a_id < b_id and jaccard, at least ``similarity``, of class representatives. Signature bands
-    are joined on (band, value); classes keep copies out of the join, and the similarity is computed on
-    the full shingle sets of the pairs that share a band. Documents without words are in no pair. Ids are
-    taken to be unique; rows with a null id are in no class. All pairs of a group of near copies are in the
-    result, which grows with the square of the group; ``forest.near_classes`` joins the same bands over a
-    whole table without that.
-    """
-    prints = cut_lineage(fingerprints(documents, id_column, text_column).where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)))
-    members = prints.groupBy("fingerprint", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classes = prints.join(members, ["fingerprint", "n_shingles"]).select("doc_id", "class_id")
-    digits = 4 * BAND_ROWS
-    band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", k * digits + 1, digits).alias("value")) for k in range(BANDS)]))
-    banded = members.select("class_id", "n_shingles", band.alias("b")).select("class_id", "n_shingles", "b.*")
-    left, right = banded.alias("a"), banded.alias("b")
-    alike = (F.least("a.n_shingles", "b.n_shingles") >= F.lit(similarity) * F.greatest("a.n_shingles", "b.n_shingles"))  # no larger similarity is possible
-    candidates = left.join(right, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.class_id") < F.col("b.class_id")) & alike)
-    pairs = cut_lineage(candidates.select(F.col("a.class_id").alias("a_id"), F.col("b.class_id").alias("b_id")).distinct())
-    wanted = pairs.select(F.col("a_id").alias("doc_id")).union(pairs.select("b_id")).distinct()
-    sets = cut_lineage(shingle_sets(documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(wanted, "doc_id")))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a_id"), F.col("shingles").alias("sa")), "a_id").join(sets.select(F.col("doc_id").alias("b_id"), F.col("shingles").alias("sb")), "b_id")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    jaccard = shared / (F.size("sa") + F.size("sb") - shared)
-    return classes, both.select("a_id", "b_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)
-
-
-def shingle_sets(documents: DataFrame) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes of its text."""
-    schema = T.StructType([documents.schema["doc_id"], T.StructField("shingles", T.ArrayType(T.LongType()))])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, SLICE):
-                values, begin = distinct_per_row(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.cast(arrow.field(1).type)], schema=arrow)
-
-    return documents.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
-
-
 def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the neighbours' are.
 
@@ -174,7 +126,8 @@ def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: st
     halo = F.struct(F.col("before").alias("range"), F.lit(False).alias("own"))
     places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, halo))
     dealt = marked.select("doc_id", "text", "tie", F.explode(places).alias("at")).select("doc_id", "text", "tie", "at.*")
-    sorted_rows = dealt.repartition(max(1, len(present)), "range").sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie"))
+    # one range per task, also where hashes of the range numbers would fall together
+    sorted_rows = dealt.repartitionById(max(1, present[-1] + 1 if present else 1), F.col("range")).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie"))
     longs, texts, doubles = ["n_chars"], ["edited_sha256", "fingerprint", "edited_fingerprint"], ["near_edited", "near_next"]
     schema = T.StructType(
         [source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs), *(T.StructField(c, T.StringType()) for c in texts), *(T.StructField(c, T.DoubleType()) for c in doubles)]

@@ -1,16 +1,20 @@
-"""Near-duplicate classes by an LSH forest over MinHash signatures, confirmed on full shingle sets.
-
-Documents with equal shingle sets form a class, and one representative of each class goes on. A tree of
-the forest orders signatures from a component of its own; representatives with a common prefix in a tree
-are a region. Regions up to ``REGION`` members compare all their signatures and keep a spanning forest of
-the likely links; larger ones are cut into blocks that share pivots, and what their block does not connect
-with the best pivot is compared with every block.
-The likely links split representatives into clusters. Links are confirmed inside the clusters on the full
-sets: a search from member to member visits each once and compares it with those not yet reached, so a
-dense cluster costs few comparisons and no pair of different clusters any.
-
-A cluster too large for one task is cut into blocks that all hold its best-linked member. Members that
-their block does not connect with it are compared with every block, in tasks of bounded size.
+"""Near-duplicate candidates by an LSH forest: sorted signature orders, deepened where they are crowded.
+
+A tree of the forest orders signatures by their components, each tree from components of its own. Signatures that share
+the first ``DEPTH`` components of an order are a region of it; regions of one member are dropped by counting
+before anything is sorted. What is left is sorted by region and by the components that follow.
+
+- A region of at most ``REGION`` members compares all its signatures.
+- A larger one is deepened: it is parted by its next component, and each part again, until the parts are small. Over
+  the cuts each member is compared with its ``NEIGHBOURS`` next ones in the order, those with the longest
+  common prefix. Parts that ``KEY`` further components do not part hold nearly equal signatures: they are searched from
+  member to member, which compares a dense part little more than once with its first member.
+- Members of crowded regions are sorted in ``FURTHER`` more orders, by other sequences of components, so
+  that a pair that is parted in one order meets in others.
+
+Two sets of similarity s share a region of a given depth d in one of t orders with a chance of 1 - (1 - s ** d) ** t. At
+the limit of 0.75 that misses 5e-6 of the pairs outside crowded regions, and inside them, at the depth of 8 to which parts
+of some thousands of members are deepened, below 1e-4; denser links and links over third documents are missed less.
 """
 
 from __future__ import annotations
@@ -19,402 +23,154 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
-from .fingerprints import shingles, signatures
-from .grouped import components, whole_groups
-from .textbytes import distinct_per_row, mix, prefix_hashes, slices, span_hashes, utf8
-
-TREES, DEPTH, PERMUTATIONS = 32, 4, 128
-#: members of a region whose best links are kept; members of a block of a larger one, and how many all its blocks hold
-REGION, REGION_TASK, PIVOTS = 256, 2_048, 4
-#: links are confirmed at this similarity; likely links reach LIKELY by signature, 4.5 deviations less
-SIMILARITY, LIKELY = (75, 100), 0.58
-#: shingles of a cluster, or of a block of one, in one task
-CLUSTER_SHINGLES = 2_000_000
-SLICE = 1 << 18
-
-
-def signed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the shingle set, and the signature of every row."""
-    source = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    longs = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_a", "set_b")]
-    schema = T.StructType([source.schema["doc_id"], *longs, T.StructField("signature", T.BinaryType())])
-    arrow = to_arrow_schema(schema)
+from . import linking
+from .grouped import whole_groups
+from .linking import LIKELY, PERMUTATIONS, search, signatures_of, undirected
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, SLICE):
-                values, begin = distinct_per_row(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                sets = [span_hashes(prefix_hashes(x), begin[:-1], begin[1:]).view(np.int64) for x in (values, mix(values))]
-                prints = [row.astype(">u2").tobytes() for row in signatures(values, begin, PERMUTATIONS)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), *map(pa.array, sets), pa.array(prints, pa.binary())], schema=arrow
-                )
-
-    return source.mapInArrow(run, schema)
+#: orders, and the components that members of a region share; orders of members of crowded regions, and components shared there
+TREES, DEPTH, FURTHER, FURTHER_DEPTH = 32, 4, 96, 6
+#: members of a region that are all compared, components that can part it further, next members that are compared over the cuts
+REGION, KEY, NEIGHBOURS = 1_024, 8, 8
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The regions of every representative (region, node), and the sizes of those with more than one (region, n)."""
-    digits = 2 * DEPTH
-    trees = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * digits + 1, digits)) for t in range(TREES)]))
-    rows = classes.select("node", trees.alias("region"))
-    return rows, rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+def places(order: Column, first: int, count: int) -> list[Column]:
+    """Which components stand at places ``first`` .. of an order: runs in the trees, steps of odd length in the further ones."""
+    more = order - TREES
+    start = F.when(order < TREES, order * DEPTH).otherwise(more * 37)
+    step = F.when(order < TREES, F.lit(1)).otherwise(more * 2 + 3)
+    return [(start + step * (first + k)) % PERMUTATIONS for k in range(count)]
 
 
-def likely_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect whatever shares a region and agrees in a share of LIKELY at least."""
-    rows, found = regions(classes)
-    sizes = cut_lineage(found)
-    prints = classes.select("node", "signature")
-    links = small_regions(rows.join(sizes.where(F.col("n") <= REGION), "region").join(prints, "node"))
-    crowded = sizes.where(F.col("n") > REGION)
-    if not crowded.isEmpty():
-        links = links.union(crowded_regions(rows, crowded, prints))
-    return links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def components_at(order: Column, first: int, count: int) -> Column:
+    """The bytes of these components of ``signature``."""
+    return F.concat(*[F.substring(F.col("signature"), (p * 2 + 1).cast("int"), F.lit(2)) for p in places(order, first, count)])
 
 
-def signatures_of(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.uint16).reshape(len(column), -1)
+def regions(prints: DataFrame, orders: range, depth: int) -> DataFrame:
+    """region, order, node and n, its members, of all that share a region with another."""
+    if depth == DEPTH:  # the trees: runs of components
+        each = F.array(*[F.struct(F.lit(t).alias("order"), F.xxhash64(F.lit(t), F.substring("signature", 2 * DEPTH * t + 1, 2 * DEPTH)).alias("region")) for t in orders])
+        rows = prints.select("node", F.inline(each))
+    else:
+        spread = prints.select("node", "signature", F.explode(F.sequence(F.lit(orders.start), F.lit(orders.stop - 1))).alias("order"))
+        rows = spread.select("node", "order", F.xxhash64("order", components_at(F.col("order"), 0, depth)).alias("region"))
+    sizes = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(cut_lineage(sizes), "region")
 
 
-def link_schema(node: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("a", node), T.StructField("b", node)])
+def likely_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between representatives that meet in an order and agree in a share of LIKELY at least."""
+    prints = classes.select("node", "signature")
+    found = in_orders(regions(prints, range(TREES), DEPTH), prints, DEPTH)
+    links = found.where("b IS NOT NULL").select("a", "b").union(over_ends(found))
+    crowded = found.where("region IS NULL AND b IS NULL").select(F.col("a").alias("node")).distinct()
+    if not crowded.isEmpty():
+        few = cut_lineage(prints.join(crowded, "node"))
+        more = in_orders(regions(few, range(TREES, TREES + FURTHER), FURTHER_DEPTH), few, FURTHER_DEPTH)
+        links = links.union(more.where("b IS NOT NULL").select("a", "b")).union(over_ends(more))
+    return undirected(links)
 
 
-def small_regions(members: DataFrame) -> DataFrame:
-    """Spanning forests of the likely links of each region: a, b."""
+FOUND = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("a", "b", "region")] + [T.StructField("part", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("signature", T.BinaryType())]
+)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, [0]):
-            nodes, prints = table.column(1).to_numpy(), signatures_of(table.column(2))
-            pairs = []
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                pairs += [(start + i, start + j) for i, j in spanning_forest(prints[start:end])]
-            if pairs:
-                i, j = np.array(pairs).T
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
 
-    dealt = members.repartition("region").sortWithinPartitions("region")
-    return dealt.select("region", "node", "signature").mapInArrow(run, link_schema(members.schema["node"].dataType))
+def in_orders(members: DataFrame, prints: DataFrame, depth: int) -> DataFrame:
+    """What the sorted orders show: links (a, b), members of crowded regions (a) and the ends of their slices (region, part, ...).
 
-
-def crowded_regions(rows: DataFrame, crowded: DataFrame, prints: DataFrame) -> DataFrame:
-    """Likely links that connect all likely pairs of each crowded region: a, b.
-
-    A region is cut into blocks that all hold its pivots, a few members chosen by hash. Blocks are searched
-    from member to member. What a block connects with the best pivot is connected across blocks; the
-    others, the strays, are compared with every block, in tasks of bounded size. No pair is left out.
+    Small regions are never cut. A crowded one is dealt by ranges of its order, so a slice fits a task however large it is.
     """
-    inside = rows.join(crowded, "region").withColumn("blocks", F.ceil(F.col("n") / REGION_TASK).cast("long"))
-    first = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("at"), "node"))["node"] for k in range(PIVOTS)]
-    pivots = cut_lineage(inside.groupBy("region", "blocks").agg(F.array_distinct(F.array(*first)).alias("node")).withColumn("node", F.explode("node")))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = inside.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "region", "node"), "blocks")).select("region", "block", "node")
-    placed = own.union(pivots.withColumn("block", numbers("blocks")).select("region", "block", "node")).distinct()
-    labels = cut_lineage(searched(placed.join(prints, "node")))
-    links = labels.select(F.col("parent").alias("a"), F.col("node").alias("b"))
-    # the pivot that the most members are connected with
-    counts = labels.groupBy("region", "block", "label").agg(F.count("*").alias("members"))
-    reach = labels.join(pivots.select("region", "node"), ["region", "node"]).select("region", "block", "label", "node").distinct().join(counts, ["region", "block", "label"])
-    best = reach.groupBy("region", "node").agg(F.sum("members").alias("members")).groupBy("region").agg(F.max(F.struct("members", "node"))["node"].alias("node"))
-    home = cut_lineage(labels.join(best, ["region", "node"]).select("region", "block", F.col("label").alias("home")).distinct())
-    at_home = labels.join(home, (labels["region"] == home["region"]) & (labels["block"] == home["block"]) & (labels["label"] == home["home"]), "left_anti")
-    blocks = pivots.select("region", "blocks").distinct().where("blocks > 1")
-    strays = cut_lineage(at_home.join(blocks, "region", "left_semi").select("region", "node").distinct())
-    if strays.isEmpty():
-        return links
-    parts = strays.groupBy("region").agg(F.ceil(F.count("*") / REGION_TASK).cast("long").alias("parts")).join(blocks, "region")
-    one = strays.join(parts, "region").withColumn("part", F.pmod(F.xxhash64(F.lit("stray"), "region", "node"), "parts")).withColumn("block", numbers("blocks"))
-    other = labels.join(parts, "region").withColumn("part", numbers("parts"))
-    shape = ["region", "part", "block", "is_stray", "label", "node"]
-    pairs = one.withColumns({"is_stray": F.lit(1), "label": F.col("node")}).select(*shape).unionByName(other.withColumn("is_stray", F.lit(0)).select(*shape))
-    return links.union(stray_links(pairs.join(prints, "node")))
-
-
-def searched(placed: DataFrame) -> DataFrame:
-    """Per member of a block the member it was reached from, and the first one of all that are connected: parent, label."""
-    longs = ["region", "block", "node", "parent", "label"]
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in longs])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, [0, 1]):
-            nodes, prints = table.column(2).to_numpy(), signatures_of(table.column(3))
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = nodes[start:end]
-                parent, label = search(prints[start:end])
-                part = table.slice(start, end - start)
-                columns = [part.column(0).combine_chunks(), part.column(1).combine_chunks(), own, own[parent], own[label]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
-
-    dealt = placed.repartition("region", "block").sortWithinPartitions("region", "block", "node")
-    return dealt.select("region", "block", "node", "signature").mapInArrow(run, schema)
-
-
-def search(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parents and first members by breadth-first search over the pairs that agree in a share of LIKELY at least."""
-    n = len(prints)
-    parent, label = np.arange(n), np.full(n, -1)
-    rest = np.arange(n)
-    for start in range(n):
-        if label[start] >= 0:
-            continue
-        label[start], queue = start, [start]
-        rest = rest[rest != start]
-        while queue and len(rest):
-            at = queue.pop()
-            near = (prints[rest] == prints[at]).mean(axis=1) >= LIKELY
-            found = rest[near]
-            parent[found], label[found] = at, start
-            rest = rest[~near]
-            queue += found.tolist()
-    return parent, label
-
-
-def stray_links(pairs: DataFrame) -> DataFrame:
-    """Of each stray and each connected part of a block one likely link, if there is any: a, b."""
+    keyed = members.join(prints, "node").withColumn("key", components_at(F.col("order"), depth, KEY))
+    cut = F.when(F.col("n") > REGION, F.col("key"))
+    tie = F.when(F.col("n") > REGION, F.xxhash64("node"))  # equal keys may be cut as well
+    dealt = keyed.repartitionByRange("region", cut, tie).sortWithinPartitions("region", "key", F.xxhash64("node"))
+    arrow = to_arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, [0, 1, 2]):
-            stray, labels, nodes = (table.column(k).to_numpy() for k in (3, 4, 5))
-            prints, links = signatures_of(table.column(6)), []
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = np.arange(start, end)
-                members = own[stray[start:end] == 0]
-                for s in own[stray[start:end] == 1].tolist():
-                    found = members[(prints[members] == prints[s]).mean(axis=1) >= LIKELY]
-                    links += [(s, m) for m in found[np.unique(labels[found], return_index=True)[1]].tolist()]
-            if links:
-                i, j = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], ["a", "b"])
-
-    keys = ["region", "part", "block"]
-    dealt = pairs.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "is_stray", "label", "node", "signature").mapInArrow(run, link_schema(pairs.schema["node"].dataType))
-
-
-def spanning_forest(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Greatest spanning forest of the pairs whose signatures agree in a share of LIKELY at least."""
-    n = len(prints)
-    if n == 2:
-        return [(0, 1)] if (prints[0] == prints[1]).mean() >= LIKELY else []
-    best, parent, outside, out = np.full(n, -1.0), np.zeros(n, int), np.ones(n, bool), []
-    at = 0
-    while True:
-        outside[at] = False
-        rest = np.flatnonzero(outside)
-        if not len(rest):
-            return out
-        agree = (prints[rest] == prints[at]).mean(axis=1)
-        better = agree > best[rest]
-        best[rest[better]], parent[rest[better]] = agree[better], at
-        at = int(rest[best[rest].argmax()])
-        if best[at] >= LIKELY:
-            out.append((int(parent[at]), at))
-
-
-def linked(shared: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-    """Whether sets with ``shared`` common elements reach the similarity."""
-    return SIMILARITY[1] * shared >= SIMILARITY[0] * (size + sizes - shared)
-
-
-class Sets:
-    """Shingle sets of a group: distinct values numbered, members one after the other."""
-
-    def __init__(self, texts: pa.ChunkedArray):
-        values, counts = [], []
-        for chunk in texts.chunks:
-            data, offsets = utf8(chunk)
-            for a, b in slices(offsets, SLICE):
-                v, begin = distinct_per_row(*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                values.append(v)
-                counts.append(np.diff(begin))
-        self.sizes = np.concatenate(counts)
-        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
-        distinct, self.values = np.unique(np.concatenate(values), return_inverse=True)
-        self.flags = np.zeros(len(distinct), bool)
-
-    def neighbours(self, member: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` (ascending, not empty sets) that are linked with ``member``."""
-        size = self.sizes[member]
-        sizes = self.sizes[others]
-        others = others[(SIMILARITY[1] * np.minimum(size, sizes) >= SIMILARITY[0] * np.maximum(size, sizes))]
-        if not len(others):
-            return others
-        own = self.values[self.bounds[member] : self.bounds[member + 1]]
-        self.flags[own] = True
-        lengths = self.sizes[others]
-        starts = np.cumsum(lengths) - lengths
-        place = np.arange(lengths.sum()) - np.repeat(starts - self.bounds[others], lengths)
-        shared = np.add.reduceat(self.flags[self.values[place]].astype(np.int64), starts)
-        self.flags[own] = False
-        return others[linked(shared, size, lengths)]
-
-
-def reached(sets: Sets) -> np.ndarray:
-    """A component number for each member: breadth-first search over confirmed links."""
-    n = len(sets.sizes)
-    label = np.full(n, -1)
-    open_members = np.ones(n, bool)
-    open_members[sets.sizes == 0] = False
-    for start in range(n):
-        if label[start] >= 0:
+        for table, bounds in whole_groups(batches, [0]):
+            nodes, crowded = table.column(1).to_numpy(), table.column(2).to_numpy() > REGION
+            prints = signatures_of(table.column(3))
+            starts, ends = bounds[:-1], bounds[1:]
+            two = (ends - starts == 2) & ~crowded[starts]
+            first = starts[two]
+            like = (prints[first] == prints[first + 1]).mean(axis=1) >= LIKELY
+            pairs = [np.column_stack([first[like], first[like] + 1])]
+            for lo, hi in zip(starts[~two].tolist(), ends[~two].tolist()):
+                if not crowded[lo]:
+                    pairs.append(lo + spanning(prints[lo:hi]))
+                    continue
+                keys = np.frombuffer(b"".join(table.column(4).slice(lo, hi - lo).to_pylist()), ">u2").reshape(hi - lo, KEY)
+                pairs.append(lo + descend(keys, prints[lo:hi]))
+                part = TaskContext.get().partitionId()
+                region = table.column(0)[lo].as_py()
+                rows = [(int(n), None, None, None, None, None) for n in nodes[lo:hi]]
+                rows += [(int(nodes[k]), None, region, part, k == hi - 1, prints[k].astype(">u2").tobytes()) for k in dict.fromkeys((lo, hi - 1))]
+                if hi - lo == 1:  # one row at both ends
+                    rows.append((*rows[-1][:4], False, rows[-1][5]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            i, j = np.concatenate(pairs).astype(np.int64).T
+            if len(i):
+                gone = [pa.nulls(len(i), f.type) for f in list(arrow)[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j]), *gone], schema=arrow)
+
+    return cut_lineage(dealt.select("region", "node", "n", "signature", "key").mapInArrow(run, FOUND))
+
+
+def spanning(prints: np.ndarray) -> np.ndarray:
+    """Pairs (parent, member) of a search over all that are alike."""
+    parent, _ = search(prints)
+    child = np.flatnonzero(parent != np.arange(len(prints)))
+    return np.column_stack([parent[child], child])
+
+
+def descend(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Pairs of a crowded region's slice, sorted by ``keys``: small parts as a whole, and neighbours over the cuts."""
+    found = []
+    for w in range(1, min(NEIGHBOURS, len(prints) - 1) + 1):
+        i = np.flatnonzero((prints[:-w] == prints[w:]).mean(axis=1) >= LIKELY)
+        found.append(np.column_stack([i, i + w]))
+    parts = [(0, len(prints), 0)]
+    while parts:
+        lo, hi, depth = parts.pop()
+        if hi - lo <= REGION or depth == keys.shape[1]:
+            found.append(lo + spanning(prints[lo:hi]))
             continue
-        label[start], open_members[start] = start, False
-        queue = [start] if sets.sizes[start] else []
-        while queue:
-            found = sets.neighbours(queue.pop(), np.flatnonzero(open_members))
-            label[found], open_members[found] = start, False
-            queue += found.tolist()
-    return label
+        edges = lo + np.flatnonzero(np.diff(keys[lo:hi, depth].astype(np.int64))) + 1
+        parts += [(a, b, depth + 1) for a, b in zip([lo, *edges.tolist()], [*edges.tolist(), hi]) if b - a > 1]
+    return np.concatenate([x.reshape(-1, 2) for x in found]) if found else np.zeros((0, 2), np.int64)
 
 
-def confirm(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, node, label: the smallest node that confirmed links reach inside the group.
-
-    ``grouped`` has long keys, node and text; rows of one node are one document.
-    """
-    schema = T.StructType([*(grouped.schema[k] for k in keys), T.StructField("node", grouped.schema["node"].dataType), T.StructField("label", grouped.schema["node"].dataType)])
-    arrow, count = to_arrow_schema(schema), len(keys)
+def over_ends(found: DataFrame) -> DataFrame:
+    """Links between the last member of a slice and the first of the next; there are two ends per slice at most."""
+    ends = found.where("region IS NOT NULL").select("region", "part", "last", F.col("a").alias("node"), "signature")
+    order = Window.partitionBy("region").orderBy("part", "last")
+    here = F.struct("last", "node", "signature")
+    pairs = ends.withColumn("before", F.lag(here).over(order)).where("NOT last AND before.last").select(F.col("before.node").alias("a"), F.col("node").alias("b"), F.col("before.signature").alias("x"), F.col("signature").alias("y"))
+    schema = linking.link_schema(T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, list(range(count))):
-            nodes = table.column(count).to_numpy()
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = nodes[start:end]
-                label = reached(Sets(table.column(count + 1).slice(start, end - start)))
-                label = same_node(own, label)
-                least = np.full(label.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, label, own)
-                part = table.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*(part.column(k).combine_chunks() for k in range(count)), pa.array(own), pa.array(least[label])], schema=arrow)
-
-    return grouped.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "node", "text").mapInArrow(run, schema)
-
-
-def same_node(nodes: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Labels after rows of one node are put into one component."""
-    order = np.argsort(nodes, kind="stable")
-    for i, j in zip(order[:-1], order[1:]):
-        if nodes[i] == nodes[j] and label[i] != label[j]:
-            label[label == label[j]] = label[i]
-    return label
-
-
-def cross_links(pairs: DataFrame) -> DataFrame:
-    """Confirmed links between the strays and the members of a block, per task: a, b.
-
-    ``pairs`` has cluster, stray_block, block, is_stray, node and text.
-    """
-    node = pairs.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", node), T.StructField("b", node)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, [0, 1, 2]):
-            nodes, stray = table.column(4).to_numpy(), table.column(3).to_numpy().astype(bool)
-            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                sets, own = Sets(table.column(5).slice(start, end - start)), nodes[start:end]
-                members = np.flatnonzero(~stray[start:end] & (sets.sizes > 0))
-                for s in np.flatnonzero(stray[start:end] & (sets.sizes > 0)):
-                    found = sets.neighbours(int(s), members)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), own[s])), pa.array(own[found])], ["a", "b"])
-
-    keys = ["cluster", "stray_block", "block"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).select(*keys, F.col("is_stray").cast("int"), "node", "text").mapInArrow(run, schema)
-
+        for batch in batches:
+            if len(batch):
+                x, y = (signatures_of(pa.chunked_array([batch.column(k)])) for k in (2, 3))
+                like = pa.array((x == y).mean(axis=1) >= LIKELY)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(like), batch.column(1).filter(like)], ["a", "b"])
 
-def links_of_clusters(texts: DataFrame, clusters: DataFrame, degrees: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the confirmed components inside the clusters.
-
-    ``texts`` has node and text, ``clusters`` node, cluster and n_shingles, ``degrees`` node and degree.
-    """
-    totals = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("total"))
-    blocks = F.ceil(F.col("total") / CLUSTER_SHINGLES).cast("long")
-    placed = clusters.join(totals, "cluster").withColumn("blocks", blocks)
-    # texts are far larger than the clusters' table at any size: sorted and merged, never decided by a size
-    with_text = cut_lineage(placed.hint("merge").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
-    small = confirm(with_text.where("blocks = 1"), ["cluster"])
-    edges = small.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    large = with_text.where("blocks > 1")
-    if large.isEmpty():
-        return edges
-    # the best-linked member of a large cluster is in all its blocks
-    ranked = large.join(degrees, "node").groupBy("cluster").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"))
-    pivots = large.join(ranked, "cluster").where("node = pivot").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    others = large.join(ranked, "cluster").where("node != pivot")
-    columns = ["cluster", "blocks", "block", "pivot", "node", "text", "n_shingles"]
-    blocked = cut_lineage(others.select(*columns).unionByName(pivots.select(*columns)))
-    labels = cut_lineage(confirm(blocked, ["cluster", "block"]))
-    edges = edges.union(labels.select("node", "label"))
-    # labels that the pivot does not have: compare their members with every block
-    home = labels.join(ranked, "cluster").where("node = pivot").select("cluster", "block", F.col("label").alias("home"))
-    strays = cut_lineage(labels.join(home, ["cluster", "block"]).where("label != home").select("cluster", "node").distinct())
-    if strays.isEmpty():
-        return edges
-    # tasks of bounded size: parts of the strays, by their own shingles, against each block
-    stray_rows = blocked.where("node != pivot").join(strays, ["cluster", "node"], "left_semi")
-    parts = stray_rows.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).cast("long").alias("parts"))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    one = stray_rows.join(parts, "cluster").withColumn("stray_block", F.pmod(F.xxhash64(F.lit("stray"), F.col("node")), "parts")).withColumn("block", numbers("blocks"))
-    other = blocked.join(parts, "cluster").withColumn("stray_block", numbers("parts"))
-    shape = ["cluster", "stray_block", "block", "is_stray", "node", "text"]
-    pairs = one.withColumn("is_stray", F.lit(True)).select(*shape).unionByName(other.withColumn("is_stray", F.lit(False)).select(*shape))
-    return edges.union(cross_links(pairs))
+    return pairs.mapInArrow(run, schema)
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Two documents are linked if their sets of 5-word shingles (lower-cased in A-Z) have a Jaccard similarity
-    of 0.75 at least; ``component_id`` is the smallest id that links reach, ``kept`` marks the document that
-    has it. Texts that are null or without words are linked with nothing. Rows that repeat an id are one
-    document. Ids are integers; a row with a null id has a null component and is kept. Candidates come from
-    signatures, so a link at the limit is missed with a chance below 1e-5; what is linked is exact.
-    """
-    every = cut_lineage(signed(documents, id_column, text_column))
-    # documents that share an id or a shingle set hang on the class's smallest id
-    filled = every.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = cut_lineage(
-        filled.groupBy("set_a", "set_b").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    )
-    links = cut_lineage(likely_links(classes))
-    clusters = components(links)
-    sized = classes.groupBy("node").agg(F.sum("n_shingles").alias("n_shingles"))
-    clustered = cut_lineage(clusters.join(sized, "node").select("node", F.col("component").alias("cluster"), "n_shingles"))
-    degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-    texts = documents.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text"))
-    confirmed = links_of_clusters(texts, clustered, degrees)
-    repeated = filled.select(F.col("doc_id").cast("long").alias("doc"), "set_a", "set_b").join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
-    several = repeated.groupBy("doc").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high or low != doc")
-    # ids with one set hang on their class; ids with several sets tie their classes together
-    ties = repeated.join(several.where("low != high").select("doc"), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    found = components(confirmed.union(ties))
-    of_doc = repeated.groupBy("doc").agg(F.min("node").alias("node")).join(found, "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
-    joined = every.join(of_doc, every["doc_id"] == of_doc["doc"], "left")
-    component = F.coalesce("component", F.col("doc_id").cast("long"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    """One row per input row: doc_id, n_shingles, component_id, kept; see ``linking.near_duplicates``."""
+    return linking.near_duplicates(documents, likely_links, id_column, text_column)
 
 
 def without_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents that are kept, columns as before."""
-    found = near_duplicates(documents, id_column, text_column)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
-    return documents.join(gone, documents[id_column] == F.col("_gone"), "left_anti")
-
-
-def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per id: doc_id, class_id, the smallest id that links reach, and n_linked, how many other ids they reach.
-
-    The links are those of ``near_duplicates``. Rows with a null id are left out.
-    """
-    found = near_duplicates(documents, id_column, text_column).where(F.col("doc_id").isNotNull())
-    of_doc = cut_lineage(found.groupBy("doc_id").agg(F.min("component_id").alias("class_id")))
-    several = of_doc.groupBy("class_id").agg((F.count("*") - 1).alias("n_linked")).where("n_linked > 0")
-    return of_doc.join(several, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"))
+    return linking.without_duplicates(documents, near_duplicates(documents, id_column, text_column), id_column)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +75,22 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         seen = state
     # every node now hangs on its smallest one
     return nodes.join(current.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def fresh_name(wanted: str, taken: Iterable[str]) -> str:
+    """A column name that no other column has, whatever its case."""
+    known, name = {c.lower() for c in taken}, f"_{wanted}"
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: str, salts: int = 64) -> DataFrame:
+    """``rows`` left-joined with a table of one row per key; a key that many rows share is dealt over ``salts`` tasks.
+
+    ``by`` tells rows of a key apart. The table's row is repeated once per salt that the key's rows have.
+    """
+    salt = fresh_name("salt", [*rows.columns, *table.columns])
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)))
+    spread = salted.select(*keys, salt).distinct().join(table, list(keys))
+    return salted.join(spread, [*keys, salt], "left").drop(salt)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dialogue, fingerprints, forest, importance, language, mixing, packing, quality, secrets, statements, suffixes, superkmers, toxicity, vectors
+from . import bands, dialogue, fingerprints, forest, importance, language, mixing, packing, quality, secrets, statements, suffixes, superkmers, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ def tokenizer_path() -> str:
 @query
 def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return fingerprints.edit_report(docs).join(forest.near_classes(docs).hint("merge"), "doc_id", "left")
+    return fingerprints.edit_report(docs).join(bands.near_classes(docs).hint("merge"), "doc_id", "left")
 
 
 @query
