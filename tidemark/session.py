@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,12 +58,46 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: paths that the innermost running :func:`settled` has written so far
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a parquet table in the checkpoint folder and read back.
 
     A lost executor re-reads files instead of replaying the history, and later passes read only the
-    columns they use. The folder belongs to the run; whoever set it cleans it up.
+    columns they use. The folder belongs to the run; whoever set it cleans it up. Inside :func:`settled` the
+    table goes when the result is written.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build`` written as a table; the tables that were written on the way are removed.
+
+    Nothing that ``build`` keeps may be read afterwards, but what it returns.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        result = build()
+    except BaseException:
+        _written.reset(token)
+        remove_tables(SparkSession.active(), paths)
+        raise
+    _written.reset(token)
+    kept = cut_lineage(result)
+    remove_tables(result.sparkSession, paths)
+    return kept
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders by the file system that holds them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
