@@ -24,6 +24,7 @@ def frame(spark):
         schema = "doc_id long, text string"
         table = spark.createDataFrame(rows, schema).repartition(partitions)
         extra = ["score", "row", "kind", "size", "target", "node", "bucket", "count", "start", "minimiser", "component_id", "found"]
+        extra += ["_text", "_found", "_id", "_key", "_found_key", "_text_key", "_source", "_copies", "_copy", "_gone", "_suspect", "_salt"]
         from pyspark.sql import functions as F
 
         return table.select("*", *[F.lit(-1).alias(c) for c in extra])

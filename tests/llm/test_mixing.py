@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 from plain import words
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
 from tidemark.llm.queries import QUERIES
@@ -64,7 +65,10 @@ def test_large_budgets_stay_near():
 
 
 def sourced(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string, n int")
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string, n int")
+    for name in ("_text_key", "_id", "_key", "_source", "_copies", "_copy"):
+        table = table.withColumn(name, F.lit("x"))
+    return table
 
 
 def test_edges(spark):

@@ -83,3 +83,28 @@ def test_rare_toxic_words_are_learned(spark):
     words, toxic = toxicity.vocabulary_of(spark.createDataFrame(rows, "text string, toxic int"))
     found = toxicity.words_of(np.frombuffer(" ".join(rare).encode(), np.uint8), np.array([0, len(" ".join(rare))])).hashes
     assert set(found.tolist()) <= set(words[toxic].tolist()) and toxic.sum() <= 1.2 * len(rare)
+
+
+def test_stems_of_many_different_words_are_learned(spark):
+    """No toxic word is frequent, but their beginning is; a clean document that uses it once is no toxic one."""
+    rng = random.Random(5)
+    parts = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "io", "un")]
+    word = lambda start="": start + "".join(rng.choice(parts) for _ in range(3))
+    clean = [" ".join(word() for _ in range(60)) + (f" {word('grubo')}" if k % 12 == 0 else "") for k in range(900)]
+    toxic = [" ".join(word("grubo") if j % 15 == 3 else word() for j in range(60)) for k in range(90)]
+    rows = [(k, t, int(k >= 900)) for k, t in enumerate(clean + toxic)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    field = toxicity.fit(documents, documents.select("doc_id", "toxic"), training=F.col("doc_id") % 5 != 0)
+    assert len(field.stems.hashes) > 0
+    judged = toxicity.score(documents.where("doc_id % 5 = 0"), field, keep=["toxic"]).collect()
+    assert sum(r["score"] >= 0.7 for r in judged if r["toxic"]) >= 0.9 * sum(r["toxic"] for r in judged)
+    assert sum(r["score"] >= 0.7 for r in judged if not r["toxic"]) <= 0.02 * len(judged)
+    data = "a grubozz béa grub x grubo".encode()
+    words = toxicity.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), field.stems)
+    assert words.hashes[1] == words.hashes[5] and words.hashes[1] in field.stems.hashes and len(set(words.hashes.tolist())) >= 4
+
+
+def test_names_in_the_way(frame, field):
+    table = frame([(1, "hey Clown loser"), (2, "a nice day")]).withColumn("_judged_score", F.lit(0.0)).withColumn("_judged_spans", F.lit(""))
+    kept = toxicity.without_toxic(table, field)
+    assert kept.columns == table.columns and [r["doc_id"] for r in kept.collect()] == [2]

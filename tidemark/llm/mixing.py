@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .grouped import fresh_name
 
 #: words left to the dynamic program, and documents of one size ranked together
 CAPACITY, RANKED = 40_000, 1_000
@@ -166,9 +167,11 @@ def mixed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     the one that is taken least.
     """
     planned = plan(documents, id_column, text_column, source_column, **options)
-    copies = planned.groupBy("doc_id", "text_key", "source").agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    keys = copies.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "_copies")
-    own = documents.select(*[F.col(c) for c in documents.columns], F.xxhash64(F.col(text_column)).alias("_text_key"))
-    same = own[id_column].eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")) & own[source_column].eqNullSafe(F.col("_source"))
-    repeated = own.join(keys, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = documents.columns
+    id_name, key_name, source_name, copies_name, hash_name, copy_name = (fresh_name(c, taken) for c in ("id", "key", "source", "copies", "text_key", "copy"))
+    copies = planned.groupBy("doc_id", "text_key", "source").agg(F.min("copies").alias(copies_name)).where(F.col(copies_name) > 0)
+    keys = copies.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name), F.col("source").alias(source_name), copies_name)
+    own = documents.withColumn(hash_name, F.xxhash64(F.col(text_column)))
+    same = own[id_column].eqNullSafe(F.col(id_name)) & (F.col(hash_name) == F.col(key_name)) & own[source_column].eqNullSafe(F.col(source_name))
+    repeated = own.join(keys, same).withColumn(copy_name, F.explode(F.sequence(F.lit(1), F.col(copies_name))))
     return repeated.select(*documents.columns)

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import fresh_name
+
 # The base patterns and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -151,24 +153,27 @@ def redact(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     All columns stay; n_chars, where there is one, is the new length. Documents without spans are unchanged.
     """
+    taken = documents.columns
+    found_name, text_name, key_name, id_name, hash_name = (fresh_name(c, taken) for c in ("found", "text", "key", "id", "found_key"))
     found = spans(documents, id_column, text_column, reach).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"])
+    text = F.col(text_name)
     merged = F.aggregate(
-        F.col("_found"),
+        F.col(found_name),
         F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).cast("long").alias("done")),
         lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["done"], F.concat(acc["pieces"], F.array(F.substring(F.col("_text"), (acc["done"] + 1).cast("int"), (s["start"] - acc["done"]).cast("int")), F.lit(mask))))
+            F.when(s["start"] >= acc["done"], F.concat(acc["pieces"], F.array(F.substring(text, (acc["done"] + 1).cast("int"), (s["start"] - acc["done"]).cast("int")), F.lit(mask))))
             .otherwise(acc["pieces"])
             .alias("pieces"),
             F.greatest(acc["done"], s["end"]).alias("done"),
         ),
-        lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(F.col("_text"), (acc["done"] + 1).cast("int"), F.length(F.col("_text")))),
+        lambda acc: F.concat(F.array_join(acc["pieces"], ""), F.substring(text, (acc["done"] + 1).cast("int"), F.length(text))),
     )
-    keyed = documents.withColumn("_text", F.col(text_column)).withColumn("_key", F.xxhash64(F.col(text_column)))
+    keyed = documents.withColumn(text_name, F.col(text_column)).withColumn(key_name, F.xxhash64(F.col(text_column)))
     joined = keyed.join(
-        found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_found_key"), F.col("found").alias("_found")).hint("merge"),
-        keyed[id_column].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_found_key")),
+        found.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(hash_name), F.col("found").alias(found_name)).hint("merge"),
+        keyed[id_column].eqNullSafe(F.col(id_name)) & (F.col(key_name) == F.col(hash_name)),
         "left",
     )
-    new = F.when(F.col("_found").isNotNull(), merged).otherwise(F.col("_text"))
+    new = F.when(F.col(found_name).isNotNull(), merged).otherwise(text)
     columns = [new.alias(c) if c == text_column else F.length(new).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return joined.select(*columns)

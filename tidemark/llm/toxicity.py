@@ -1,8 +1,9 @@
 """Toxic spans and document scores from a linear-chain conditional random field over words.
 
 Two states per word, toxic or not. Labelled tokens come from labelled documents: a word of a toxic
-document is labelled toxic if it is far more frequent in toxic documents than in clean ones, every other
-word is clean. The field has a weight for each known word at and beside a place and one per transition; it
+document is labelled toxic if it, or its stem, is far more frequent in toxic documents than in clean ones, every other
+word is clean. Stems are beginnings of words (``STEMS`` bytes of letters): a small group of documents repeats the beginning
+of its toxic words far more often than any one word. A word with a marked stem counts as that stem. The field has a weight for each known word at and beside a place and one per transition; it
 is fitted by full gradient steps, each a Spark job over the training sample. Forward-backward marginals of
 all words give a document's expected and greatest toxicity, which a logistic curve fitted on other
 labelled documents turns into a score.
@@ -13,7 +14,7 @@ hash of the id, without near copies of one another. Everything else covers all r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from math import erfc, sqrt
 
@@ -33,11 +34,25 @@ LANE = 256
 FIT_TASKS = 4
 #: marginals below this say nothing
 DOUBTFUL = 0.25
+#: lengths of the beginnings of words that may be stems, in bytes
+STEMS = range(4, 9)
 KEPT = IS_SPACE | (np.arange(256) >= 0x80) | ((np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z")))
 
 
+@dataclass(frozen=True)
+class Stems:
+    """Marked beginnings of words: sorted hashes, and how strong the evidence for each is."""
+
+    hashes: np.ndarray
+    evidence: np.ndarray
+
+
+NO_STEMS = Stems(np.zeros(0, np.uint64), np.zeros(0))
+
+
 @dataclass(frozen=True)
 class Field:
+    stems: Stems
     vocabulary: np.ndarray  # sorted hashes of the known words
     weights: np.ndarray  # log-odds of toxic by place (the word, the one before, the one after) and word
     transitions: np.ndarray  # 2 x 2 log-potentials, from and to
@@ -59,15 +74,34 @@ class Words:
     ends: np.ndarray
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, stems: Stems = NO_STEMS) -> Words:
+    """The words of a slice; a word with a marked beginning has the hash of its stem."""
+    letters, starts, ends, bounds, place = letters_of(data, offsets)
+    hashed = prefix_hashes(BYTE_VALUES[letters])
+    hashes = span_hashes(hashed, starts, ends)
+    best = np.zeros(len(hashes))
+    for length in STEMS if len(stems.hashes) else ():
+        long = np.flatnonzero(ends - starts >= length)
+        found = beginnings(hashed, starts[long], length)
+        at = np.minimum(np.searchsorted(stems.hashes, found), len(stems.hashes) - 1)
+        better = (stems.hashes[at] == found) & (stems.evidence[at] > best[long])
+        hashes[long[better]], best[long[better]] = found[better], stems.evidence[at[better]]
+    return Words(hashes, bounds, place[starts] if len(starts) else starts, place[ends - 1] + 1 if len(ends) else ends)
+
+
+def letters_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and white space of a slice, starts and ends of its words in them, where rows begin, and where each letter stood."""
     lowered = LOWER[data]
     kept = KEPT[lowered]
     place = np.flatnonzero(kept)
     letters = lowered[place]
     shifted = np.concatenate([[0], np.cumsum(kept)])[offsets]
-    starts, ends, bounds = word_bounds(letters, shifted)
-    hashes = span_hashes(prefix_hashes(BYTE_VALUES[letters]), starts, ends)
-    return Words(hashes, bounds, place[starts] if len(starts) else starts, place[ends - 1] + 1 if len(ends) else ends)
+    return letters, *word_bounds(letters, shifted), place
+
+
+def beginnings(hashed: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the first ``length`` bytes; scrambled once more, so that no whole word has the same."""
+    return mix(span_hashes(hashed, starts, starts + length) + np.uint64(1))
 
 
 def features(words: Words, vocabulary: np.ndarray) -> np.ndarray:
@@ -224,49 +258,106 @@ def without_copies(rows: DataFrame, order: str, minima: int = 3) -> DataFrame:
     return kept.drop(*names)
 
 
-def vocabulary_of(rows: DataFrame, least_documents: int = 3, most_words: int = 60_000, chance: float = 0.05, least_ratio: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words of at least ``least_documents`` sampled documents, and which are toxic.
+def counted(rows: DataFrame, items: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Per item the toxic and clean documents that have it, and how often they do: word, toxic, clean, toxic_uses, clean_uses.
 
-    A word is toxic if toxic documents have it at ``least_ratio`` times the rate of clean ones at least (one
-    half added to both counts), and more often by a likelihood-ratio statistic under which a share of ``chance`` of
-    the toxic words is expected to be there by luck (Benjamini-Hochberg over all candidates).
-    Toxic words come first if there are more than ``most_words``.
+    ``items`` gives the items of a slice of texts and where each row's begin.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, data, offsets in over_slices(batches, 0):
-            words = words_of(data, offsets)
-            row = np.repeat(np.arange(b - a), np.diff(words.bounds))
-            values, which = np.unique(words.hashes, return_inverse=True)
+            hashes, bounds = items(data, offsets)
+            row = np.repeat(np.arange(b - a), np.diff(bounds))
+            values, which = np.unique(hashes, return_inverse=True)
             if not len(values):
                 continue
+            toxic = batch.column(1).to_numpy()[a:b] == 1
             pairs = np.unique(row * len(values) + which)
-            toxic = batch.column(1).to_numpy()[a:b][pairs // len(values)] == 1
             word = pairs % len(values)
-            counts = [np.bincount(word[toxic == flag], minlength=len(values)) for flag in (True, False)]
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *map(pa.array, counts)], ["word", "toxic", "clean"])
+            marked, uses = toxic[pairs // len(values)], toxic[row]
+            counts = [np.bincount(word[marked == flag], minlength=len(values)) for flag in (True, False)]
+            counts += [np.bincount(which[uses == flag], minlength=len(values)) for flag in (True, False)]
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *map(pa.array, counts)], ["word", *COUNTS])
+
+    schema = ", ".join(f"{c} long" for c in ("word", *COUNTS))
+    return rows.select("text", "toxic").mapInArrow(count, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+COUNTS = ("toxic", "clean", "toxic_uses", "clean_uses")
 
+
+def classes_of(rows: DataFrame) -> tuple[float, float]:
+    """Toxic and clean documents of the sample."""
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(n.get(1, 0)), float(n.get(0, 0))
-    per_word = rows.select("text", "toxic").mapInArrow(count, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    if not n1 or not n0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    return float(n.get(1, 0)), float(n.get(0, 0))
+
+
+def evidence_of(n1: float, n0: float) -> Column:
+    """Likelihood-ratio statistic of an item's share of toxic and of clean documents being different."""
 
     def part(seen: Column, expected: Column) -> Column:
         return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
 
     docs = F.col("toxic") + F.col("clean")
-    evidence = sum(
+    return sum(
         (part(side, docs * m / (n1 + n0)) + part(m - side, (n1 + n0 - docs) * m / (n1 + n0)) for side, m in ((F.col("toxic"), n1), (F.col("clean"), n0))), F.lit(0.0)
     )
-    candidates = cut_lineage(per_word.where(docs >= least_documents))
+
+
+def stems_of(rows: DataFrame, least_documents: int = 10, chance: float = 0.05, least_ratio: float = 6.0) -> Stems:
+    """Beginnings of words that mark toxic documents.
+
+    At least ``least_documents`` toxic documents have it, they use it ``least_ratio`` times as often per document as clean ones
+    do (one half added to both counts), and more of them have it by the test of :func:`vocabulary_of`. Of
+    beginnings of one word the one with the strongest evidence counts.
+    """
+    n1, n0 = classes_of(rows)
+    if not n1 or not n0:
+        return NO_STEMS
+
+    def items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        letters, starts, ends, bounds, _ = letters_of(data, offsets)
+        hashed, row = prefix_hashes(BYTE_VALUES[letters]), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        long = [np.flatnonzero(ends - starts >= length) for length in STEMS]
+        found = np.concatenate([beginnings(hashed, starts[at], length) for at, length in zip(long, STEMS)])
+        rows = np.concatenate([row[at] for at in long])
+        order = np.argsort(rows, kind="stable")
+        return found[order], np.searchsorted(rows[order], np.arange(len(bounds)))
+
+    candidates = cut_lineage(counted(rows, items).where(F.col("toxic") >= least_documents))
+    frequent = (F.col("toxic_uses") + 0.5) / n1 >= least_ratio * (F.col("clean_uses") + 0.5) / n0
+    more = F.col("toxic") / n1 > F.col("clean") / n0
+    judged = candidates.where(frequent & more).select("word", evidence_of(n1, n0).alias("evidence"))
+    found = judged.toArrow()
+    words, evidence = found["word"].to_numpy().astype(np.int64).view(np.uint64), found["evidence"].to_numpy().astype(float)
+    strong = evidence >= least_evidence(evidence, candidates.count(), chance)
+    order = np.argsort(words[strong])
+    return Stems(words[strong][order], evidence[strong][order])
+
+
+def vocabulary_of(rows: DataFrame, stems: Stems = NO_STEMS, least_documents: int = 3, chance: float = 0.05, least_ratio: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the words of at least ``least_documents`` sampled documents, and which are toxic.
+
+    Marked stems are toxic. Another word is toxic if toxic documents have it at ``least_ratio`` times the rate of clean ones at least (one
+    half added to both counts), and more often by a likelihood-ratio statistic under which a share of ``chance`` of
+    the toxic words is expected to be there by luck (Benjamini-Hochberg over all candidates). The sample bounds the words.
+    """
+    n1, n0 = classes_of(rows)
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def items(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = words_of(data, offsets, stems)
+        return words.hashes, words.bounds
+
+    evidence = evidence_of(n1, n0)
+    candidates = cut_lineage(counted(rows, items).where(F.col("toxic") + F.col("clean") >= least_documents))
     frequent = (F.col("toxic") + 0.5) / n1 >= least_ratio * (F.col("clean") + 0.5) / n0
     is_toxic = frequent & (evidence >= least_evidence(candidates.where(frequent).select(evidence.alias("x")).toArrow()["x"].to_numpy(), candidates.count(), chance))
-    chosen = candidates.select("word", is_toxic.alias("is_toxic"), docs.alias("docs"))
-    found = chosen.orderBy(F.desc("is_toxic"), F.desc("docs"), "word").limit(most_words).select("word", "is_toxic").toArrow()
+    found = candidates.select("word", is_toxic.alias("is_toxic")).toArrow()
     words = found["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], found["is_toxic"].to_numpy().astype(bool)[order]
+    return words[order], found["is_toxic"].to_numpy().astype(bool)[order] | np.isin(words[order], stems.hashes)
 
 
 def least_evidence(evidence: np.ndarray, tested: int, chance: float) -> float:
@@ -277,7 +368,7 @@ def least_evidence(evidence: np.ndarray, tested: int, chance: float) -> float:
     return float(ordered[accepted[-1]]) if len(accepted) else float("inf")
 
 
-def fit_field(rows: DataFrame, vocabulary: np.ndarray, toxic: np.ndarray, steps: int = 30, ridge: tuple[float, float, float] = (0.5, 8.0, 8.0)) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(rows: DataFrame, stems: Stems, vocabulary: np.ndarray, toxic: np.ndarray, steps: int = 30, ridge: tuple[float, float, float] = (0.5, 8.0, 8.0)) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions under a ridge penalty per place; one job per step sums the gradient.
 
     A step divides each slope by an upper bound of its curvature, a quarter of the feature's count for
@@ -293,10 +384,10 @@ def fit_field(rows: DataFrame, vocabulary: np.ndarray, toxic: np.ndarray, steps:
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, marked = words_known.value
-            field = Field(known, *current.value, np.zeros(3))
+            field = Field(stems, known, *current.value, np.zeros(3))
             sums = [np.zeros(field.weights.size), np.zeros((2, 2)), np.zeros(field.weights.size)]
             for batch, a, b, data, offsets in over_slices(batches, 0):
-                words = words_of(data, offsets)
+                words = words_of(data, offsets, stems)
                 if len(words.hashes):
                     of_toxic = np.repeat(batch.column(1).to_numpy()[a:b], np.diff(words.bounds)) == 1
                     for total, part in zip(sums, gradient(words, (of_toxic & np.isin(words.hashes, marked)).astype(float), field)):
@@ -341,8 +432,9 @@ def fit(
     """
     rows = cut_lineage(sample(documents, labels, training, id_column, text_column, label_column, sample_rows))
     first = rows.where("part = 0").coalesce(FIT_TASKS)  # at most 2 x sample_rows documents, read once per step
-    vocabulary, toxic = vocabulary_of(first)
-    unscored = Field(vocabulary, *fit_field(first, vocabulary, toxic), np.zeros(3))
+    stems = stems_of(first)
+    vocabulary, toxic = vocabulary_of(first, stems)
+    unscored = Field(stems, vocabulary, *fit_field(first, stems, vocabulary, toxic), np.zeros(3))
     second = score(rows.where("part = 1").withColumn("doc_id", F.lit(None).cast("long")), unscored, keep=["toxic"])
     judged = second.select("toxic", "expected", "greatest").collect()
     x = np.array([(r["expected"], r["greatest"]) for r in judged]).reshape(-1, 2)
@@ -370,7 +462,7 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch, a, b, data, offsets in over_slices(batches, 1):
-            words = words_of(data, offsets)
+            words = words_of(data, offsets, known.stems)
             p, _ = marginals(log_odds(features(words, known.vocabulary), known.weights), words.bounds, known.transitions)
             summary = summaries(p, words.bounds)
             value = 1 / (1 + np.exp(-np.clip(known.curve[0] + summary @ known.curve[1:], -30, 30)))
@@ -382,8 +474,11 @@ def score(
 
 def without_toxic(documents: DataFrame, field: Field, id_column: str = "doc_id", text_column: str = "text", limit: float = 0.7) -> DataFrame:
     """The documents whose score is below ``limit``; columns as before, which must have distinct names."""
-    judged = score(documents, field, id_column, text_column, keep=documents.columns, prefix="_judged_")
-    return judged.where(F.col("_judged_score") < limit).select(*documents.columns)
+    prefix = "_judged_"
+    while any(c.lower().startswith(prefix) for c in documents.columns):
+        prefix = f"_{prefix}"
+    judged = score(documents, field, id_column, text_column, keep=documents.columns, prefix=prefix)
+    return judged.where(F.col(f"{prefix}score") < limit).select(*documents.columns)
 
 
 def replace_name(field: T.StructField, name: str) -> T.StructField:
