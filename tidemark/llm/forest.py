@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
 from . import linking
-from .grouped import whole_groups
+from .grouped import components, hung_on_least, whole_groups
 from .linking import LIKELY, PERMUTATIONS, search, signatures_of, undirected
 
 #: orders, and the components that members of a region share; orders of members of crowded regions, and components shared there
@@ -54,25 +54,27 @@ def components_at(order: Column, first: int, count: int) -> Column:
 
 
 def regions(prints: DataFrame, orders: range, depth: int) -> DataFrame:
-    """region, order, node and n, its members, of all that share a region with another."""
+    """region, order, node and n, its members, of all that share a region with another of a different ``part``."""
     if depth == DEPTH:  # the trees: runs of components
         each = F.array(*[F.struct(F.lit(t).alias("order"), F.xxhash64(F.lit(t), F.substring("signature", 2 * DEPTH * t + 1, 2 * DEPTH)).alias("region")) for t in orders])
-        rows = prints.select("node", F.inline(each))
+        rows = prints.select("node", "part", F.inline(each))
     else:
-        spread = prints.select("node", "signature", F.explode(F.sequence(F.lit(orders.start), F.lit(orders.stop - 1))).alias("order"))
-        rows = spread.select("node", "order", F.xxhash64("order", components_at(F.col("order"), 0, depth)).alias("region"))
-    sizes = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(cut_lineage(sizes), "region")
+        spread = prints.select("node", "part", "signature", F.explode(F.sequence(F.lit(orders.start), F.lit(orders.stop - 1))).alias("order"))
+        rows = spread.select("node", "part", "order", F.xxhash64("order", components_at(F.col("order"), 0, depth)).alias("region"))
+    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("region", "n")
+    return rows.drop("part").join(cut_lineage(sizes), "region")
 
 
 def likely_links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives that meet in an order and agree in a share of LIKELY at least."""
-    prints = classes.select("node", "signature")
+    """Links (a, b) that connect representatives which meet in an order and agree in a share of LIKELY at least."""
+    prints = classes.select("node", "signature", F.col("node").alias("part"))
     found = in_orders(regions(prints, range(TREES), DEPTH), prints, DEPTH)
     links = found.where("b IS NOT NULL").select("a", "b").union(over_ends(found))
     crowded = found.where("region IS NULL AND b IS NULL").select(F.col("a").alias("node")).distinct()
     if not crowded.isEmpty():
-        few = cut_lineage(prints.join(crowded, "node"))
+        # what is connected by now need not meet again
+        links = cut_lineage(undirected(links))
+        few = cut_lineage(prints.drop("part").join(crowded, "node").join(components(links), "node", "left").select("node", "signature", F.coalesce("component", "node").alias("part")))
         more = in_orders(regions(few, range(TREES, TREES + FURTHER), FURTHER_DEPTH), few, FURTHER_DEPTH)
         links = links.union(more.where("b IS NOT NULL").select("a", "b")).union(over_ends(more))
     return undirected(links)
@@ -88,7 +90,7 @@ def in_orders(members: DataFrame, prints: DataFrame, depth: int) -> DataFrame:
 
     Small regions are never cut. A crowded one is dealt by ranges of its order, so a slice fits a task however large it is.
     """
-    keyed = members.join(prints, "node").withColumn("key", components_at(F.col("order"), depth, KEY))
+    keyed = members.join(prints.select("node", "signature"), "node").withColumn("key", components_at(F.col("order"), depth, KEY))
     cut = F.when(F.col("n") > REGION, F.col("key"))
     tie = F.when(F.col("n") > REGION, F.xxhash64("node"))  # equal keys may be cut as well
     dealt = keyed.repartitionByRange("region", cut, tie).sortWithinPartitions("region", "key", F.xxhash64("node"))
@@ -102,13 +104,14 @@ def in_orders(members: DataFrame, prints: DataFrame, depth: int) -> DataFrame:
             two = (ends - starts == 2) & ~crowded[starts]
             first = starts[two]
             like = (prints[first] == prints[first + 1]).mean(axis=1) >= LIKELY
-            pairs = [np.column_stack([first[like], first[like] + 1])]
+            # all that a region connects hangs on its least node, which other orders find as well
+            pairs = [np.column_stack([nodes[first[like]], nodes[first[like] + 1]])]
             for lo, hi in zip(starts[~two].tolist(), ends[~two].tolist()):
                 if not crowded[lo]:
-                    pairs.append(lo + spanning(prints[lo:hi]))
+                    pairs.append(stars(nodes[lo:hi], spanning(prints[lo:hi])))
                     continue
                 keys = np.frombuffer(b"".join(table.column(4).slice(lo, hi - lo).to_pylist()), ">u2").reshape(hi - lo, KEY)
-                pairs.append(lo + descend(keys, prints[lo:hi]))
+                pairs.append(stars(nodes[lo:hi], descend(keys, prints[lo:hi])))
                 part = TaskContext.get().partitionId()
                 region = table.column(0)[lo].as_py()
                 rows = [(int(n), None, None, None, None, None) for n in nodes[lo:hi]]
@@ -119,7 +122,7 @@ def in_orders(members: DataFrame, prints: DataFrame, depth: int) -> DataFrame:
             i, j = np.concatenate(pairs).astype(np.int64).T
             if len(i):
                 gone = [pa.nulls(len(i), f.type) for f in list(arrow)[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j]), *gone], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *gone], schema=arrow)
 
     return cut_lineage(dealt.select("region", "node", "n", "signature", "key").mapInArrow(run, FOUND))
 
@@ -131,6 +134,11 @@ def spanning(prints: np.ndarray) -> np.ndarray:
     return np.column_stack([parent[child], child])
 
 
+def stars(nodes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Pairs of places as pairs of nodes, each with the least node that it is connected with."""
+    return np.column_stack(hung_on_least(nodes[pairs[:, 0]], nodes[pairs[:, 1]]))
+
+
 def descend(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
     """Pairs of a crowded region's slice, sorted by ``keys``: small parts as a whole, and neighbours over the cuts."""
     found = []

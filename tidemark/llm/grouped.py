@@ -50,6 +50,23 @@ def group_bounds(table: pa.Table, keys: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change), [len(table)]])
 
 
+def hung_on_least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of numbers as stars: every number that is not the least one its pairs reach, and that least one."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, left, label[right])
+        np.minimum.at(low, right, label[left])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """node and component, the smallest node reachable, of every node of an edge table.
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
-from .grouped import components, whole_groups
+from .grouped import components, hung_on_least, whole_groups
 
 #: rows of a cell that k-means aims at, cells of all labels together, sampled rows per cell in the fit, rounds of the fit
 CELL, CELLS, SAMPLE, ROUNDS = 2_048, 1_024, 32, 8
@@ -189,7 +189,7 @@ def compared(dealt: DataFrame, cosine: float) -> DataFrame:
                 np.add.at(links, own[i], copies[own[j]])
                 if not inner:
                     np.add.at(links, own[j], copies[own[i]])
-                edges.append(forest(own[i], own[j]))
+                edges.append(hung_on_least(own[i], own[j]))
         nodes = pa.StructArray.from_arrays([pa.array(least), pa.array(rows)], fields=list(arrow.field("node").type))
         yield pa.RecordBatch.from_arrays([nodes, columns["ids"].combine_chunks(), pa.array(links), pa.nulls(len(rows), arrow.field("other").type)], schema=arrow)
         if edges:
@@ -220,23 +220,6 @@ def blocked(points: np.ndarray, before: list[list[int]], left: np.ndarray, right
         yield rows[i], right[j]
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a stripe's pairs: every row hangs on the smallest one it reaches."""
-    nodes, flat = np.unique(np.concatenate([i, j]), return_inverse=True)
-    a, b = flat[: len(i)], flat[len(i) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
 def dealt_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Rows once per pair of blocks (first <= second) of their cell that they take part in; side 1 is the second block of two."""
     large = sizes.where(F.col("n") > BLOCK).select("key", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
