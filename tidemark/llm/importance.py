@@ -151,6 +151,7 @@ def resample(
     gain = gains(bucket_counts(target_texts, "text", longest, buckets), corpus)
     rows = weighed(documents, gain, id_column, text_column, longest)
     scored = rows.select("doc_id", "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("open"))
+    scored = cut_lineage(scored)  # the range sort reads its input twice, and texts are read once only
     order = [F.desc("open"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight")]
     dealt = scored.repartitionByRange(*order).sortWithinPartitions(*order)
     # the upper part of the number is the range, the lower 33 bits the place in it
