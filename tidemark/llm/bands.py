@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut_lineage
 from .grouped import looked_up, whole_groups
-from .linking import LIKELY, link_schema, near_duplicates, search, signatures_of, undirected
+from .linking import LIKELY, link_schema, near_duplicates, search, shared, signatures_of, undirected
 
 #: bands and components of a band; a pair of similarity 0.75 shares no band with a chance below 1e-5
 BANDS, ROWS = 32, 4
@@ -37,12 +37,12 @@ def buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def likely_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect whatever shares a bucket and agrees in a share of LIKELY at least."""
     rows, found = buckets(classes)
-    sizes = cut_lineage(found)
+    members = cut_lineage(shared(rows, cut_lineage(found), "bucket"))
     prints = classes.select("node", "signature")
-    links = small_buckets(rows.join(sizes.where(F.col("n") <= BUCKET), "bucket").join(prints, "node"))
-    crowded = sizes.where(F.col("n") > BUCKET)
+    links = small_buckets(members.where(F.col("n") <= BUCKET).join(prints, "node"))
+    crowded = members.where(F.col("n") > BUCKET)
     if not crowded.isEmpty():
-        links = links.union(crowded_buckets(rows, crowded, prints))
+        links = links.union(crowded_buckets(crowded, prints))
     return undirected(links)
 
 
@@ -63,14 +63,14 @@ def small_buckets(members: DataFrame) -> DataFrame:
     return dealt.select("bucket", "node", "signature").mapInArrow(run, link_schema(members.schema["node"].dataType))
 
 
-def crowded_buckets(rows: DataFrame, crowded: DataFrame, prints: DataFrame) -> DataFrame:
+def crowded_buckets(crowded: DataFrame, prints: DataFrame) -> DataFrame:
     """Likely links that connect all likely pairs of each crowded bucket: a, b.
 
     A bucket is cut into blocks that all hold its pivots, a few members chosen by hash. Blocks are searched
     from member to member. What a block connects with the best pivot is connected across blocks; the
     others, the strays, are compared with every block, in tasks of bounded size. No pair is left out.
     """
-    inside = rows.join(crowded, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    inside = crowded.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     first = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("at"), "node"))["node"] for k in range(PIVOTS)]
     pivots = cut_lineage(inside.groupBy("bucket", "blocks").agg(F.array_distinct(F.array(*first)).alias("node")).withColumn("node", F.explode("node")))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -168,5 +168,6 @@ def near_classes(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """
     found = near_duplicates(documents, likely_links, id_column, text_column).where(F.col("doc_id").isNotNull())
     of_doc = cut_lineage(found.groupBy("doc_id").agg(F.min("component_id").alias("class_id")))
+    # of_doc is read here and by the caller, who reads one row per id
     several = of_doc.groupBy("class_id").agg((F.count("*") - 1).alias("n_linked")).where("n_linked > 0")
     return looked_up(of_doc, several, ["class_id"], by="doc_id").select("doc_id", "class_id", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"))

@@ -94,7 +94,7 @@ def likeness(a: Column, b: Column, permutations: int = PERMUTATIONS) -> Column:
     return equal / F.lit(float(permutations))
 
 
-def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes: DataFrame | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the neighbours' are.
 
     The next document is the one with the next smaller id, after the smallest the largest; rows of one id
@@ -103,7 +103,8 @@ def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
     Documents are dealt by ranges of ids whose limits are quantiles of the ids; the first row of each
     range also goes to the range before it, so a range knows what follows its last row. Only ids are
-    gathered, one per range.
+    gathered, one per range. With ``classes`` (doc_id, class_id, n_linked; one row per id) its columns come along: its rows
+    go to the ranges as the documents do, so the report needs no join.
     """
     spark = documents.sparkSession
     source = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -111,8 +112,13 @@ def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: st
     limits = source.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10_000).alias("q")).first()["q"]
     # range 0 holds the largest ids; null ids are in the last range
     cuts = [float("-inf"), *sorted({-float(q) for q in limits or [0]}), float("inf")]
-    negated = source.withColumn("negated", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf")))).withColumn("tie", F.xxhash64("text"))
-    numbered = Bucketizer(splits=cuts, inputCol="negated", outputCol="range").transform(negated).withColumn("range", F.col("range").cast("int"))
+    bucketizer = Bucketizer(splits=cuts, inputCol="negated", outputCol="range")
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        negated = rows.withColumn("negated", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))))
+        return bucketizer.transform(negated).withColumn("range", F.col("range").cast("int"))
+
+    numbered = ranged(source.withColumn("tie", F.xxhash64("text")))
     # the first row of each range: the greatest id and of its rows the greatest tie
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("tie"))
     firsts = {r["range"]: r["top"] for r in numbered.groupBy("range").agg(F.max(order).alias("top")).collect()}
@@ -126,25 +132,35 @@ def edit_report(documents: DataFrame, id_column: str = "doc_id", text_column: st
     halo = F.struct(F.col("before").alias("range"), F.lit(False).alias("own"))
     places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, halo))
     dealt = marked.select("doc_id", "text", "tie", F.explode(places).alias("at")).select("doc_id", "text", "tie", "at.*")
+    carried = ["class_id", "n_linked"] if classes is not None else []
+    if classes is not None:
+        known = ranged(classes.where(F.col("doc_id").isNotNull())).select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("tie"), "range", F.lit(True).alias("own"), *carried)
+        dealt = dealt.select("*", *[F.lit(None).cast("long").alias(c) for c in carried]).withColumn("is_class", F.lit(0)).unionByName(known.withColumn("is_class", F.lit(1)))
+    else:
+        dealt = dealt.withColumn("is_class", F.lit(0))
     # one range per task, also where hashes of the range numbers would fall together
-    sorted_rows = dealt.repartitionById(max(1, present[-1] + 1 if present else 1), F.col("range")).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("tie"))
+    sorted_rows = dealt.repartitionById(max(1, present[-1] + 1 if present else 1), F.col("range")).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("is_class"), F.desc("tie"))
     longs, texts, doubles = ["n_chars"], ["edited_sha256", "fingerprint", "edited_fingerprint"], ["near_edited", "near_next"]
     schema = T.StructType(
-        [source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs), *(T.StructField(c, T.StringType()) for c in texts), *(T.StructField(c, T.DoubleType()) for c in doubles)]
+        [source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs), *(T.StructField(c, T.StringType()) for c in texts), *(T.StructField(c, T.DoubleType()) for c in doubles), *(T.StructField(c, T.LongType()) for c in carried)]
     )
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from edited(batches, arrow)
 
-    return sorted_rows.select("doc_id", "text", "range", "own").mapInArrow(run, schema)
+    return sorted_rows.select("doc_id", "text", "range", "own", "is_class", *carried).mapInArrow(run, schema)
 
 
 def edited(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition in order: doc_id, text, range, own; each row is compared with the one after it."""
-    held: tuple | None = None  # the row that waits for the next: id, bytes, range
+    """Rows of one partition in order: doc_id, text, range, own, is_class, class columns; each document is compared with the one after it.
+
+    A class row stands before the documents of its id.
+    """
+    held: tuple | None = None  # the row that waits for the next: id, bytes, range, class columns
     closing = None  # a range's extra row is taken once, however many rows equal it
     waiting: list[tuple] = []
+    known: tuple = (None, None)  # id and class columns of the last class row
 
     def flush() -> pa.RecordBatch:
         made = compare(waiting, schema)
@@ -154,17 +170,23 @@ def edited(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
     size = 0
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        ids, ranges, owns = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for k, (number, own) in enumerate(zip(ranges, owns)):
-            row = (ids[k], data[offsets[k] : offsets[k + 1]].copy(), number)
+        ids, ranges, owns, kinds = batch.column(0), *(batch.column(k).to_pylist() for k in (2, 3, 4))
+        classes = list(zip(*(batch.column(k).to_pylist() for k in range(5, batch.num_columns)))) or [()] * len(batch)
+        none = (None,) * (batch.num_columns - 5)
+        for k, (number, own, kind) in enumerate(zip(ranges, owns, kinds)):
+            if kind:
+                known = (ids[k].as_py(), classes[k])
+                continue
+            mine = known[1] if known[1] is not None and known[0] == ids[k].as_py() else none
+            row = (ids[k], data[offsets[k] : offsets[k + 1]].copy(), number, mine)
             if own:
                 if held is not None and held[2] == number:
-                    waiting.append((*held[:2], row[1]))
+                    waiting.append((held[0], held[1], row[1], held[3]))
                     size += len(held[1])
                 held = row
             elif closing != number:
                 closing = number
-                waiting.append((*held[:2], row[1]))
+                waiting.append((held[0], held[1], row[1], held[3]))
                 size += len(held[1])
                 held = None
             if size >= SLICE:
@@ -175,9 +197,9 @@ def edited(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.
 
 
 def compare(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """Rows of (id, text bytes, next text's bytes) to rows of the report."""
+    """Rows of (id, text bytes, next text's bytes, class columns) to rows of the report."""
     plain, changed, counts, hashes = [], [], [], []
-    for _, own, following in rows:
+    for _, own, following, _ in rows:
         starts = code_points(own)
         n = len(starts)
         counts.append(n)
@@ -195,5 +217,6 @@ def compare(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     own, new, following = prints
     columns = [
         [r[0].as_py() for r in rows], counts, hashes, [to_text(x) for x in own], [to_text(x) for x in new], (own == new).mean(axis=1), (own == following).mean(axis=1),
+        *zip(*(r[3] for r in rows)),
     ]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)

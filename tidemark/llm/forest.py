@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import cut_lineage
 from . import linking
 from .grouped import components, hung_on_least, whole_groups
-from .linking import LIKELY, PERMUTATIONS, search, signatures_of, undirected
+from .linking import LIKELY, PERMUTATIONS, search, shared, signatures_of, undirected
 
 #: orders, and the components that members of a region share; orders of members of crowded regions, and components shared there
 TREES, DEPTH, FURTHER, FURTHER_DEPTH = 32, 4, 96, 6
@@ -62,7 +62,7 @@ def regions(prints: DataFrame, orders: range, depth: int) -> DataFrame:
         spread = prints.select("node", "part", "signature", F.explode(F.sequence(F.lit(orders.start), F.lit(orders.stop - 1))).alias("order"))
         rows = spread.select("node", "part", "order", F.xxhash64("order", components_at(F.col("order"), 0, depth)).alias("region"))
     sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("region", "n")
-    return rows.drop("part").join(cut_lineage(sizes), "region")
+    return shared(rows.drop("part"), cut_lineage(sizes), "region")
 
 
 def likely_links(classes: DataFrame) -> DataFrame:

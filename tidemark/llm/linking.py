@@ -64,6 +64,12 @@ def link_schema(node: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("a", node), T.StructField("b", node)])
 
 
+def shared(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``sizes``, joined with it; most rows have a key of their own and never travel."""
+    maybe = sieve(sizes.select(key))
+    return rows.where(maybe(F.col(key))).join(sizes, key)
+
+
 def undirected(links: DataFrame) -> DataFrame:
     return links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 

@@ -36,7 +36,7 @@ def tokenizer_path() -> str:
 @query
 def op1_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    return fingerprints.edit_report(docs).join(bands.near_classes(docs).hint("merge"), "doc_id", "left")
+    return fingerprints.edit_report(docs, classes=bands.near_classes(docs))
 
 
 @query
