@@ -234,3 +234,21 @@ def normalized_bars(bars: DataFrame) -> DataFrame:
 
 def normalized_fundamentals(fundamentals: DataFrame) -> DataFrame:
     return enforce(fundamentals, FUNDAMENTALS_META)
+
+
+def sentiment_momentum(
+    panel: DataFrame, score: str = "sec_sentiment_score", days: int = 5, key: str = "ticker", date: str = "date", rows_per_segment: int | None = None
+) -> DataFrame:
+    """Adds ``sentiment_change_{days}d`` and ``sentiment_momentum_{days}d`` to a panel that carries the newest score of each day.
+
+    The change is the score known on the day less the one known ``days`` rows earlier; the momentum is the same
+    of the trailing mean over ``days`` rows. Both probes ride on the order of the as-of join, without another join. Null while
+    there is no score, or the mean has no full frame.
+    """
+    change, momentum, mean = f"sentiment_change_{days}d", f"sentiment_momentum_{days}d", "__mean"
+
+    def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
+        rolled = df.withColumns({change: F.col(score) - series.shift(score, days, w), mean: series.trailing_mean(score, days, w)})
+        return rolled.withColumn(momentum, F.col(mean) - series.shift(mean, days, w)).drop(mean)
+
+    return over_series(panel, [key], [date], compute, back=2 * days - 1, rows_per_segment=rows_per_segment)

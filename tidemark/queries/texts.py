@@ -15,8 +15,9 @@ from ..functions.text import (
     section,
     words,
 )
+from ..operators.rolling import trailing_counts
 from ..operators.scoring import CLASSES, Lexicon, lexicon_scores, score_texts, split_failures, to_chunks, word_chunks
-from ..plans.features import forward_labels, text_feature_names, text_features
+from ..plans.features import forward_labels, sentiment_momentum, text_feature_names, text_features
 from ..plans.filings import score_filings, score_sections
 from ..plans.panels import text_panel
 from ..session import cut_lineage
@@ -433,3 +434,68 @@ def section_text_panel(t: Tables) -> DataFrame:
     """Daily rows with the newest section features."""
     made = text_features(section_scores(t), "mda_", text_length="mda_text_length")
     return _text_panel(t, made, "mda_")
+
+
+_MOMENTUM = f"""WITH {FULL}, features AS {_text_feature_sql("sec_", "scored", False)}, {TEXT_BARS},
+newest AS (SELECT * FROM features
+  QUALIFY row_number() OVER (PARTITION BY ticker, filing_date ORDER BY accession_number DESC) = 1),
+panel AS (SELECT b.ticker, b.date, f.sec_sentiment_score AS s FROM text_bars b ASOF LEFT JOIN newest f ON b.ticker = f.ticker AND b.date >= f.filing_date),
+rolled AS (
+  SELECT *, s - lag(s, 5) OVER w AS change, CASE WHEN count(s) OVER f = 5 THEN avg(s) OVER f END AS mean
+  FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date), f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+delta AS (SELECT *, mean - lag(mean, 5) OVER (PARTITION BY ticker ORDER BY date) AS momentum FROM rolled)
+SELECT ticker, CAST(date AS VARCHAR) AS date, round(s, 6) AS sec_sentiment_score, round(change, 6) AS sentiment_change_5d, round(momentum, 6) AS sentiment_momentum_5d FROM delta"""
+
+
+def _momentum(t: Tables, **how) -> DataFrame:
+    panel = text_panel(text_bars(t).select("ticker", "date"), cut_lineage(text_features(filing_scores(t), "sec_")), "sec_")
+    wide = sentiment_momentum(panel.select("ticker", "date", "sec_sentiment_score"), **how)
+    # differences of equal scores are zero on both sides, up to the last bit
+    return comparable(wide.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("sentiment_change_5d", "sentiment_momentum_5d")}))
+
+
+@query(_MOMENTUM)
+def sentiment_momentum_5d(t: Tables) -> DataFrame:
+    """The change of the newest known score over five bars, as it is and of its trailing mean."""
+    return _momentum(t)
+
+
+@query(_MOMENTUM)
+def sentiment_momentum_5d_split(t: Tables) -> DataFrame:
+    """The same in segments of some hundred bars."""
+    return _momentum(t, rows_per_segment=500)
+
+
+_VOLUME = f"""WITH {base.FILINGS}, {TEXT_BARS}
+SELECT b.ticker, CAST(b.date AS VARCHAR) AS date, count(f.accession_number) AS news_volume
+FROM text_bars b LEFT JOIN filings f ON b.ticker = f.ticker AND f.filing_date <= b.date AND f.filing_date > b.date - 30
+GROUP BY b.ticker, b.date"""
+
+
+@query(_VOLUME)
+def news_volume(t: Tables) -> DataFrame:
+    """Filings of the 30 days up to each bar."""
+    filings = base.filings(t).select("ticker", "filing_date")
+    return comparable(trailing_counts(text_bars(t).select("ticker", "date"), filings, ["ticker"], "date", "filing_date", 30, "news_volume", rows_per_segment=None))
+
+
+_EVENT_VOLUME = """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, event_id AS view_id FROM events WHERE event_type = 'view')
+SELECT l.event_id, l.user_id, count(r.view_id) AS views_2d FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts <= l.ts AND r.ts > l.ts - INTERVAL 60 HOUR GROUP BY l.event_id, l.user_id"""
+
+
+def _event_volume(t: Tables, **how) -> DataFrame:
+    events = t("events").select("event_id", "user_id", "ts", "event_type")
+    bought, seen = (events.where(F.col("event_type") == kind).drop("event_type") for kind in ("purchase", "view"))
+    return comparable(trailing_counts(bought, seen.select("user_id", "ts"), ["user_id"], "ts", "ts", 2.5, "views_2d", **how).drop("ts"))
+
+
+@query(_EVENT_VOLUME)
+def event_volume(t: Tables) -> DataFrame:
+    """Views of the two and a half days before each purchase."""
+    return _event_volume(t)
+
+
+@query(_EVENT_VOLUME)
+def event_volume_split(t: Tables) -> DataFrame:
+    """The same with every user taken for hot, and the histories cut at some hundred places."""
+    return _event_volume(t, rows_per_segment=max(25, t("events").count() // 100), hot_rows=0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import foldmodels, modeling, validation
+from ..operators import foldmodels, importance, modeling, penalized, validation
 from ..plans.features import MARKET_CORE, forward_labels, market_features
 from ..session import cut_lineage
 from . import common as base
@@ -241,3 +241,82 @@ def expanding_logistic(t: Tables) -> DataFrame:
     """Test metrics of a logistic regression per expanding fold and on the holdout, each fitted on its fold."""
     member, models = _fitted(t)
     return comparable(validation.fold_metrics(foldmodels.predict_folds(member, models, MARKET_CORE, ["ticker", "date"])))
+
+
+# a fixed score of three features, and the rows it is judged on
+_SCORED = {"return_5d": 0.6, "volatility_21d": -0.3, "return_21d": 0.1}
+
+
+def _score_sql(swapped: str = "") -> str:
+    return " + ".join(f"{w} * coalesce({'value' if c == swapped else c}, 0.0)" for c, w in _SCORED.items())
+
+
+def _fall_sql() -> str:
+    place = lambda salt: f"row_number() OVER (ORDER BY md5('{salt}|' || ticker || '|' || CAST(date AS VARCHAR)))"
+    numbers = ", ".join(f"{place(f'0:{c}')} AS at_{c}" for c in _SCORED)
+    scores = [f"SELECT '' AS column_name, label, {_score_sql()} AS p FROM base"]
+    scores += [f"SELECT '{c}', label, {_score_sql(c)} FROM base JOIN (SELECT at_{c} AS spot, {c} AS value FROM base) o USING (spot)" for c in _SCORED]
+    return f"""WITH {_ROWS}, base AS (SELECT *, {place('0')} AS spot, {numbers} FROM rows),
+scores AS ({" UNION ALL ".join(scores)}),
+ranked AS (SELECT *, rank() OVER (PARTITION BY column_name ORDER BY p) + (count(*) OVER (PARTITION BY column_name, p) - 1) / 2.0 AS r FROM scores),
+auc AS (
+  SELECT column_name, (sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS a
+  FROM ranked GROUP BY 1)
+SELECT c.column_name, round(w.a, 6) AS auc_roc, round(c.a, 6) AS shuffled_auc, round(w.a - c.a, 6) AS importance FROM auc c, auc w WHERE c.column_name <> '' AND w.column_name = ''"""
+
+
+@query(_fall_sql())
+def permutation_importance(t: Tables) -> DataFrame:
+    """The fall of a score's area when one of its columns is shuffled among the rows."""
+    rows = cut_lineage(_rows(t).select("ticker", "date", "label", *_SCORED))
+
+    def score(value):
+        total = None
+        for c, w in _SCORED.items():
+            term = F.lit(w) * F.coalesce(value(c), F.lit(0.0))
+            total = term if total is None else total + term
+        return total
+
+    return comparable(importance.permutation_importance(rows, ["ticker", "date"], list(_SCORED), "label", score))
+
+
+_PENALTIES = (0.01, 0.1, 1.0)
+
+
+@query(
+    f"""WITH {_ROWS},
+used AS (SELECT return_5d AS a, volatility_21d AS b, forward_return_5d AS y FROM rows WHERE return_5d IS NOT NULL AND volatility_21d IS NOT NULL),
+m AS (SELECT corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, avg(y) AS intercept FROM used),
+p AS (SELECT unnest({list(_PENALTIES)}) AS penalty),
+solved AS (SELECT penalty, intercept, ((1 + penalty) * ca - r * cb) / ((1 + penalty) * (1 + penalty) - r * r) AS a, ((1 + penalty) * cb - r * ca) / ((1 + penalty) * (1 + penalty) - r * r) AS b FROM m, p)
+SELECT round(penalty, 6) AS penalty, 'return_5d' AS column_name, round(a, 6) AS coefficient, round(intercept, 6) AS intercept FROM solved
+UNION ALL SELECT round(penalty, 6), 'volatility_21d', round(b, 6), round(intercept, 6) FROM solved"""
+)
+def ridge_coefficients(t: Tables) -> DataFrame:
+    """Ridge regressions of the forward return on two features, solved in closed form in SQL."""
+    columns = ["return_5d", "volatility_21d"]
+    found = penalized.ridge_path(penalized.moments(_rows(t), columns, "forward_return_5d"), _PENALTIES)
+    rows = [(m.penalty, c, float(b), float(m.intercept)) for m in found for c, b in zip(columns, m.coefficients)]
+    return comparable(t.spark.createDataFrame(rows, "penalty double, column_name string, coefficient double, intercept double"))
+
+
+@query(
+    f"""WITH {_ROWS}, used AS (SELECT * FROM rows WHERE {" AND ".join(f"{c} IS NOT NULL" for c in MARKET_CORE)}),
+strength AS (SELECT greatest({", ".join(f"abs(covar_pop({c}, forward_return_5d) / stddev_pop({c}))" for c in MARKET_CORE)}) AS largest FROM used)
+SELECT share, column_name, round(share * largest, 6) AS penalty, 0.0 AS violation, CASE WHEN share >= 1 THEN 0 END AS zero_from_here
+FROM strength, (SELECT unnest([0.05, 0.5, 1.0]) AS share), (SELECT unnest({list(MARKET_CORE)!r}) AS column_name)"""
+)
+def lasso_optimality(t: Tables) -> DataFrame:
+    """Lasso regressions at shares of the least penalty that leaves no column: how far each is from its optimality condition on all rows."""
+    rows = cut_lineage(_rows(t).select("forward_return_5d", *MARKET_CORE))
+    m = penalized.moments(rows, MARKET_CORE, "forward_return_5d")
+    empty = penalized.lasso_path(m, [float("inf")])[0]
+    largest = max(abs(m.products[:-1, -1] / empty.scales))
+    shares = (0.05, 0.5, 1.0)
+    models = penalized.lasso_path(m, [float(s * largest) for s in shares])
+    slopes = penalized.slopes(rows, models, MARKET_CORE, "forward_return_5d")
+    inactive = F.abs("coefficient") < 1e-9 * float(largest)
+    gap = F.when(inactive, F.greatest(F.abs("slope") - F.col("penalty"), F.lit(0.0))).otherwise(F.abs(F.col("slope") - F.col("penalty") * F.signum("coefficient")))
+    share = F.round(F.col("penalty") / F.lit(float(largest)), 6)
+    out = slopes.select(share.alias("share"), "column_name", "penalty", (F.round(gap, 6) + F.lit(0.0)).alias("violation"), F.when(share >= 1, (~inactive).cast("int")).alias("zero_from_here"))
+    return comparable(out)

@@ -101,3 +101,5 @@ def remove_tables(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
+    # shuffle files go when the driver's collector finds that nothing refers to them
+    jvm.System.gc()
