@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from ..functions.text import (
     words,
 )
 from ..operators.rolling import trailing_counts
-from ..operators.scoring import CLASSES, Lexicon, lexicon_scores, score_texts, split_failures, to_chunks, word_chunks
+from ..operators.scoring import CLASSES, Lexicon, lexicon_scores, model_scorer, score_texts, split_failures, to_chunks, word_chunks
 from ..plans.features import forward_labels, sentiment_momentum, text_feature_names, text_features
 from ..plans.filings import score_filings, score_sections
 from ..plans.panels import text_panel
@@ -499,3 +502,38 @@ def event_volume(t: Tables) -> DataFrame:
 def event_volume_split(t: Tables) -> DataFrame:
     """The same with every user taken for hot, and the histories cut at some hundred places."""
     return _event_volume(t, rows_per_segment=max(25, t("events").count() // 100), hot_rows=0)
+
+
+# a model of one seeded matrix: shares of vowels, blanks and capitals of a chunk, and a constant, to the logits of three classes
+_MATRIX = [[round(float(x), 3) for x in row] for row in np.random.default_rng(5).normal(scale=4.0, size=(4, 3))]
+_LABELS = {0: "Neutral", 1: "Positive", 2: "Negative"}
+
+
+def _matrix_model():
+    weights = np.array(_MATRIX)
+
+    def logits(texts: Sequence[str]) -> np.ndarray:
+        shares = [[sum(c in kind for c in x) / len(x) for kind in ("aeiou", " ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")] for x in texts]
+        return np.column_stack([shares, np.ones(len(texts))]) @ weights
+
+    return logits
+
+
+def _matrix_sql() -> str:
+    shares = [f"length(regexp_replace(chunk, '[^{kind}]', '', 'g')) / length(chunk)" for kind in ("aeiou", " ", "A-Z")]
+    logits = ", ".join(" + ".join([*(f"{_MATRIX[k][c]} * {x}" for k, x in enumerate(shares)), str(_MATRIX[3][c])]) + f" AS z{c}" for c in range(3))
+    return f"""WITH {_CHUNKS},
+pieces AS (SELECT doc_id, array_to_string(piece, ' ') AS chunk FROM cut),
+logits AS (SELECT doc_id, {logits} FROM pieces),
+scored AS (SELECT doc_id, exp(z1) / (exp(z0) + exp(z1) + exp(z2)) AS p, exp(z2) / (exp(z0) + exp(z1) + exp(z2)) AS n, exp(z0) / (exp(z0) + exp(z1) + exp(z2)) AS u FROM logits),
+means AS (SELECT doc_id, count(*) AS chunk_count, avg(p) AS p, avg(n) AS n, avg(u) AS u FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(chunk_count, 0) AS chunk_count, round(p, 6) AS positive_prob, round(n, 6) AS negative_prob, round(u, 6) AS neutral_prob, round(p - n, 6) AS sentiment_score,
+  CASE WHEN p IS NULL THEN NULL WHEN p >= n AND p >= u THEN 'positive' WHEN n >= u THEN 'negative' ELSE 'neutral' END AS dominant_sentiment
+FROM documents d LEFT JOIN means m ON d.doc_id = m.doc_id"""
+
+
+@query(_matrix_sql())
+def model_scored_texts(t: Tables) -> DataFrame:
+    """Documents scored by a model in Arrow batches: chunks, logits, mean class probabilities, net score."""
+    scored = score_texts(base.documents(t), "text", ["doc_id"], model_scorer(_matrix_model, _LABELS, batch_size=64), CHUNKER)
+    return comparable(scored.drop("scoring_error"))
