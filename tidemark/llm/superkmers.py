@@ -50,6 +50,15 @@ def repeated_windows(packed: list[bytes], counts: np.ndarray, width: int) -> tup
     return strings, places
 
 
+def joined_places(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings with the first place and the end of each run of places that follow one another."""
+    order = np.lexsort((places, rows))
+    rows, places = rows[order], places[order]
+    opens = np.ones(len(rows), bool)
+    opens[1:] = (rows[1:] != rows[:-1]) | (places[1:] != places[:-1] + 1)
+    return rows[opens], places[opens], places[np.append(opens[1:], True)] + 1
+
+
 def solver(width: int):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, [0, 1]):
@@ -64,8 +73,7 @@ def solver(width: int):
                     rows += [a + i for i in found[0]]
                     places += found[1]
             if rows:
-                at = np.array(places, np.int64)
-                yield verdict_batch(table, np.array(rows, np.int64), at, at + 1)
+                yield verdict_batch(table, *joined_places(np.array(rows, np.int64), np.array(places, np.int64)))
 
     return solve
 
