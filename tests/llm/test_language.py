@@ -1,3 +1,6 @@
+import collections
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import language
@@ -43,3 +46,39 @@ def test_false_positives_are_corrected(frame):
     assert model.false_positive_rate().min() > 0.01
     found = language.predict(frame([(1, "the quick brown fox"), (2, "der braune hund")]), model).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in found} == {1: "en", 2: "de"}
+
+
+def plain_grams(text, width=3):
+    """Runs of letters in lower case with one blank around and between them; n-grams with a blank inside are left out."""
+    spaced = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + " ".join(spaced.split()) + " "
+    return [g for i in range(len(padded) - width + 1) if " " not in (g := padded[i : i + width])[1:-1] and g.strip()]
+
+
+def test_masks_hold_the_exact_sets(spark, folder, documents):
+    """Shares of known n-grams against exact sets per language, built from the same training rows in plain Python."""
+    test = language.held_out(F.col("doc_id"))
+    model = language.fit(documents, training=~test, sample_rows=1 << 40)  # no row is left out of the fit
+    rows = documents.select("doc_id", "text", "lang", test.alias("held_out")).collect()
+    uses, docs, found = {}, {}, {}
+    for r in rows:
+        if not r["held_out"] and r["lang"] is not None and r["text"] is not None:
+            grams = plain_grams(r["text"])
+            uses.setdefault(r["lang"], collections.Counter()).update(grams)
+            docs.setdefault(r["lang"], collections.Counter()).update(set(grams))
+            found[r["lang"]] = found.get(r["lang"], 0) + 1
+    assert model.languages == tuple(sorted(found))
+    total = {k: sum(c.values()) for k, c in uses.items()}
+    most = {g: max(uses[k][g] / total[k] for k in uses) for k in uses for g in uses[k]}
+    known = {k: {g for g, n in uses[k].items() if docs[k][g] >= max(min(2, found[k]), 0.003 * found[k]) and n / total[k] >= 0.25 * most[g]} for k in uses}
+    rates = model.false_positive_rate()
+    assert rates.max() < 0.001
+    for r in rows[:120]:
+        grams = plain_grams(r["text"] or "")
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        hashes, row, has_letter = language.ngrams(data, np.array([0, len(data)]), 3)
+        assert len(hashes) == len(grams) and bool(has_letter[0]) == any(c.isalpha() for c in r["text"] or "")
+        if grams:
+            share = language.shares(model, hashes, row, 1, rates)[0]
+            want = [sum(g in known[k] for g in grams) / len(grams) for k in model.languages]
+            assert np.abs(share - want).max() < 0.01
