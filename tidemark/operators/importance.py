@@ -60,6 +60,6 @@ def permutation_importance(
         value = score(lambda c, column=column: F.col("__value") if c == column else F.col(c))
         stacked = stacked.unionByName(other.select(F.lit(column).alias("column_name"), F.col(label).alias("label"), value.alias("predicted_probability")))
     found = cut_lineage(auc(stacked, ["column_name"]))  # one row per column
-    whole = found.where("column_name = ''").select(F.col("auc_roc").alias("whole"))
-    per_column = found.where("column_name <> ''").crossJoin(F.broadcast(whole))  # a single row
-    return per_column.select("column_name", F.col("whole").alias("auc_roc"), F.col("auc_roc").alias("shuffled_auc"), (F.col("whole") - F.col("auc_roc")).alias("importance"))
+    whole = F.lit(next((r["auc_roc"] for r in found.where("column_name = ''").collect()), None)).cast("double")  # a single row
+    per_column = found.where("column_name <> ''")
+    return per_column.select("column_name", whole.alias("auc_roc"), F.col("auc_roc").alias("shuffled_auc"), (whole - F.col("auc_roc")).alias("importance"))

@@ -42,7 +42,7 @@ s{r} AS (SELECT c AS c{r}, last AS last{r}, above AS above{r}, ln((1 - error) /
         )
         missed = f"CASE WHEN (CASE WHEN CASE c{r} WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END > last{r} THEN above{r} ELSE 1 - above{r} END) <> y THEN vote{r} ELSE 0.0 END"
         weight = f"exp({missed})" if r == 0 else f"{weight} * exp({missed})"
-    found = " UNION ALL ".join(f"SELECT {r} AS round, {list(_COLUMNS)}[c{r} + 1] AS column_name, last{r} AS last_bin, above{r} AS above, round(vote{r}, 6) AS vote FROM s{r}" for r in range(rounds))
+    found = " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS round, {list(_COLUMNS)}[c{r} + 1] AS column_name, CAST(last{r} AS BIGINT) AS last_bin, CAST(above{r} AS BIGINT) AS above, round(vote{r}, 6) AS vote FROM s{r}" for r in range(rounds))
     return f"WITH {_BINNED}, {', '.join(steps)} {found}"
 
 
@@ -103,7 +103,7 @@ s{r} AS (
   FROM l{r} WHERE lh >= 1 AND h - lh >= 1 ORDER BY round(gain{r}, 7) DESC, c, last LIMIT 1)"""
         )
         margin += f" + CASE WHEN CASE c{r} WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END > last{r} THEN high{r} ELSE low{r} END"
-    found = " UNION ALL ".join(f"SELECT {r} AS tree, {list(_COLUMNS)}[c{r} + 1] AS column_name, CAST(last{r} AS BIGINT) AS last_bin, round(low{r}, 6) AS left_value, round(high{r}, 6) AS right_value FROM s{r}" for r in range(rounds))
+    found = " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS tree, {list(_COLUMNS)}[c{r} + 1] AS column_name, CAST(last{r} AS BIGINT) AS last_bin, round(low{r}, 6) AS left_value, round(high{r}, 6) AS right_value FROM s{r}" for r in range(rounds))
     return f"WITH {_BINNED}, {', '.join(steps)} {found}"
 
 

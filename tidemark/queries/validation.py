@@ -142,10 +142,14 @@ def gapped_split(t: Tables) -> DataFrame:
     split = modeling.split_date(market)
     embargo = validation.embargo_start(validation.calendar(market), split, GAP)
     train, test = validation.gapped_split(market, split, GAP)
-    sides = train.select(F.lit("train").alias("side")).unionAll(test.select(F.lit("test")))
-    counted = sides.agg(F.count_if(F.col("side") == "train").alias("train_rows"), F.count_if(F.col("side") == "test").alias("test_rows"))
-    left_out = market.agg(F.count_if((F.col("date") >= F.lit(embargo)) & (F.col("date") < F.lit(split))).alias("left_out"))
-    return comparable(counted.join(left_out).select(F.lit(embargo).alias("embargo_date"), F.lit(split).alias("split_date"), "train_rows", "left_out", "test_rows"))
+    between = market.where((F.col("date") >= F.lit(embargo)) & (F.col("date") < F.lit(split)))
+    parts = {"train_rows": train, "left_out": between, "test_rows": test}
+    sides = None
+    for name, part in parts.items():
+        side = part.select(F.lit(name).alias("side"))
+        sides = side if sides is None else sides.unionAll(side)
+    counts = [F.count_if(F.col("side") == name).alias(name) for name in parts]
+    return comparable(sides.agg(*counts).select(F.lit(embargo).alias("embargo_date"), F.lit(split).alias("split_date"), *parts))
 
 
 _PROBS = {"low": 0.01, "median": 0.5, "high": 0.99}
@@ -211,7 +215,7 @@ def _fitted(t: Tables):
 
 @query(
     f"""WITH {_EXPANDING}, columns AS (SELECT unnest({['intercept', *MARKET_CORE]!r}) AS column_name)
-SELECT CAST(fold AS BIGINT) AS fold, column_name, count(*) AS train_rows, 0.0 AS slope FROM assigned, columns WHERE part = 'train' GROUP BY fold, column_name"""
+SELECT CAST(fold AS BIGINT) AS fold, column_name, count(*) AS train_rows, CAST(0 AS DOUBLE) AS slope FROM assigned, columns WHERE part = 'train' GROUP BY fold, column_name"""
 )
 def logistic_optimality(t: Tables) -> DataFrame:
     """The slope of each fold's penalised loss at its fitted coefficients, per training row: zero where the fit is the best one.
@@ -287,7 +291,7 @@ _PENALTIES = (0.01, 0.1, 1.0)
     f"""WITH {_ROWS},
 used AS (SELECT return_5d AS a, volatility_21d AS b, forward_return_5d AS y FROM rows WHERE return_5d IS NOT NULL AND volatility_21d IS NOT NULL),
 m AS (SELECT corr(a, b) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb, avg(y) AS intercept FROM used),
-p AS (SELECT unnest({list(_PENALTIES)}) AS penalty),
+p AS (SELECT CAST(unnest({list(_PENALTIES)}) AS DOUBLE) AS penalty),
 solved AS (SELECT penalty, intercept, ((1 + penalty) * ca - r * cb) / ((1 + penalty) * (1 + penalty) - r * r) AS a, ((1 + penalty) * cb - r * ca) / ((1 + penalty) * (1 + penalty) - r * r) AS b FROM m, p)
 SELECT round(penalty, 6) AS penalty, 'return_5d' AS column_name, round(a, 6) AS coefficient, round(intercept, 6) AS intercept FROM solved
 UNION ALL SELECT round(penalty, 6), 'volatility_21d', round(b, 6), round(intercept, 6) FROM solved"""
@@ -303,8 +307,8 @@ def ridge_coefficients(t: Tables) -> DataFrame:
 @query(
     f"""WITH {_ROWS}, used AS (SELECT * FROM rows WHERE {" AND ".join(f"{c} IS NOT NULL" for c in MARKET_CORE)}),
 strength AS (SELECT greatest({", ".join(f"abs(covar_pop({c}, forward_return_5d) / stddev_pop({c}))" for c in MARKET_CORE)}) AS largest FROM used)
-SELECT share, column_name, round(share * largest, 6) AS penalty, 0.0 AS violation, CASE WHEN share >= 1 THEN 0 END AS zero_from_here
-FROM strength, (SELECT unnest([0.05, 0.5, 1.0]) AS share), (SELECT unnest({list(MARKET_CORE)!r}) AS column_name)"""
+SELECT share, column_name, round(share * largest, 6) AS penalty, CAST(0 AS DOUBLE) AS violation, CASE WHEN share >= 1 THEN CAST(1 AS BIGINT) END AS zero_from_here
+FROM strength, (SELECT CAST(unnest([0.05, 0.5, 1.0]) AS DOUBLE) AS share), (SELECT unnest({list(MARKET_CORE)!r}) AS column_name)"""
 )
 def lasso_optimality(t: Tables) -> DataFrame:
     """Lasso regressions at shares of the least penalty that leaves no column: how far each is from its optimality condition on all rows."""
@@ -318,5 +322,5 @@ def lasso_optimality(t: Tables) -> DataFrame:
     inactive = F.abs("coefficient") < 1e-9 * float(largest)
     gap = F.when(inactive, F.greatest(F.abs("slope") - F.col("penalty"), F.lit(0.0))).otherwise(F.abs(F.col("slope") - F.col("penalty") * F.signum("coefficient")))
     share = F.round(F.col("penalty") / F.lit(float(largest)), 6)
-    out = slopes.select(share.alias("share"), "column_name", "penalty", (F.round(gap, 6) + F.lit(0.0)).alias("violation"), F.when(share >= 1, (~inactive).cast("int")).alias("zero_from_here"))
+    out = slopes.select(share.alias("share"), "column_name", "penalty", (F.round(gap, 6) + F.lit(0.0)).alias("violation"), F.when(share >= 1, inactive.cast("int")).alias("zero_from_here"))
     return comparable(out)
