@@ -297,6 +297,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed(batches, encoder_of(tokenizer_path), capacity, end_id, arrow, TaskContext.get().partitionId())
+        encoder = encoder_of(tokenizer_path)
+        yield from packed(batches, encoder, capacity, end_id, arrow, TaskContext.get().partitionId())
+        encoder.forget()  # the process lives on and is used for other work
 
     return source.mapInArrow(run, schema)
