@@ -81,8 +81,9 @@ def fit_cells(source: DataFrame, cell_rows: int, most_cells: int) -> dict[str, n
     total = sized.agg(F.sum("n")).first()[0] or 0
     share = F.least(F.col("n") / cell_rows, F.lit(float(most_cells)) * F.col("n") / F.lit(float(max(total, 1))))
     split = sized.withColumn("cells", F.ceil(share).cast("int")).where(F.col("n") > cell_rows).where("cells > 1").select("key", "cells", (F.col("cells") * SAMPLE / F.col("n")).alias("rate"))
+    # a label is split if it has more than its share of one cell, so there are most_cells such labels at most
     chance = F.pmod(F.xxhash64(F.lit("cells"), "vec_id", "vector"), F.lit(1 << 40)) / float(1 << 40)
-    sample = source.select("vec_id", "key", "vector").join(split, "key").where(chance < F.col("rate")).select("key", "cells", "vector")
+    sample = source.select("vec_id", "key", "vector").join(F.broadcast(split), "key").where(chance < F.col("rate")).select("key", "cells", "vector")
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))])
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
