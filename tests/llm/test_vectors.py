@@ -80,6 +80,13 @@ def test_group_of_copies(spark, monkeypatch):
     assert found(spark, rows, partitions=7, cell_rows=20) == plain(rows)
 
 
+def test_single_precision_gives_the_same_links(spark):
+    rows = [(i, np.array(v, np.float32).astype(float).tolist(), label) for i, v, label in clumps(30, 16, 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(3)
+    assert vectors.kind_of(frame.withColumnRenamed("embedding", "vector")) == "<f4"
+    assert sorted((tuple(r) for r in vectors.near_vectors(frame, cell_rows=20).collect()), key=str) == plain(rows)
+
+
 def test_means_are_unit_vectors_and_spread():
     rng = np.random.default_rng(1)
     points = np.repeat(np.eye(5), 20, axis=0) + rng.normal(size=(100, 5)) * 0.01

@@ -34,23 +34,31 @@ BLOCK, STRIPE = 4_096, 512
 SLACK = 1e-9
 
 
-def units(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray]:
-    """Each row's vector at length one in double precision, and which rows have one.
+def units(column: pa.Array) -> tuple[list[np.ndarray | None], np.ndarray, list[np.ndarray | None]]:
+    """Each row's vector at length one in double precision, which rows have one, and the vectors as they are.
 
     Null and empty rows, rows with null or non-finite components and zero vectors have none.
     """
     column = column.cast(pa.large_list(pa.float64()))
     offsets = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)  # nulls become nan
-    out, ok = [None] * len(column), np.zeros(len(column), bool)
+    out, ok, plain = [None] * len(column), np.zeros(len(column), bool), [None] * len(column)
     valid = np.asarray(column.is_valid())
     for i in np.flatnonzero(valid & (np.diff(offsets) > 0)).tolist():
         v = values[offsets[i] : offsets[i + 1]]
         peak = np.abs(v).max()
         if np.isfinite(peak) and peak > 0:
+            plain[i], ok[i] = v, True
             v = v / peak  # squares neither overflow nor vanish
-            out[i], ok[i] = v / np.sqrt(v @ v), True
-    return out, ok
+            out[i] = v / np.sqrt(v @ v)
+    return out, ok, plain
+
+
+def normalised(vectors: np.ndarray) -> np.ndarray:
+    """Rows at length one in double precision."""
+    points = vectors.astype(float)
+    points /= np.abs(points).max(axis=1, keepdims=True)
+    return points / np.sqrt((points * points).sum(axis=1, keepdims=True))
 
 
 def label_key(label: Column, vector: Column) -> Column:
@@ -87,7 +95,7 @@ def fit_cells(source: DataFrame, cell_rows: int, most_cells: int) -> dict[str, n
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("centroid", T.ArrayType(T.DoubleType()))])
 
     def fit(key: tuple, table: pa.Table) -> pa.Table:
-        made, ok = units(table.column("vector").combine_chunks())
+        made, ok, _ = units(table.column("vector").combine_chunks())
         points = np.array([made[i] for i in np.flatnonzero(ok)])
         found = spherical_means(points, table.column("cells")[0].as_py()) if len(points) else np.zeros((0, 1))
         return pa.table({"key": pa.array([key[0].as_py()] * len(found), pa.string()), "centroid": pa.array(found.tolist(), pa.list_(pa.float64()))}, schema=to_arrow_schema(schema))
@@ -113,11 +121,16 @@ def memberships(points: np.ndarray, centroids: np.ndarray | None, reach: float)
 MEMBER = T.StructType(
     [
         T.StructField("key", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("least", T.LongType()),
-        T.StructField("copies", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("before", T.ArrayType(T.IntegerType())), T.StructField("unit", T.BinaryType()),
+        T.StructField("copies", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("before", T.ArrayType(T.IntegerType())), T.StructField("held", T.BinaryType()),
     ]
 )
 
 
+def kind_of(source: DataFrame) -> str:
+    """The width in which vectors travel: single precision where they have no more."""
+    return "<f4" if source.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
+
+
 def members(source: DataFrame, cells: dict[str, np.ndarray], reach: float) -> DataFrame:
     """A row per vector and cell it is a member of; equal vectors of a batch are one row with all their ids.
 
@@ -125,12 +138,13 @@ def members(source: DataFrame, cells: dict[str, np.ndarray], reach: float) -> Da
     """
     arrow = to_arrow_schema(MEMBER)
     known = source.sparkSession.sparkContext.broadcast(cells)  # at most CELLS centroids
+    kind = kind_of(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             numbers = batch.column(3).to_numpy()
-            made, ok = units(batch.column(2))
+            made, ok, plain = units(batch.column(2))
             groups: dict[str, dict[bytes, list[int]]] = {}
             alone = []
             for i, key in enumerate(keys):
@@ -144,13 +158,14 @@ def members(source: DataFrame, cells: dict[str, np.ndarray], reach: float) -> Da
             for key, copies in groups.items():
                 points = np.array([made[rows[0]] for rows in copies.values()])
                 owners = list(copies.values())
+                held = [plain[rows[0]].astype(kind).tobytes() for rows in owners]  # as wide as it came
                 row, cell = memberships(points, known.value.get(key), reach)
                 first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])[np.unique(row, return_inverse=True)[1]]
                 lists = [[ids[i] for i in rows] for rows in owners]
                 lows = [min((i for i in x if i is not None), default=None) for x in lists]
                 columns = [
                     [key] * len(row), cell, [int(numbers[owners[r][0]]) for r in row], [lows[r] for r in row], [len(owners[r]) for r in row],
-                    [lists[r] if k == f else None for k, (r, f) in enumerate(zip(row, first))], [cell[f:k].tolist() for k, f in enumerate(first)], [points[r].tobytes() for r in row],
+                    [lists[r] if k == f else None for k, (r, f) in enumerate(zip(row, first))], [cell[f:k].tolist() for k, f in enumerate(first)], [held[r] for r in row],
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -161,7 +176,7 @@ NODE = T.StructType([T.StructField("least", T.LongType(), False), T.StructField(
 FOUND = T.StructType([T.StructField("node", NODE), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("links", T.LongType()), T.StructField("other", NODE)])
 
 
-def compared(dealt: DataFrame, cosine: float) -> DataFrame:
+def compared(dealt: DataFrame, cosine: float, kind: str) -> DataFrame:
     """Per row and task its ids (once) and the links found there, and the edges of a spanning forest (node, other)."""
     arrow = to_arrow_schema(FOUND)
 
@@ -180,7 +195,7 @@ def compared(dealt: DataFrame, cosine: float) -> DataFrame:
         keys = columns["key"].combine_chunks().dictionary_encode()
         for code in range(len(keys.dictionary)):  # keys whose hashes are equal are told apart
             own = np.flatnonzero(keys.indices.fill_null(-1).to_numpy() == code)
-            points = np.frombuffer(b"".join(columns["unit"].take(pa.array(own)).to_pylist())).reshape(len(own), -1)
+            points = normalised(np.frombuffer(b"".join(columns["held"].take(pa.array(own)).to_pylist()), kind).reshape(len(own), -1))
             before = columns["before"].take(pa.array(own)).to_pylist()
             left, right = np.flatnonzero(side[own] == 0), np.flatnonzero(side[own] == 1)
             inner = not len(right) and table.column("first")[0].as_py() == table.column("second")[0].as_py()
@@ -198,7 +213,7 @@ def compared(dealt: DataFrame, cosine: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), pa.nulls(len(a), arrow.field("ids").type), pa.nulls(len(a), pa.int64()), nodes.take(pa.array(b))], schema=arrow)
 
     order = ["group", "cell", "first", "second"]
-    columns = [*order, "side", "key", "row", "least", "copies", "ids", "before", "unit"]
+    columns = [*order, "side", "key", "row", "least", "copies", "ids", "before", "held"]
     return dealt.repartition(*order).sortWithinPartitions(*order).select(*columns).mapInArrow(run, FOUND)
 
 
@@ -255,7 +270,7 @@ def near_vectors(
     reach = float(np.sqrt(max(1 - cosine, 0) / 2))  # half the chord of two vectors at the least cosine
     rows = members(source, cells, reach)
     sizes = cut_lineage(rows.where("key IS NOT NULL").groupBy("key", "cell").agg(F.count("*").alias("n")))
-    found = cut_lineage(compared(dealt_blocks(rows, sizes), cosine))
+    found = cut_lineage(compared(dealt_blocks(rows, sizes), cosine, kind_of(source)))
     edges = found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
     reached = components(edges)
     own = found.where("other IS NULL")
