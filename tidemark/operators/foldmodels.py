@@ -18,26 +18,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.scalars import nan_to_null
 from ..session import cut_lineage
 from .modeling import CLIP_QUANTILES
-from .quantiles import exact_quantiles
-from .validation import Fold, memberships
+from .quantiles import GATHER_ROWS, Read, blocks, exact_quantiles, interpolated, ranked_values, wanted_ranks
+from .validation import Fold, numbers_of
 
 TRAINS, TESTS = "__trains", "__tests"
 
 
+def _per_group(df: DataFrame, groups: Mapping[int, Column], columns: Sequence[str]) -> tuple[DataFrame, Read, dict[int, list[int]], dict[int, int]]:
+    """Columns and group flags, a reader of each group's columns one after the other, and values per column and rows of every group."""
+    width = len(columns)
+    wide = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"c{k}") for k, c in enumerate(columns)], *[F.coalesce(on, F.lit(False)).alias(f"g{i}") for i, on in enumerate(groups.values())])
+    sums = [F.count_if(F.col(f"g{i}")).alias(f"g{i}") for i in range(len(groups))]
+    sums += [F.count_if(F.col(f"g{i}") & F.col(f"c{k}").isNotNull()).alias(f"n{i}_{k}") for i in range(len(groups)) for k in range(width)]
+    row = wide.agg(*sums).first()
+
+    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
+        flags = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width, batch.num_columns)]
+        return [values[on] for on in flags for values in x]
+
+    return wide, read, {g: [row[f"n{i}_{k}"] for k in range(width)] for i, g in enumerate(groups)}, {g: row[f"g{i}"] for i, g in enumerate(groups)}
+
+
 def grouped_quantiles(
-    df: DataFrame, groups: Mapping[int, Column], columns: Sequence[str], probs: Sequence[float], **how
+    df: DataFrame, groups: Mapping[int, Column], columns: Sequence[str], probs: Sequence[float], gather_rows: int = GATHER_ROWS
 ) -> dict[int, dict[str, list[float | None]]]:
     """Exact quantiles of each column over the rows of each group, all in shared passes.
 
     Groups are conditions and may overlap; a row belongs to every group whose condition holds. The groups
-    are few (folds), as each adds its columns to the passes.
+    are few (folds), as each adds its columns to the counters of a pass; a row is sent to it once.
     """
-    names = {(g, c): f"c{i}_{j}" for i, g in enumerate(groups) for j, c in enumerate(columns)}
-    wide = df.select(*[F.when(groups[g], F.col(c).cast("double")).alias(name) for (g, c), name in names.items()])
-    found = exact_quantiles(wide, list(names.values()), probs, **how)
-    return {g: {c: found[names[g, c]] for c in columns} for g in groups}
+    wide, read, sizes, _ = _per_group(df, groups, columns)
+    flat = [n for g in groups for n in sizes[g]]
+    values = iter(zip(flat, ranked_values(wide, read, flat, [wanted_ranks(n, probs) for n in flat], gather_rows)))
+    return {g: {c: [interpolated(n, p, v.__getitem__) for p in probs] for c, (n, v) in zip(columns, values)} for g in groups}
 
 
 def robust_scaling(df: DataFrame, columns: Sequence[str], **how) -> dict[str, tuple[float, float]]:
@@ -80,9 +97,7 @@ class Prepared:
 
 def with_folds(df: DataFrame, folds: Sequence[Fold], date: str = "date", label_end: str | None = None) -> DataFrame:
     """Adds the folds that a row trains, and those that it tests, as arrays."""
-    parts = memberships(folds, date, label_end)
-    pick = lambda part: F.transform(F.filter(parts, lambda m: m["part"] == part), lambda m: m["fold"])
-    return df.withColumns({TRAINS: pick("train"), TESTS: pick("test")})
+    return df.withColumns({name: numbers_of(folds, part, date, label_end) for name, part in ((TRAINS, "train"), (TESTS, "test"))})
 
 
 def prepare_folds(
@@ -94,23 +109,44 @@ def prepare_folds(
     deviation where ``robust`` is off. A column without training values is filled with 0.
     """
     trains = {f.number: F.array_contains(TRAINS, f.number) for f in folds}
-    first = grouped_quantiles(df, trains, columns, [clip_at[0], 0.5, clip_at[1]])
-    known = {
-        n: {c: (q if q[0] is not None else [-np.inf, 0.0, np.inf]) for c, q in per_column.items()} for n, per_column in first.items()
-    }
-    bare = {
-        n: Prepared(*(np.array([known[n][c][k] for c in columns]) for k in (0, 2, 1)), np.zeros(len(columns)), np.ones(len(columns))) for n in trains
-    }
-    names = {(n, k): f"v{i}_{k}" for i, n in enumerate(trains) for k in range(len(columns))}
-    filled = df.select(*[F.when(trains[n], x).alias(names[n, k]) for n in trains for k, x in enumerate(bare[n].columns(columns))])
+    if not trains:
+        return {}
+    wide, read, sizes, rows = _per_group(df, trains, columns)
+    wanted, quartiles = [clip_at[0], 0.5, clip_at[1]], [0.25, 0.5, 0.75] if robust else []
+    flat = [(n, size, rows[n] - size) for n in trains for size in sizes[n]]
+    ranks = [wanted_ranks(size, wanted) + [k for r in (wanted_ranks(size + gaps, quartiles) if size else []) if (k := _known_rank(r, size, gaps)) is not None] for _, size, gaps in flat]
+    at = iter(zip(flat, ranked_values(wide, read, [size for _, size, _ in flat], ranks)))
+    bare, robust_scales = {}, {}
+    for n in trains:
+        edges, scales = [], []
+        for _ in columns:
+            (_, size, gaps), values = next(at)
+            low, fill, high = [interpolated(size, p, values.__getitem__) for p in wanted] if size else (-np.inf, 0.0, np.inf)
+
+            def filled(r: int, size=size, gaps=gaps, values=values, low=low, fill=fill, high=high) -> float:
+                """The value at a rank of the clipped values and the gaps filled with their median."""
+                k = _known_rank(r, size, gaps)
+                return fill if k is None else min(max(values[k], low), high)
+
+            edges.append((low, high, fill))
+            scales.append(_scale([interpolated(size + gaps, p, filled) if size else 0.0 for p in quartiles] or [None]) if rows[n] else (0.0, 1.0))
+        bare[n] = Prepared(*np.array(edges, dtype=float).reshape(-1, 3).T, np.zeros(len(columns)), np.ones(len(columns)))
+        robust_scales[n] = np.array(scales, dtype=float).reshape(-1, 2).T
     if robust:
-        found = {c: _scale(q) for c, q in exact_quantiles(filled, list(names.values()), [0.25, 0.5, 0.75]).items()}
-    else:
-        row = filled.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in names.values() for f in (F.avg, F.stddev_pop)]).first()
-        found = {c: (row[f"{c}_avg"] or 0.0, row[f"{c}_stddev_pop"] or 1.0) for c in names.values()}
-    return {
-        n: Prepared(p.low, p.high, p.fill, *(np.array([found[names[n, k]][side] for k in range(len(columns))]) for side in (0, 1))) for n, p in bare.items()
-    }
+        return {n: Prepared(p.low, p.high, p.fill, *robust_scales[n]) for n, p in bare.items()}
+    names = {(n, k): f"v{i}_{k}" for i, n in enumerate(trains) for k in range(len(columns))}
+    spread = df.select(*[F.when(trains[n], x).alias(names[n, k]) for n in trains for k, x in enumerate(bare[n].columns(columns))])
+    row = spread.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in names.values() for f in (F.avg, F.stddev_pop)]).first()
+    found = {c: (row[f"{c}_avg"] or 0.0, row[f"{c}_stddev_pop"] or 1.0) for c in names.values()}
+    return {n: Prepared(p.low, p.high, p.fill, *(np.array([found[names[n, k]][side] for k in range(len(columns))]) for side in (0, 1))) for n, p in bare.items()}
+
+
+def _known_rank(rank: int, size: int, gaps: int) -> int | None:
+    """The rank among ``size`` values of what has ``rank`` when ``gaps`` copies of their median join them; None for such a copy, or what equals it."""
+    low, high = wanted_ranks(size, [0.5])
+    if rank <= low:
+        return rank
+    return rank - gaps if rank >= high + gaps else None
 
 
 def _design(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -162,7 +198,7 @@ def fit_logistic(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = width + 1
             held = {n: np.zeros(1 + d + d * d) for n in current}
-            for batch in batches:
+            for batch in blocks(batches):
                 x, y = _design(batch, width), batch.column(width).to_numpy()
                 for n, b in current.items():
                     rows = _members(batch.column(width + 1), n)

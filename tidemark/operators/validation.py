@@ -123,25 +123,30 @@ def memberships(folds: Sequence[Fold], date: str = "date", label_end: str | None
     A row trains in a fold if its date lies in the training range and, with ``label_end``, its label ends before the
     test range begins; else it is purged there. A row without a label end has no label and trains nowhere.
     """
-    edges = F.array(
-        *[
-            F.struct(
-                F.lit(f.number).alias("fold"), F.lit(f.train_from).alias("a"), F.lit(f.train_until).alias("b"),
-                F.lit(f.test_from).alias("c"), F.lit(f.test_until).cast("date").alias("d"),
-            )
-            for f in folds
-        ]
-    )
-    day = F.col(date).cast("date")
+    every = [F.struct(F.lit(f.number).alias("fold"), p.alias("part")) for f, p in zip(folds, _parts(folds, date, label_end))]
+    return F.filter(F.array(*every), lambda m: m["part"].isNotNull())
+
+
+def _parts(folds: Sequence[Fold], date: str, label_end: str | None) -> list[Column]:
+    """A row's part in each fold, null for none: comparisons of dates with constants, which cost next to nothing."""
+    day, end = F.col(date).cast("date"), F.col(label_end).cast("date") if label_end else None
+
+    def part(f: Fold) -> Column:
+        trains = (day >= F.lit(f.train_from)) & (day < F.lit(f.train_until))
+        tests = day >= F.lit(f.test_from)
+        if f.test_until is not None:
+            tests = tests & (day < F.lit(f.test_until))
+        if end is None:
+            return F.when(trains, "train").when(tests, "test")
+        return F.when(trains & (end < F.lit(f.test_from)), "train").when(trains, "purged").when(tests, "test")
+
+    return [part(f) for f in folds]
 
-    def part(f: Column) -> Column:
-        ends_before = F.coalesce(F.col(label_end).cast("date") < f["c"], F.lit(False)) if label_end else F.lit(True)
-        trains = (day >= f["a"]) & (day < f["b"])
-        tests = (day >= f["c"]) & (f["d"].isNull() | (day < f["d"]))
-        return F.when(trains & ends_before, "train").when(trains, "purged").when(tests, "test")
 
-    every = F.transform(edges, lambda f: F.struct(f["fold"].alias("fold"), part(f).alias("part")))
-    return F.filter(every, lambda m: m["part"].isNotNull())
+def numbers_of(folds: Sequence[Fold], which: str, date: str = "date", label_end: str | None = None) -> Column:
+    """Numbers of the folds that a row has this part in, as an array."""
+    numbers = [F.when(p == which, F.lit(f.number)).otherwise(F.lit(None).cast("int")) for f, p in zip(folds, _parts(folds, date, label_end))]
+    return F.array_compact(F.array(*numbers)) if folds else F.array().cast("array<int>")
 
 
 def assign_folds(df: DataFrame, folds: Sequence[Fold], date: str = "date", label_end: str | None = None) -> DataFrame:
@@ -151,7 +156,8 @@ def assign_folds(df: DataFrame, folds: Sequence[Fold], date: str = "date", label
         raise ValueError(f"columns in the way: {', '.join(sorted(clash))}")
     if not folds:
         return df.limit(0).withColumns({"fold": F.lit(0), "part": F.lit("")})
-    return df.select("*", F.inline(memberships(folds, date, label_end)))
+    every = [F.struct(F.lit(f.number).alias("fold"), p.alias("part")) for f, p in zip(folds, _parts(folds, date, label_end))]
+    return df.select("*", F.inline(F.array(*every))).where(F.col("part").isNotNull())
 
 
 def fold_report(assigned: DataFrame, date: str = "date") -> DataFrame:
