@@ -180,3 +180,15 @@ def test_models_are_built_for_the_rows_that_are_fitted(spark, monkeypatch):
     monkeypatch.setattr(modeling, "fitting_rows", lambda *a, f=modeling.fitting_rows: fitted.append(f(*a).count()) or f(*a))
     compare({"small": Setup(panel(spark), ("u",))}, modeling.ModelSizes(50, 5, 3, 3, 2), models=["logistic_regression"], min_dates=10, fit_rows=100)
     assert counts == fitted and 50 < counts[0] < 150
+
+
+@pytest.mark.parametrize("fit_rows", [40, 70_000])
+def test_a_bounded_sample_leaves_the_scan_to_many_tasks(spark, monkeypatch, fit_rows):
+    seen = []
+    monkeypatch.setattr(modeling, "cut_lineage", lambda df: seen.append(df) or df)
+    rows = spark.range(0, 400, 1, 8).select("id", (F.col("id") % 2).cast("int").alias("label"), (F.col("id") * 1.5).alias("x"))
+    specs = {"logistic_regression": modeling.build_models(400)["logistic_regression"]}
+    modeling.fit_and_predict(rows, rows, ["x"], ["id"], specs, fit_rows)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" in plan
+    assert seen[0].rdd.getNumPartitions() == math.ceil(fit_rows / modeling.FIT_PARTITION_ROWS)
