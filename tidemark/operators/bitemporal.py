@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .reshape import facts_to_wide
 from .segments import ROWS_PER_SEGMENT, SEG, assign_segments
 
@@ -19,15 +20,17 @@ _T, _SIDE, _LEFT, _BEST = "__t", "__side", "__left", "__best"
 
 
 def versions(
-    facts: DataFrame, keys: Sequence[str], filed: str, metadata: Sequence[str], concept: str, value: str, concepts: Sequence[str], ties: Sequence[str] = ()
-) -> DataFrame:
+    facts: DataFrame, keys: Sequence[str], filed: str, metadata: Sequence[str], concept: str, value: str, concepts: Sequence[str], ties: Sequence[str] = (),
+    together: Sequence[str] | None = None,
+) -> DataFrame:
     """One row per key and filing day: the metadata of that day's filing and all values known by then.
 
     A concept that a day's filing does not report keeps its value from before; a null value replaces nothing. Of several facts of one
-    concept on a day the greatest ``ties`` win. Filing days of a key are bounded by the calendar.
+    concept on a day the greatest ``ties`` win. Filing days of a key are bounded by the calendar. Facts are
+    dealt once, by ``together`` (some of the keys, all by default), for the rows of a day, the values before and later steps over these keys.
     """
     known = facts.where(F.col(value).isNotNull())
-    wide = facts_to_wide(known, [*keys, filed], metadata, concept, value, concepts, latest=[], ties=ties)
+    wide = facts_to_wide(known, [*keys, filed], metadata, concept, value, concepts, latest=[], ties=ties, together=keys if together is None else together)
     so_far = Window.partitionBy(*keys).orderBy(filed).rowsBetween(Window.unboundedPreceding, 0)
     return wide.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in concepts})
 
@@ -66,7 +69,8 @@ def as_known_join(
     stacked = known.unionByName(rows, allowMissingColumns=True)
     arrival = [F.col(_T).asc_nulls_first(), F.col(_SIDE).asc()]
     if rows_per_segment is not None:
-        stacked = assign_segments(stacked, on, [*arrival, F.xxhash64(_LEFT)], rows_per_segment, hot_rows)
+        # counted, sampled and dealt: what made both sides is worked out once
+        stacked = assign_segments(cut_lineage(stacked), on, [*arrival, F.xxhash64(_LEFT)], rows_per_segment, hot_rows)
         parts = [*on, SEG]
     running = Window.partitionBy(*parts).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, 0)
     matched = stacked.withColumn(_BEST, F.max(_BEST).over(running)).where(F.col(_SIDE) == 1)

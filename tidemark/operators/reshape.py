@@ -26,6 +26,7 @@ def facts_to_wide(
     ties: Sequence[str] = (),
     owner: str | None = None,
     keep: str = "last",
+    together: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key: the newest metadata row and, per concept, the newest value.
 
@@ -36,6 +37,8 @@ def facts_to_wide(
 
     With ``keep="first"`` everything is as first reported: the value of the least ``latest``, the greatest
     ``ties`` deciding, and the metadata row of the least ``latest``, then concept.
+
+    ``together`` names keys by which the result is partitioned, so that later steps over them need no exchange.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep is first or last, not {keep}")
@@ -50,7 +53,7 @@ def facts_to_wide(
     def of(name: str, held: str) -> Column:
         return F.max(F.when(F.col(concept) == name, F.col(held)))
 
-    wide = newest.groupBy(*keys).agg(
+    wide = (newest.repartition(*together) if together else newest).groupBy(*keys).agg(
         meta,
         *[of(c, value).alias(f"__v{i}") for i, c in enumerate(concepts)],
         *([of(c, owner).alias(f"__o{i}") for i, c in enumerate(concepts)] if owner else []),

@@ -39,18 +39,25 @@ def assign_segments(
     checkpoint folder with their segments. Write an expensive input to a table first.
     """
     limit = rows_per_segment if hot_rows is None else hot_rows
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
-    total = heavy.agg(F.sum("__n")).first()[0]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    heavy = sizes.where(F.col("__n") > limit)
+    found = sizes.agg(F.sum("__n").alias("rows"), F.sum(F.when(F.col("__n") > limit, F.col("__n"))).alias("hot")).first()
+    total = found["hot"]
     if not total:
         return df.withColumn(SEG, F.lit(None).cast("bigint"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartitionByRange(math.ceil(total / rows_per_segment), *keys, *order)
+        return cut_lineage(dealt.withColumn(SEG, F.spark_partition_id().cast("bigint")))
+
+    if total == found["rows"]:  # no cold key to tell apart, so no join and no second reading
+        return cut(df)
     names = {k: f"__key{i}" for i, k in enumerate(keys)}
     known = heavy.select(*[F.col(k).alias(n) for k, n in names.items()], F.lit(True).alias("__hot"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
     flagged = df.join(known, same, "left").drop(*names.values())
     cold = flagged.where(F.col("__hot").isNull()).withColumn(SEG, F.lit(None).cast("bigint"))
-    dealt = flagged.where(F.col("__hot")).repartitionByRange(math.ceil(total / rows_per_segment), *keys, *order)
-    hot = cut_lineage(dealt.withColumn(SEG, F.spark_partition_id().cast("bigint")))
-    return cold.unionByName(hot).drop("__hot")
+    return cold.unionByName(cut(flagged.where(F.col("__hot")))).drop("__hot")
 
 
 def _halo_rows(

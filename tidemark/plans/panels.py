@@ -49,7 +49,7 @@ def fundamental_versions(raw: DataFrame, concepts: Sequence[str] = CONCEPTS, tie
     facts = normalize_facts(raw)
     return versions(
         facts, ["ticker", "period_end"], "filing_date", FUNDAMENTALS_META.names, "concept_name", "value",
-        concepts, ties=_ties(facts, ties),
+        concepts, ties=_ties(facts, ties), together=["ticker"],
     )
 
 
