@@ -1,9 +1,9 @@
-"""Plans that must not move rows twice."""
+"""Plans that must not move rows, or work out hashes, more often than needed."""
 
 from helpers import day, sorted_rows
 from pyspark.sql import functions as F
 
-from tidemark.operators import bitemporal, segments
+from tidemark.operators import bitemporal, ensembles, segments
 
 
 def test_keys_that_are_all_hot_need_no_join(spark, monkeypatch):
@@ -32,3 +32,9 @@ def test_versions_are_dealt_once_after_the_newest_facts(spark):
         assert sorted_rows(per_day.select("filed", "x", "y")) == [(day(0), 0.0, 0.0), (day(1), 1.0, 1.0), (day(2), 1.0, 2.0), (day(3), 3.0, 3.0)]
         plan = per_day._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 2  # the newest facts, and one deal for all that follows
+
+
+def test_a_draw_hashes_once(spark):
+    drawn = spark.range(50).select(ensembles.draws(["id"], 3).alias("n"), ensembles.uniform(["id"], 3).alias("u"))
+    assert all(r["n"] == sum(r["u"] >= p for p in ensembles._POISSON) for r in drawn.collect())
+    assert drawn.select("n")._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
