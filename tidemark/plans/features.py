@@ -12,7 +12,8 @@ from ..functions import series
 from ..functions.scalars import binary_label, indicator, safe_divide
 from ..functions.series import average_balance
 from ..operators.dedup import keep_first
-from ..operators.segments import ROWS_PER_SEGMENT, over_series
+from ..operators.segments import ROWS_PER_SEGMENT, SEG, over_series
+from ..operators.trailing import trailing_frames
 from ..sources.facts import CONCEPTS
 
 # Output column names.
@@ -132,7 +133,7 @@ def market_features(
 ) -> DataFrame:
     """Ten trailing features per bar. All frames share one partitioning and order: one sort per key.
 
-    Daily bars have at most one row per key and calendar day, so plain windows suffice; pass
+    Row offsets are window functions, trailing frames array operations per series. Daily bars have at most one row per key and calendar day, so plain windows suffice; pass
     ``rows_per_segment`` for intraday bars.
     """
     kept = list(keep) if keep is not None else [key, date]
@@ -145,21 +146,25 @@ def market_features(
             *[(safe_divide(price, f"__lag{k}") - 1.0).alias(f"return_{k}d") for k in (1, 5, 10, 21)],
             (F.col(price) - F.col("__lag1")).alias("__move"),
         )
-        sides = returns.select("*", series.gain("__move").alias("__up"), series.loss("__move").alias("__down"))
-        rolled = sides.select(
-            "*",
-            series.trailing_std("return_1d", 5, w).alias("volatility_5d"),
-            series.trailing_std("return_1d", 21, w).alias("volatility_21d"),
-            series.trailing_mean(volume, 20, w).alias("__volume_mean"),
-            series.trailing_std(volume, 20, w).alias("__volume_std"),
-            series.trailing_mean("__up", 14, w).alias("__mean_up"),
-            series.trailing_mean("__down", 14, w).alias("__mean_down"),
+        # only what is needed further on goes through the batches
+        sides = returns.select(
+            *[c for c in df.columns if c in (*kept, key, date) or c.startswith("__")], *[f"return_{k}d" for k in (1, 5, 10, 21)],
+            series.gain("__move").alias("__up"), series.loss("__move").alias("__down"), F.col(volume).cast("double").alias("__volume"),
         )
+        parts = [key, *([SEG] if SEG in df.columns else [])]
+        rolled = trailing_frames(sides, parts, [date], {
+            "volatility_5d": ("deviation", "return_1d", 5),
+            "volatility_21d": ("deviation", "return_1d", 21),
+            "__volume_mean": ("mean", "__volume", 20),
+            "__volume_std": ("deviation", "__volume", 20),
+            "__mean_up": ("mean", "__up", 14),
+            "__mean_down": ("mean", "__down", 14),
+        })
         return rolled.select(
             "*",
             safe_divide("volatility_5d", "volatility_21d").alias("volatility_ratio_5d_21d"),
-            safe_divide(volume, "__volume_mean").alias("volume_ratio_20d"),
-            safe_divide(F.col(volume) - F.col("__volume_mean"), "__volume_std").alias("volume_zscore_20d"),
+            safe_divide("__volume", "__volume_mean").alias("volume_ratio_20d"),
+            safe_divide(F.col("__volume") - F.col("__volume_mean"), "__volume_std").alias("volume_zscore_20d"),
             series.rsi_from("__mean_up", "__mean_down").alias("rsi_14"),
         )
 

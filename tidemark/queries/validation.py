@@ -18,9 +18,9 @@ GAP, SPLITS, MONTHS = 5, 5, 6
 
 def _rows(t: Tables) -> DataFrame:
     """Labelled bars with market features and the date that each label looks at, written once."""
-    labelled = forward_labels(base.bars(t))
-    wide = market_features(labelled, keep=["ticker", "date", "forward_return_5d", "label"])
-    return cut_lineage(validation.label_ends(wide).dropna(subset=["label"]))
+    labelled = validation.label_ends(forward_labels(base.bars(t)))
+    wide = market_features(labelled, keep=["ticker", "date", "forward_return_5d", "label", "label_end"])
+    return cut_lineage(wide.dropna(subset=["label"]))
 
 
 _ROWS = f"""{LABELS}, {FEATURES[FEATURES.index('moves AS'):]},
