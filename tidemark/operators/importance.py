@@ -22,10 +22,10 @@ def hash_order(keys: Sequence[str], salt: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(salt), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``rows`` with their place in ``order``, from 0 on, by a range sort; equal rows of the order are told apart at will."""
+def numbered(rows: DataFrame, order: Sequence[Column], name: str, keep: Sequence[str]) -> DataFrame:
+    """Columns ``keep`` of ``rows`` with their place in ``order``, from 0 on, by a range sort; equal rows of the order are told apart at will."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    written = cut_lineage(dealt.withColumn("__at", F.monotonically_increasing_id()))
+    written = cut_lineage(dealt.select(*keep, F.monotonically_increasing_id().alias("__at")))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = sorted((r["part"], r["n"]) for r in written.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row per range
     before, starts = 0, []
@@ -37,10 +37,10 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return joined.withColumn(name, F.col("__before") + place).drop("__part", "__before", "__at")
 
 
-def shuffled_column(base: DataFrame, column: str, keys: Sequence[str], seed: str) -> DataFrame:
+def shuffled_column(rows: DataFrame, column: str, keys: Sequence[str], seed: str, name: str) -> DataFrame:
     """Place and value: at every place the value of the row that has it in the column's own order."""
-    mixed = base.select(*keys, F.col(column).alias("__value"))
-    return numbered(mixed, [hash_order(keys, f"{seed}:{column}"), *[F.col(k) for k in keys]], "__place").select("__place", "__value")
+    mixed = rows.select(*keys, F.col(column).alias(name))
+    return numbered(mixed, [hash_order(keys, f"{seed}:{column}"), *[F.col(k) for k in keys]], "__place", [name])
 
 
 def permutation_importance(
@@ -49,17 +49,18 @@ def permutation_importance(
     """column_name, auc_roc, shuffled_auc and importance (the fall) of every column.
 
     ``score`` builds the score from a function that gives a column's value, so that one of them can be another row's.
-    Keys must identify a row. Areas are null where the rows have one class.
+    Keys must identify a row. Areas are null where the rows have one class. ``rows`` is read once per column and once more:
+    write an expensive input to a table first.
     """
-    base = numbered(rows.select(*keys, label, *columns), [hash_order(keys, seed), *[F.col(k) for k in keys]], "__place")
-    base = cut_lineage(base)
-    plain = base.select(F.lit("").alias("column_name"), F.col(label).alias("label"), score(lambda c: F.col(c)).alias("predicted_probability"))
-    stacked = plain
-    for column in columns:
-        other = base.join(shuffled_column(base, column, keys, seed), "__place")
-        value = score(lambda c, column=column: F.col("__value") if c == column else F.col(c))
-        stacked = stacked.unionByName(other.select(F.lit(column).alias("column_name"), F.col(label).alias("label"), value.alias("predicted_probability")))
-    found = cut_lineage(auc(stacked, ["column_name"]))  # one row per column
-    whole = F.lit(next((r["auc_roc"] for r in found.where("column_name = ''").collect()), None)).cast("double")  # a single row
-    per_column = found.where("column_name <> ''")
-    return per_column.select("column_name", whole.alias("auc_roc"), F.col("auc_roc").alias("shuffled_auc"), (whole - F.col("auc_roc")).alias("importance"))
+    kept = list(dict.fromkeys([label, *columns]))
+    joined = numbered(rows.select(*dict.fromkeys([*keys, *kept])), [hash_order(keys, seed), *[F.col(k) for k in keys]], "__place", kept)
+    other = {c: f"__other{i}" for i, c in enumerate(columns)}
+    for column, name in other.items():  # all joins are by place, so nothing is dealt twice
+        joined = joined.join(shuffled_column(rows, column, keys, seed, name), "__place")
+    # slot 0 is the score as it is, slot i that with column i shuffled
+    every = [score(lambda c: F.col(c)), *[score(lambda c, own=column: F.col(other[c] if c == own else c)) for column in columns]]
+    slots = F.array(*[F.struct(F.lit(i).alias("slot"), s.cast("double").alias("predicted_probability")) for i, s in enumerate(every)])
+    found = cut_lineage(auc(joined.select(F.col(label).alias("label"), F.inline(slots)), ["slot"]))  # one row per column
+    whole = F.lit(next((r["auc_roc"] for r in found.where("slot = 0").collect()), None)).cast("double")  # a single row
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("slot"))
+    return found.where("slot > 0").select(name.alias("column_name"), whole.alias("auc_roc"), F.col("auc_roc").alias("shuffled_auc"), (whole - F.col("auc_roc")).alias("importance"))

@@ -272,7 +272,7 @@ SELECT c.column_name, round(w.a, 6) AS auc_roc, round(c.a, 6) AS shuffled_auc, r
 @query(_fall_sql())
 def permutation_importance(t: Tables) -> DataFrame:
     """The fall of a score's area when one of its columns is shuffled among the rows."""
-    rows = cut_lineage(_rows(t).select("ticker", "date", "label", *_SCORED))
+    rows = _rows(t).select("ticker", "date", "label", *_SCORED)
 
     def score(value):
         total = None
