@@ -1,7 +1,7 @@
 """Text expressions: whitespace and typography clean-up, section extraction, chunking, word counts.
 
 All of it is built-in expressions on a text column, so it runs inside the scan stage with no
-shuffle. Patterns avoid look-around and possessive syntax, so an SQL engine can run the same ones.
+shuffle. Heading patterns avoid look-around and possessive syntax, so an SQL engine can run the same ones.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ WS = (
 TYPOGRAPHIC = "‘’“” –—"
 ASCII = "''\"\" --"
 
+# The same class, tested for the usual characters by one comparison.
+_UNUSUAL = r"\x00- \x7f-\x{d7ff}"
+_WS_CLASS = f"[{_UNUSUAL}&&[{WS}]]"
+_MARK = "\x01"  # set around matches
+
 MIN_SECTION_CHARS = 500
 CHUNK_TOKENS = 510
 
@@ -33,10 +38,12 @@ def normalize_whitespace(text: Column | str) -> Column:
 
     Blanks are collapsed first, so that no pattern can scan a long run of them more than once.
     """
-    blank = WS.replace(r"\n", "") + r"\x00"
-    c = F.regexp_replace(as_col(text), f"[{blank}]{{2,}}|[\\t\\r\\x00]", " ")
-    c = F.regexp_replace(c, f"[{blank}]?\\n[{WS}]*", "\n")
-    return F.btrim(c, F.lit(WS_CHARACTERS))
+    blank = f"[{_UNUSUAL}&&[{WS.replace(chr(92) + 'n', '')}\\x00]]"
+    c = as_col(text)
+    # both patterns begin with one class, which most characters fail at once
+    collapsed = F.regexp_replace(c, f"{blank}(?:(?<=[\\t\\r\\x00]){blank}*|{blank}+)", " ")
+    broken = F.regexp_replace(collapsed, f"{_WS_CLASS}(?:(?<=\\n)|\\n){_WS_CLASS}*", "\n")
+    return F.btrim(F.when(F.contains(c, F.lit("\n")), broken).otherwise(collapsed), F.lit(WS_CHARACTERS))
 
 
 def plain_typography(text: Column | str) -> Column:
@@ -93,19 +100,22 @@ QUARTERLY_DISCUSSION = SectionRule(
 def heading_spans(text: Column, pattern: str) -> Column:
     """Start and end of every match, in order: array of struct (s, e), counted in characters.
 
-    A match starts after all the text between the matches before it and those matches themselves.
+    One search sets a mark on both sides of every match; what lies between the marks is by turns outside and inside of
+    matches. Texts that hold the mark themselves are searched for the gaps and for the matches.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.length)
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), lengths.alias("length")), lambda m: m["length"].isNotNull())
+    marked = F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}")
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    by_turns = F.flatten(F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda m: F.array(m["gap"], m["hit"])))
+    pieces = F.when(F.contains(text, F.lit(_MARK)), F.filter(by_turns, lambda p: p.isNotNull())).otherwise(F.split(marked, _MARK, -1))
     none = F.array().cast("array<struct<s:int,e:int>>")
 
-    def add(found: Column, m: Column) -> Column:
-        start = found["at"] + m["gap"]
-        end = start + m["length"]
-        return F.struct(end.alias("at"), F.concat(found["spans"], F.array(F.struct(start.alias("s"), end.alias("e")))).alias("spans"))
+    def add(found: Column, length: Column) -> Column:
+        end = found["at"] + length
+        here = F.when(found["inside"], F.array(F.struct(found["at"].alias("s"), end.alias("e")))).otherwise(none)
+        return F.struct(end.alias("at"), (~found["inside"]).alias("inside"), F.concat(found["spans"], here).alias("spans"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda found: found["spans"])
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("spans"))
+    return F.aggregate(F.transform(pieces, F.length), start, add, lambda found: found["spans"])
 
 
 def section(text: Column | str, rule: SectionRule) -> Column:
@@ -115,24 +125,27 @@ def section(text: Column | str, rule: SectionRule) -> Column:
     begins where the start heading ends does not close it. The first cleaned span of at least
     ``min_chars`` wins with status ``scored``; else the longest (first on a tie) with
     ``section_too_short``. Without one the status says which heading was missing.
+
+    Every step is bound, so that the text is cleaned and searched once; end headings only behind a start heading.
     """
-    c = plain_typography(text)
+
+    def opened(c: Column) -> Column:
+        return F.struct(c.alias("text"), heading_spans(c, rule.start_pattern).alias("starts"))
+
+    def closed(m: Column) -> Column:
+        ends = F.when(F.size(m["starts"]) > 0, heading_spans(m["text"], rule.end_pattern))
+        return F.struct(m["text"].alias("text"), m["starts"].alias("starts"), ends.alias("ends"))
 
     def cut(marks: Column) -> Column:
         def body(start: Column) -> Column:
             end = F.array_min(F.transform(F.filter(marks["ends"], lambda e: e["s"] > start["e"]), lambda e: e["s"]))
             return F.when(end.isNotNull(), marks["text"].substr(start["s"] + 1, end - start["s"]))
 
-        return F.transform(marks["starts"], body)
-
-    marks = F.struct(
-        c.alias("text"),
-        heading_spans(c, rule.start_pattern).alias("starts"),
-        heading_spans(c, rule.end_pattern).alias("ends"),
-    )
-    spans = F.filter(F.transform(bind(marks, cut), normalize_whitespace), lambda s: F.length(s) > 0)
+        spans = F.filter(F.transform(F.transform(marks["starts"], body), normalize_whitespace), lambda s: F.length(s) > 0)
+        return F.struct(spans.alias("spans"), (F.size(marks["starts"]) > 0).alias("opened"))
 
-    def choose(found: Column) -> Column:
+    def choose(m: Column) -> Column:
+        found = m["spans"]
         enough = F.filter(found, lambda s: F.length(s) >= rule.min_chars)
         # fold keeps the earlier span unless a later one is longer
         longest = F.aggregate(
@@ -143,7 +156,7 @@ def section(text: Column | str, rule: SectionRule) -> Column:
         status = (
             F.when(F.size(enough) > 0, "scored")
             .when(F.size(found) > 0, "section_too_short")
-            .when(F.regexp_like(c, F.lit(rule.start_pattern)), "section_end_not_found")
+            .when(m["opened"], "section_end_not_found")
             .otherwise("section_not_found")
         )
         return F.struct(
@@ -152,7 +165,7 @@ def section(text: Column | str, rule: SectionRule) -> Column:
             F.lit(rule.method).alias("method"),
         )
 
-    return bind(spans, choose)
+    return bind(bind(bind(bind(plain_typography(text), opened), closed), cut), choose)
 
 
 def discussion_section(text: Column | str, form: Column | str, min_chars: int = MIN_SECTION_CHARS) -> Column:
@@ -165,7 +178,7 @@ def discussion_section(text: Column | str, form: Column | str, min_chars: int =
 
 def words(text: Column | str) -> Column:
     """Whitespace-separated tokens; empty array for blank text."""
-    return F.filter(F.split(as_col(text), f"[{WS}]+"), lambda w: w != "")
+    return F.filter(F.split(as_col(text), f"{_WS_CLASS}+"), lambda w: w != "")
 
 
 def chunks(tokens: Column | str, size: int = CHUNK_TOKENS, max_chunks: int | None = None) -> Column:
