@@ -252,14 +252,14 @@ def _text_setups(t: Tables) -> dict[str, Setup]:
     }
 
 
-def _one_model(t: Tables, name: str, fit_rows: int | None = None) -> Comparison:
+def _one_model(t: Tables, name: str) -> Comparison:
     setups = _market_setups(t)
-    return compare({"layer1_plus_layer2_full": setups["layer1_plus_layer2_full"]}, models=[name], fit_rows=fit_rows)
+    return compare({"layer1_plus_layer2_full": setups["layer1_plus_layer2_full"]}, models=[name])
 
 
 @query()
 def model_logistic_regression(t: Tables) -> DataFrame:
-    return comparable(_one_model(t, "logistic_regression", FIT_ROWS).predictions)
+    return comparable(_one_model(t, "logistic_regression").predictions)
 
 
 @query()
